@@ -25,6 +25,7 @@ def get_spark(app: str = "quern", cores: str | int = "*", shuffle_partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .getOrCreate()
     )
