@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import media, mixing, quality, ranking, secrets, simhash
+from quern.llm import media, mixing, packing, pii, quality, ranking, secrets, simhash, token_files, toolcalls
 
 
 def queries() -> dict:
@@ -10,11 +10,15 @@ def queries() -> dict:
         "op1_media": media.op1_media,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_simhash": simhash.op3_simhash,
+        "op4_tool_calls": toolcalls.op4_tool_calls,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_quality_classifier": ranking.op6_quality_classifier,
+        "op7_pii": pii.op7_pii,
+        "op8_packing": packing.op8_packing,
+        "op9_token_files": token_files.op9_token_files,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secrets.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op4_tool_calls": toolcalls.ORACLE, "op5_secret_scan": secrets.oracle(), "op10_mixing": mixing.ORACLE}
