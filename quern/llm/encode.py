@@ -1,24 +1,25 @@
 """Token ids of whole texts with the tokenizers library, remembered by piece.
 
-Byte-level BPE never merges across the edges of its pre-tokens, and in a text whose only white space is single blanks and
-line feeds each blank or line feed before a word is such an edge. So texts of that form are cut there, each distinct
-piece is encoded once a worker, and the ids are joined; any other text is encoded as a whole. The ids are the same either
-way (tests compare them).
+Byte-level BPE never merges across the edges of its pre-tokens, and in a text of Latin letters, digits and marks whose
+white space is single blanks and line feeds these edges follow from the classes of the characters. So texts of that form
+are cut there, each distinct piece is encoded by the library once a worker, and the ids are joined; any other text is
+encoded as a whole. The ids are the same either way (tests compare them).
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
-#: Texts with other white space, two white-space characters in a row, or white space at an end are encoded whole.
-IRREGULAR = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|[\u180e\u200b\u2060\ufeff]")
-#: A piece of letters with marks behind it: two pre-tokens, which recur in other pieces.
-PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$&*#|()]*)\Z")
-PIECES, CORES = 300_000, 600_000
+#: Texts with other characters or white space, two white-space characters in a row, or one at an end are encoded whole.
+IRREGULAR = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]|\s\s|\A\s|\s\Z")
+#: The pre-tokens of the other texts.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\n")
+PIECES = 700_000
 JOINED = 64
 
 
@@ -39,9 +40,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        (self.feed,) = self._whole(["\n"])
+        (feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -49,55 +49,39 @@ class Encoder:
     def _words(self, words: list[str]) -> None:
         """Encodes runs of letters, many in one text: a line feed between them has one id that none of them holds."""
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        size, feed = self.dtype.itemsize, int(np.frombuffer(self.feed, self.dtype)[0])
+        size = self.dtype.itemsize
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            data, cut = ids.tobytes(), np.flatnonzero(ids == feed).tolist()
-            for word, a, b in zip(group, [-1, *cut], [*cut, len(ids)], strict=True):
-                self.cores[word] = data[(a + 1) * size : b * size]
-
-    def _learn(self, missing: list[str], known: dict[str, bytes], lead: str) -> None:
-        plain, odd, need = [], [], set()
-        for piece in missing:
-            if m := PLAIN.match(piece):
-                feed, core, marks = m.groups()
-                core = core if feed else lead + core
-                plain.append((piece, feed, core, marks))
-                if core not in self.cores:
-                    need.add(core)
-                if marks and marks not in self.heads:
-                    (self.heads[marks],) = self._whole([marks])
-            else:
-                odd.append(piece)
-        if len(self.cores) + len(need) > CORES:
-            self.cores.clear()
-            need = {core for _, _, core, _ in plain}
-        self._words(sorted(need))
-        for piece, feed, core, marks in plain:
-            known[piece] = (self.feed if feed else b"") + self.cores[core] + (self.heads[marks] if marks else b"")
-        for k in range(0, len(odd), 4096):
-            part = odd[k : k + 4096]
-            known.update(zip(part, self._whole([p if p[:1] == "\n" else lead + p for p in part]), strict=True))
+            data, cut = ids.tobytes(), (np.flatnonzero(ids == self.feed) * size).tolist()
+            for word, a, b in zip(group, [-size, *cut], [*cut, len(data)], strict=True):
+                self.pieces[word] = data[a + size : b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [k for k, t in enumerate(texts) if IRREGULAR.search(t)]
-        for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
-            out[k] = ids
-        cut = {k: t.replace("\n", " \n").split(" ") for k, t in enumerate(texts) if t and out[k] is None}
-        heads = {p[0] for p in cut.values()}
-        tails = set(chain.from_iterable(p[1:] for p in cut.values()))
-        missing = [p for p in tails if p not in self.pieces]
+    def _learn(self, pieces: set[str]) -> None:
+        missing = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(missing) > PIECES:
             self.pieces.clear()
-            missing = list(tails)
-        self._learn(missing, self.pieces, " ")
-        first: dict[str, bytes] = {}
-        self._learn(list(heads), first, "")
-        get = self.pieces.__getitem__
-        for k, parts in cut.items():
-            out[k] = first[parts[0]] + b"".join(map(get, parts[1:]))
-        return [x or b"" for x in out]
+            missing = list(pieces)
+        letters = [p for p in missing if p[-1].isalpha() and p[0] != "'"]
+        others = [p for p in missing if not (p[-1].isalpha() and p[0] != "'")]
+        self._words(letters)
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
+            self.pieces.update(zip(part, self._whole(part), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short strings, none in a cycle
+        try:
+            odd = {k for k, t in enumerate(texts) if IRREGULAR.search(t)}
+            whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True))
+            cut = [[] if k in odd else PIECE.findall(t) for k, t in enumerate(texts)]
+            self._learn(set(chain.from_iterable(cut)))
+            get = self.pieces.__getitem__
+            return [whole[k] if k in odd else b"".join(map(get, parts)) for k, parts in enumerate(cut)]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 _kept: dict[str, Encoder] = {}
