@@ -1,19 +1,23 @@
-"""Query name -> callable and query name -> SQL, gathered from the operator modules."""
+"""All registered queries of the package outside ``llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import analytics, documents, extensions, memory, retrieval, sequences, streams, web
+from quern.plans.registry import QUERIES, SQL
+
+MODULES = (analytics, retrieval, memory, documents, sequences, web, streams, extensions)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.session import table
 
-    return table(spark, sf_dir, "events").groupBy("event_type").count()
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: BM25 and vector lists fused by reciprocal rank."""
+    return QUERIES["r10_hybrid"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
