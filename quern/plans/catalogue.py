@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import analytics, documents, extensions, memory, retrieval, sequences, streams, web
+from quern.plans import analytics, documents, extensions, memory, retrieval, sequences, sources, streams, web
 from quern.plans.registry import QUERIES, SQL
 
-MODULES = (analytics, retrieval, memory, documents, sequences, web, streams, extensions)
+MODULES = (analytics, retrieval, memory, documents, sequences, web, streams, sources, extensions)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
