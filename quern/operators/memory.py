@@ -13,7 +13,7 @@ from quern.sources.adapters import now
 
 
 def days_since(column: Column, as_of: str) -> Column:
-    return F.greatest(F.timestamp_diff("SECOND", column, now(as_of)) / 86400.0, F.lit(0.0))
+    return F.when(column.isNotNull(), F.greatest(F.timestamp_diff("SECOND", column, now(as_of)) / 86400.0, F.lit(0.0)))
 
 
 def decay(accessed: Column, created: Column, as_of: str, rate: float = 0.01) -> Column:
@@ -23,7 +23,7 @@ def decay(accessed: Column, created: Column, as_of: str, rate: float = 0.01) ->
 
 def recency(created: Column, as_of: str) -> Column:
     """Linear over a year, in whole days; 0.5 where it is unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.floor(days_since(created, as_of)) / 365.0), F.lit(0.5))
+    return F.coalesce(F.when(created.isNotNull(), F.greatest(F.lit(0.0), 1 - F.floor(days_since(created, as_of)) / 365.0)), F.lit(0.5))
 
 
 def recall(memories: DataFrame, queries: DataFrame, as_of: str, k: int = 5, candidates: int = 50, decayed: bool = True) -> DataFrame:

@@ -46,12 +46,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of the session's own."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[app] = f"file://{tempfile.mkdtemp(prefix='quern-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

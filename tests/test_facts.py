@@ -1,0 +1,251 @@
+"""Facts on tiny frames, and properties that hold for any input."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quern.functions import files as FF
+from quern.functions import html as H
+from quern.functions import text as T
+from quern.functions import vector as V
+from quern.operators import documents as D
+from quern.operators import memory as M
+from quern.operators import relational as R
+from quern.operators import retrieval as Q
+from quern.operators import sequences as S
+from quern.sources import files as X
+from quern.streaming import events as E
+
+
+def one(spark, *columns):
+    row = spark.range(1).select(*columns).first()
+    return row[0] if len(columns) == 1 else tuple(row)
+
+
+def vec(*xs):
+    return F.array(*map(F.lit, map(float, xs)))
+
+
+@pytest.mark.parametrize("a, b, want", [((1, 2), (1, 2), 1), ((1, 0), (0, 1), 0), ((1, 0), (-1, 0), -1), ((0, 0), (1, 1), 0)])
+def test_cosine(spark, a, b, want):
+    assert one(spark, V.cosine(vec(*a), vec(*b))) == pytest.approx(want)
+
+
+def test_knn_and_ann_agree_on_a_clear_neighbour(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in Q.knn(v, q, 1).collect()}
+    assert exact == {(k, k) for k in range(0, 300, 50)} == {(r.query_id, r.id) for r in Q.ann(v, q, 1).collect()}
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 32))
+    rows = [(i, [float(x) for x in centres[i % 20] + 0.3 * rng.standard_normal(32)]) for i in range(1000)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in Q.knn(v, q, 10).collect()}
+    found = {(r.query_id, r.id) for r in Q.ann(v, q, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_rrf_puts_the_shared_one_first_and_ignores_list_order(spark):
+    a = spark.createDataFrame([(0, 1, 0), (0, 2, 1)], "query_id int, id long, rank int")
+    b = spark.createDataFrame([(0, 2, 0), (0, 3, 1)], "query_id int, id long, rank int")
+    first = Q.top(Q.rrf([a, b]), 5).collect()
+    assert [r.id for r in first][0] == 2 and len(first) == 3
+    assert sorted(map(tuple, Q.rrf([a, b]).collect())) == sorted(map(tuple, Q.rrf([b, a]).collect()))
+    assert Q.rrf([a.limit(0), b.limit(0)]).count() == 0
+
+
+def test_child_windows_of_1000_characters(spark):
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, "y" * 600), (3, "")], "id long, text string")
+    got = sorted((r.id, r.child_index, len(r.content)) for r in D.child_windows(docs).collect())
+    assert got == [(1, 100, 600), (1, 101, 500), (2, 200, 600)]
+
+
+@pytest.mark.parametrize("new, old, want", [("he does not like tea", "he likes tea", "negation"), ("works at Apple now daily", "works at Google now daily", "replacement"), ("a b", "c d", None)])
+def test_contradiction(spark, new, old, want):
+    assert one(spark, T.contradiction(T.words(F.lit(new)), T.words(F.lit(old)))) == want
+
+
+def test_ema_of_one_then_zero(spark):
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(1, 1, t, 1.0), (2, 1, t + dt.timedelta(hours=1), 0.0)], "id long, user_id long, ts timestamp_ntz, value double")
+    assert S.ema(log).first().ema == pytest.approx(0.7)
+
+
+def test_decay_and_recency(spark):
+    as_of = "2024-01-30 12:00:00"
+    old = F.lit("2023-04-05 12:00:00").cast("timestamp_ntz")
+    unknown = F.lit(None).cast("timestamp_ntz")
+    near, far, none = one(spark, M.recency(F.lit(as_of).cast("timestamp_ntz"), as_of), M.recency(old, as_of), M.recency(unknown, as_of))
+    assert near > 0.9 and far < 0.2 and none == 0.5
+    assert one(spark, M.decay(unknown, old, as_of)) == pytest.approx(math.exp(-3.0))
+
+
+def test_repetition_raises_importance(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, "u", "Likes tea ", 0.5, t), (2, "u", " likes TEA", 0.5, t)], "id long, user_id string, content string, importance double, created_at timestamp_ntz")
+    (got,) = M.remember(rows).collect()
+    assert got.id == 1 and got.importance == pytest.approx(0.6)
+
+
+def test_fading_by_a_twentieth(spark):
+    rows = spark.createDataFrame([(1, 0.5, dt.datetime(2024, 1, 20), None)], "id long, importance double, created_at timestamp_ntz, accessed_at timestamp_ntz")
+    assert M.fade(rows, "2024-01-30 12:00:00").first().importance == pytest.approx(0.45)
+
+
+def test_leader_clusters_follow_the_greedy_rule(spark):
+    rng = np.random.default_rng(3)
+    near = {(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.08}
+    want, used = {}, set()
+    for a in range(40):  # brute force
+        if a in used:
+            continue
+        for b in range(a, 40):
+            if b == a or b not in used and (a, b) in near:
+                want[b] = a
+                used.add(b)
+    got = {r.id: r.leader for r in M.leaders(spark.createDataFrame(sorted(near), "a long, b long")).collect()}
+    assert got == {k: v for k, v in want.items() if k in got} and set(got) == {x for p in near for x in p}
+
+
+def test_summary_keeps_the_last_characters(spark):
+    chat = spark.createDataFrame([(1, k, f"message {k} " + "x" * 100) for k in range(12)], "user_id long, id long, content string")
+    whole = " ".join(f"message {k} " + "x" * 100 for k in range(12))
+    assert M.summary(chat).first().summary == whole[-500:]
+
+
+@pytest.mark.parametrize("expression, moment, want", [
+    ("*/15 * * * *", "2024-01-01 10:30:00", True), ("*/15 * * * *", "2024-01-01 10:31:00", False), ("0 9 * * 7", "2024-01-07 09:00:00", True),
+    ("0 9 * * 0", "2024-01-07 09:00:00", True), ("0 9-17 1,15 * *", "2024-01-15 12:00:00", True), ("0 9 * * 1-5", "2024-01-06 09:00:00", False),
+])
+def test_cron(spark, expression, moment, want):
+    assert one(spark, S.cron(expression, F.lit(moment).cast("timestamp_ntz"))) is want
+
+
+def test_cron_rejects_other_forms(spark):
+    for bad in ("* * *", "1-5,7 * * * *"):
+        with pytest.raises(ValueError):
+            S.cron(bad, F.col("ts"))
+
+
+def test_backoff_doubles_and_is_capped(spark):
+    got = [r[0] for r in spark.range(0, 12).orderBy("id").select(S.backoff(F.col("id"))).collect()]
+    assert got[:4] == [0, 30, 60, 120] and max(got) == 3600
+
+
+def test_breaker_and_limiter_match_a_replay(spark):
+    from conftest import DATA
+
+    events = [r.asDict() for r in spark.read.parquet(f"{DATA}/events.parquet").orderBy("user_id", "ts", "event_id").collect()]
+    want, allowed = {}, {}
+    for user in {e["user_id"] for e in events}:
+        run, opened, kept = 0, None, []
+        for e in (e for e in events if e["user_id"] == user):
+            kept = [t for t in kept if t > e["ts"] - dt.timedelta(hours=1)]
+            allowed[e["event_id"]] = len(kept) < 2
+            kept += [e["ts"]] * allowed[e["event_id"]]
+            if opened and e["ts"] - opened < dt.timedelta(seconds=300):
+                want[e["event_id"]] = "open"
+                continue
+            probe, bad = opened is not None, e["event_type"] == "error"
+            run = run + 1 if bad else 0
+            opened = (e["ts"] if probe or run >= 3 else None) if bad else None
+            want[e["event_id"]] = "half_open" if probe else "open" if opened else "closed"
+    assert {r.event_id: r.state for r in E.run(E.breaker(E.source(spark, DATA))).collect()} == want
+    assert {r.event_id: r.allowed for r in E.run(E.limiter(E.source(spark, DATA))).collect()} == allowed
+
+
+def test_stream_fan_out_sees_every_row(spark):
+    from conftest import DATA
+
+    seen = []
+    E.fan_out(E.source(spark, DATA), lambda df, k: seen.append(df.count()))
+    assert sum(seen) == 1000
+
+
+@given(st.text(alphabet="ab. \n#`x", max_size=400), st.integers(20, 60))
+def test_chunks_hold_every_word(text, size):
+    got = " ".join(D.split_text(text, "md", size, 5))
+    for word in text.split():
+        if "`" not in word and word.strip(".#"):
+            assert word.strip(".#") in got
+
+
+def test_packed_paragraphs_match_a_loop(spark):
+    text = "\n\n".join("word " * n for n in (30, 80, 5, 200, 1, 60))
+    paras, now, want = [p.strip() for p in text.split("\n") if p.strip()], "", []
+    for p in paras:
+        joined = f"{now}\n{p}" if now else p
+        if len(joined) > 300 and now:
+            want.append(now.strip())
+            now = now[-40:] + "\n" + p if len(now) > 40 else p
+        else:
+            now = joined.strip()
+    want.append(now.strip())
+    assert one(spark, D.packed(F.lit(text), 300, 40)) == want
+
+
+def test_section_paths(spark):
+    text = "# A\nintro\n## B\nx\n### C\n## D\ny\n# E"
+    got = [r.section_path for r in D.markdown_sections(spark.createDataFrame([(1, text)], "id long, text string")).orderBy("pos").collect()]
+    assert got == ["A", "A > B", "A > B > C", "A > D", "E"]
+
+
+def test_entities_once_a_text(spark):
+    got = one(spark, D.entities(F.lit("ст. 123 и ст. 123 повторно, N 44-ФЗ, 01.02.2024, 18,5% и 1 000 руб")))
+    assert {tuple(e) for e in got} == {("ст. 123", "article"), ("№44-ФЗ", "law"), ("01.02.2024", "date"), ("1 000 руб", "amount"), ("18,5%", "percentage")}
+
+
+def test_html(spark):
+    page = '<html><title> A &amp; B </title><body><h1>T</h1><p>x <a href="/y">l</a></p><script>no</script></body></html>'
+    assert one(spark, H.title(F.lit(page))) == "A & B"
+    assert one(spark, H.raw_text(F.lit(page))) == "A & B # T\nx [l](/y)"
+    base = F.lit("http://h.x/a/b?c#d")
+    assert one(spark, *(H.absolute(base, F.lit(x)) for x in ("/y", "z", "//o.x/p", "http://q/", "mailto:a@b", "#f"))) == ("http://h.x/y", "http://h.x/a/z", "http://o.x/p", "http://q/", None, None)
+    assert one(spark, *(H.private_address(F.lit(x)) for x in ("10.1.2.3", "172.31.0.1", "172.32.0.1", "8.8.8.8", "::1", "example.com"))) == (True, True, False, False, True, False)
+
+
+def test_table_cells(spark):
+    from quern.operators import web
+
+    page = "<table><tr><th>Rate</th><td>13%</td></tr></table>"
+    assert web.tables(spark.createDataFrame([(1, page)], "page_id long, html string")).first().rows == [["Rate", "13%"]]
+
+
+def test_styles(spark):
+    formal, casual = one(spark, T.style(F.lit("We kindly request the report."))["formality"], T.style(F.lit("hey lol ok"))["formality"])
+    assert formal == 1 and casual == 0
+
+
+def test_secrets_and_keys(spark):
+    assert one(spark, T.secret(F.lit("x AKIA" + "A" * 16))) == "AWS Access Key ID"
+    assert one(spark, T.secret(F.lit("nothing"))) is None
+    assert one(spark, FF.key_preview(F.lit("sk-abcdefghijklmnop"))) == "sk-abc...mnop"
+
+
+def test_frontmatter(spark):
+    got = one(spark, X.frontmatter(F.lit("---\nname: 'a b'\nempty:\n---\nbody")))
+    assert got["meta"] == {"name": "a b"} and got["body"] == "body"
+    assert one(spark, X.frontmatter(F.lit("no head")))["body"] == "no head"
+
+
+def test_range_join_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    points, spans = [(i, float(x)) for i, x in enumerate(rng.uniform(0, 100, 80))], [(i, float(x), float(x + w)) for i, (x, w) in enumerate(zip(rng.uniform(0, 100, 40), rng.uniform(0, 30, 40), strict=True))]
+    got = R.range_join(spark.createDataFrame(points, "p long, value double"), spark.createDataFrame(spans, "s long, low double, high double"), 7.0)
+    assert sorted((r.p, r.s) for r in got.collect()) == sorted((p, s) for p, v in points for s, a, b in spans if a <= v <= b)
+
+
+def test_backup_names_stay_inside(spark):
+    with pytest.raises(ValueError):
+        X.snapshots(spark, {}, "/tmp", "../x")
