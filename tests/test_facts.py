@@ -144,7 +144,7 @@ def test_backoff_doubles_and_is_capped(spark):
 
 
 def test_breaker_and_limiter_match_a_replay(spark):
-    from conftest import DATA
+    from support import DATA
 
     events = [r.asDict() for r in spark.read.parquet(f"{DATA}/events.parquet").orderBy("user_id", "ts", "event_id").collect()]
     want, allowed = {}, {}
@@ -166,7 +166,7 @@ def test_breaker_and_limiter_match_a_replay(spark):
 
 
 def test_stream_fan_out_sees_every_row(spark):
-    from conftest import DATA
+    from support import DATA
 
     seen = []
     E.fan_out(E.source(spark, DATA), lambda df, k: seen.append(df.count()))

@@ -1,7 +1,7 @@
 """Every registered query outside llm against its SQL; those without SQL run and are tested by their own facts."""
 
 import pytest
-from conftest import DATA, same
+from support import DATA, same
 
 from quern.plans import catalogue
 
