@@ -249,3 +249,32 @@ def test_range_join_matches_brute_force(spark):
 def test_backup_names_stay_inside(spark):
     with pytest.raises(ValueError):
         X.snapshots(spark, {}, "/tmp", "../x")
+
+
+def test_source_text_is_only_parsed():
+    from quern.operators.assist import objections
+
+    assert objections("def f(x):\n    import math\n    return math.sqrt(x)") == []
+    assert objections("import os\ndef f(): return eval('1')") == ["import of os", "use of eval"]
+    assert objections("x = 1") == ["needs one function"] and objections("def f(:")[0].startswith("syntax")
+
+
+def test_function_schema():
+    from quern.operators.assist import schema_of
+
+    def f(a: int, b: str = "x"): ...
+
+    assert schema_of(f) == {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"]}
+
+
+def test_corrective_search_only_adds(spark):
+    from quern.operators import assist
+    from support import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    asked = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    first = {(r.query_id, r.id): r.score for r in Q.word_overlap(docs, asked, 5).collect()}
+    again = {}
+    for r in assist.corrective(lambda q: Q.word_overlap(docs, q, 5), asked, lambda t: assist.halves(t)[1], 0.9, k=100).collect():
+        again[r.query_id, r.id] = r.score
+    assert all(again[k] >= v for k, v in first.items())
