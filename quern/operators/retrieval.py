@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.session import maybe_broadcast, prepare
+from quern.session import materialise, maybe_broadcast, prepare
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -32,17 +32,22 @@ def query_terms(queries: DataFrame, split=T.terms) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 lists over (id, text). Only terms that some query asks for leave the scan, already counted a document."""
+    """BM25 lists over (id, text) in one pass over the texts.
+
+    Only terms that some query asks for leave the scan, already counted a document; an empty term, which no text holds,
+    carries each document's length for the averages. These postings are written once, and the rest reads them.
+    """
     asked = query_terms(queries)
-    terms = maybe_broadcast(asked.select("term").distinct())
-    tokens = docs.select("id", T.terms(F.col("text")).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    found = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tokens = docs.select("id", T.terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    postings = materialise(tokens.join(maybe_broadcast(terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "bm25-postings")
+    stats = postings.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    found = postings.where("term <> ''")
     seen = found.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(maybe_broadcast(seen), "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
+    weights = materialise(asked.join(seen, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", idf.alias("idf")), "bm25-weights")  # one row of statistics
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(maybe_broadcast(weights.select("query_id", "term", "avg_len", idf.alias("idf"))), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
+    scored = found.join(maybe_broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
     return top(scored, k)
 
 
