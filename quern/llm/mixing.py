@@ -85,12 +85,12 @@ def plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     rows = materialise(sized(docs).select("source", "size", "h"), "mix-sizes")
-    cuts = thresholds(rows, materialise(targets(rows), "mix-targets")).select(F.col("source").alias("_s"), "times", "upto")
+    cuts = thresholds(rows, materialise(targets(rows), "mix-targets")).select(F.col("source").alias("_mix_s"), F.col("times").alias("_mix_times"), F.col("upto").alias("_mix_upto"))
     # the hash is computed anew, so no join on ids
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
-    joined = docs.join(maybe_broadcast(cuts), F.col("source").eqNullSafe(F.col("_s")))
-    copies = F.col("times") + (F.conv(F.substring(key, 1, 12), 16, 10).cast("long") < F.col("upto")).cast("long")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).drop("_copy")
+    joined = docs.join(maybe_broadcast(cuts), F.col("source").eqNullSafe(F.col("_mix_s")))
+    copies = F.col("_mix_times") + (F.conv(F.substring(key, 1, 12), 16, 10).cast("long") < F.col("_mix_upto")).cast("long")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
