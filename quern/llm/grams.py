@@ -97,12 +97,10 @@ class Scan:
         }
 
     def _dup_lines(self) -> np.ndarray:
-        cuts = np.flatnonzero(self.cp == 10)
-        start = np.sort(np.concatenate([self.first[:-1][self.lens > 0], cuts + 1]))
-        start = start[start < len(self.cp)]
-        start = np.unique(start)
-        stops = np.sort(np.concatenate([cuts, self.first[1:]]))
-        end = stops[np.searchsorted(stops, start)] if len(start) else start
+        cuts, some = np.flatnonzero(self.cp == 10), self.lens > 0
+        # in order, the k-th start and the k-th end are those of the k-th line
+        start = np.sort(np.concatenate([self.first[:-1][some], cuts + 1]))
+        end = np.sort(np.concatenate([cuts, self.first[1:][some]]))
         words = np.concatenate([[0], np.cumsum(self.solid)])
         some = words[end] > words[start]
         start, end = start[some], end[some]
