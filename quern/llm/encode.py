@@ -19,7 +19,7 @@ import numpy as np
 IRREGULAR = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]|\s\s|\A\s|\s\Z")
 #: The pre-tokens of the other texts.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\n")
-PIECES = 700_000
+PIECES = 400_000
 JOINED = 64
 
 
@@ -94,7 +94,7 @@ def encoder(path: str) -> Encoder:
     return _kept[path]
 
 
-def batches_of(texts: list[str], chars: int = 1 << 22):
+def batches_of(texts: list[str], chars: int = 1 << 21):
     """Index ranges of consecutive texts of about ``chars`` characters."""
     start = size = 0
     for k, t in enumerate(texts):

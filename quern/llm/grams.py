@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BITS = 18
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 SYMBOLS = "#*$%&|<>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -194,7 +194,32 @@ def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values), np.concatenate(dense)
 
 
-def minimise(f, x: np.ndarray, steps: int = 40, memory: int = 8) -> np.ndarray:
+def compact(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns in use, and each entry's place among them; no sort of the entries."""
+    seen = np.zeros(KINDS << BITS, bool)
+    seen[cols] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[cols]
+
+
+def product(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The sparse matrix times x, in slices, so that no array of doubles is as long as the entries."""
+    out, x = np.zeros(n), x.astype(np.float32)
+    for k in range(0, len(rows), 1 << 20):
+        part = slice(k, k + (1 << 20))
+        out += np.bincount(rows[part], values[part] * x[cols[part]], minlength=n)
+    return out
+
+
+def transposed(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The transposed matrix times y."""
+    out, y = np.zeros(n), y.astype(np.float32)
+    for k in range(0, len(rows), 1 << 20):
+        part = slice(k, k + (1 << 20))
+        out += np.bincount(cols[part], values[part] * y[rows[part]], minlength=n)
+    return out
+
+
+def minimise(f, x: np.ndarray, steps: int = 30, memory: int = 8) -> np.ndarray:
     """L-BFGS with backtracking; ``f`` returns value and gradient."""
     value, grad = f(x)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []

@@ -73,22 +73,23 @@ def fit_logistic(texts: list[str], label: np.ndarray) -> np.ndarray:
     if len(set(label)) < 2:
         return out
     rows, cols, values, _ = grams.matrix(texts)
-    used, col = np.unique(cols, return_inverse=True)
+    used, col = grams.compact(cols)
+    del cols
     left = np.arange(len(texts)) % 5 == 4
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * ~left
     share /= share.sum() or 1
     values = values * np.float32(SCALE)
 
     def loss(x):
-        z = np.bincount(rows, values * x[col], minlength=len(texts)) + x[-1]
+        z = grams.product(rows, col, values, x[:-1], len(texts)) + x[-1]
         p = sigmoid(z)
         grad = share * (p - label)
         value = float(share @ (np.logaddexp(0, z) - label * z)) + RIDGE / 2 * float(x[:-1] @ x[:-1])
-        return value, np.append(np.bincount(col, values * grad[rows], minlength=len(used)) + RIDGE * x[:-1], grad.sum())
+        return value, np.append(grams.transposed(rows, col, values, grad, len(used)) + RIDGE * x[:-1], grad.sum())
 
     x = grams.minimise(loss, np.zeros(len(used) + 1))
     out[used] = x[:-1] * SCALE
-    z = np.bincount(rows, values * x[col], minlength=len(texts)) + x[-1]
+    z = grams.product(rows, col, values, x[:-1], len(texts)) + x[-1]
     fresh = left if len(set(label[left])) == 2 else ~left
 
     def platt(ab):
