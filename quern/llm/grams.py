@@ -19,7 +19,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Kinds of grams: words, pairs of words, three and four characters.
 KINDS = 4
-DENSE = 8
+DENSE = 9
 
 _powers = {"n": 0}
 
@@ -154,15 +154,16 @@ class Scan:
             yield (at >> shift).astype(np.int32)[same], self.doc[:last][same]
 
     def dense(self, base: dict[str, np.ndarray]) -> np.ndarray:
-        """Shares that n-grams cannot show: symbols, repeats, duplicate lines, case, digits, distinct words, lengths."""
+        """Shares that n-grams cannot show: symbols, repeats, duplicate lines, case, digits, distinct words, lengths, stutter."""
         n, chars = np.maximum(base["n_words"], 1), np.maximum(self.lens, 1)
         cp = self.cp
         key = np.unique((self.words >> np.uint64(24)) | (self.word_doc.astype(np.uint64) << np.uint64(40)))
         distinct = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=self.n)[: self.n]
+        again = (self.words[1:] == self.words[:-1]) & (self.word_doc[1:] == self.word_doc[:-1])
         out = np.stack([
             base["n_symbols"] / n, base["n_repeat_words"] / n, base["n_dup_lines"] / n,
             self.per_doc(self.doc[(cp >= 65) & (cp <= 90)]) / chars, self.per_doc(self.doc[(cp >= 48) & (cp <= 57)]) / chars,
-            distinct / n, np.log1p(base["n_words"]) / 10, np.minimum(base["word_chars"] / n, 40) / 10,
+            distinct / n, np.log1p(base["n_words"]) / 10, np.minimum(base["word_chars"] / n, 40) / 10, self.per_doc(self.word_doc[1:][again]) / n,
         ], axis=1)
         return np.clip(out, 0, 4)
 
