@@ -182,7 +182,7 @@ def quality_metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
 def substring_score(queries: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
     """Files by 0.3 times the share of the query's words that stand in their description; above 0.05 only."""
     asked = queries.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("q"))
-    pairs = files.select("id", F.lower("description").alias("low")).join(F.broadcast(asked.limit(1000)))  # a stated query set
+    pairs = files.select("id", F.lower("description").alias("low")).crossJoin(maybe_broadcast(asked))  # a stated query set against all rows: a substring has no key
     share = F.size(F.filter("q", lambda w: F.contains(F.col("low"), w))) / F.greatest(F.size("q"), F.lit(1))
     return top(pairs.select("query_id", "id", F.round(0.3 * share, 3).alias("score")).where("score > 0.05"), k)
 

@@ -37,11 +37,12 @@ def repeated_patterns(lists: DataFrame, minimum: int = 3, k: int = 5) -> DataFra
     """The k most frequent patterns, none inside one that is kept. Candidates: patterns at or above the minimum.
 
     A pattern can only be dropped for a more frequent one that holds it, so the dropped are found by one join of the
-    (few) frequent patterns; ties: shorter first, then by text.
+    first patterns. A kept pattern has at most five runs inside it, so k are kept among the first few times k; names that
+    contain other names can drop more, for which a thousand times as many are looked at. Ties: shorter first, then text.
     """
     counted = ngrams(lists).where(F.col("n") >= minimum).withColumn("len", F.size(F.split("gram", "->")))
     order = Window.orderBy(F.desc("n"), "len", "gram")
-    ranked = counted.orderBy(F.desc("n"), "len", "gram").limit(1000).withColumn("pos", F.row_number().over(order))
+    ranked = counted.orderBy(F.desc("n"), "len", "gram").limit(1000 * k).withColumn("pos", F.row_number().over(order))
     a, b = ranked.alias("a"), ranked.alias("b")
     inside = a.join(b, (F.col("a.pos") > F.col("b.pos")) & F.col("b.gram").contains(F.col("a.gram"))).select(F.col("a.gram").alias("gram")).distinct()
     return ranked.join(inside, "gram", "left_anti").orderBy("pos").limit(k).select("gram", "n")

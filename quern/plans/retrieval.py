@@ -8,7 +8,7 @@ from quern.functions import text as T
 from quern.functions import vector as V
 from quern.operators import retrieval as R
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import maybe_broadcast, table
 
 
 def docs(spark, d):
@@ -29,7 +29,7 @@ def each_50th(spark, d):
 
 def item_vectors(spark, d):
     """The vectors that stand for the benchmark queries: equal ids."""
-    ids = F.broadcast(asked(spark, d).select(F.col("query_id").alias("id")).limit(10_000))  # a stated query set
+    ids = maybe_broadcast(asked(spark, d).select(F.col("query_id").alias("id")))
     return vectors(spark, d).join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
 
 
