@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import analytics, assist, documents, extensions, memory, retrieval, sequences, sources, streams, web
+from quern.plans import analytics, assist, documents, extensions, inventory, memory, retrieval, sequences, sources, streams, web
 from quern.plans.registry import QUERIES, SQL
 
-MODULES = (analytics, retrieval, assist, memory, documents, sequences, web, streams, sources, extensions)
+MODULES = (analytics, retrieval, assist, memory, documents, sequences, web, streams, sources, extensions, inventory)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
