@@ -31,8 +31,9 @@ def storage_key(source: Column, digest: Column, name: Column) -> Column:
 
 
 def key_preview(key: Column) -> Column:
-    """First six and last four characters."""
-    return F.when(F.length(key) > 12, F.concat(F.left(key, F.lit(6)), F.lit("..."), F.right(key, F.lit(4)))).otherwise(F.lit("***"))
+    """First six and last four characters; of keys up to twelve the first three and the last two; nothing of none."""
+    ends = lambda a, b: F.concat(F.left(key, F.lit(a)), F.lit("..."), F.right(key, F.lit(b)))
+    return F.when(F.coalesce(key, F.lit("")) == "", "").when(F.length(key) <= 12, ends(3, 2)).otherwise(ends(6, 4))
 
 
 def block_type(mime: Column, name: Column, text: Column) -> Column:

@@ -27,6 +27,7 @@ def title(html: Column) -> Column:
     return strip(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
+#: What becomes of tags in raw text, in this order.
 RAW = (
     (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""),
     *((rf"(?i)<h{n}[^>]*>(.*?)</h{n}>", "#" * n + " $1\n") for n in range(1, 7)),
@@ -39,10 +40,14 @@ def raw_text(html: Column) -> Column:
     return strip(chain(decode(chain(html, RAW)), ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))))
 
 
+#: Entities that file stripping decodes, in this order, after white space was joined.
+FILE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+
+
 def stripped(html: Column, keep_lines: bool = False) -> Column:
-    """Plain text of an HTML file: scripts, styles and tags out, entities decoded, white space as one blank."""
-    steps = ((r"(?is)<(script|style)[^>]*>.*?</\1>", " "), *((((r"(?i)<br\s*/?>", "\n"),)) if keep_lines else ()), (r"<[^>]+>", " "))
-    return strip(F.regexp_replace(decode(chain(html, steps)), r"\s+", " "))
+    """Plain text of an HTML file: no scripts, styles and tags, white space as one blank, then entities decoded."""
+    steps = ((r"(?is)<(script|style)[^>]*>.*?</\1>", ""), *(((r"(?i)<br\s*/?>", "\n"),) if keep_lines else ()), (r"<[^>]+>", " "), (r"\s+", " "))
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), FILE_ENTITIES, strip(chain(html, steps)))
 
 
 def hrefs(html: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.prices import DEFAULT_PRICE, LOCAL_PREFIX, MODEL_PRICES
 from quern.sources.adapters import now
 
 
@@ -81,20 +82,17 @@ def health(usage: DataFrame, log: DataFrame, as_of: str, budget: float) -> DataF
     return both.select("success_rate", "today_cost", "today_calls", "yesterday_cost", "yesterday_calls", error.alias("error_rate"), share.alias("budget_pct"), status.alias("status"))
 
 
-#: Price in USD for a million tokens of input, output and cache reads, by model; families end in a star.
-PRICES = (
-    ("click", 3.0, 15.0, 0.3), ("view", 0.8, 4.0, 0.08), ("purchase", 15.0, 75.0, 1.5), ("local/*", 0.0, 0.0, 0.0),
-)
-DEFAULT_PRICE = (3.0, 15.0, 0.3)
+def priced(usage: DataFrame, prices=MODEL_PRICES, default=DEFAULT_PRICE) -> DataFrame:
+    """``usage`` with ``cost``: prices by exact model, then local models (a prefix, or a tag after a colon) for free, then the default.
 
-
-def priced(usage: DataFrame, prices=PRICES, default=DEFAULT_PRICE) -> DataFrame:
-    """``usage`` with ``cost``: prices by exact model, then local models for free, then the default."""
-    dim = usage.sparkSession.createDataFrame([p for p in prices if not p[0].endswith("*")], "_model string, p_in double, p_out double, p_cache double")
-    local = F.col("model").startswith("local/") | F.col("model").contains(":")
+    Tokens that a cache is filled with (``cache_creation_tokens``, if there is such a column) cost as much as input.
+    """
+    dim = usage.sparkSession.createDataFrame(list(prices), "_model string, p_in double, p_out double, p_cache double")
+    local = F.col("model").startswith(LOCAL_PREFIX) | F.col("model").contains(":")
     price = lambda c, k: F.coalesce(F.col(c), F.when(local, 0.0).otherwise(default[k]))
     joined = usage.join(F.broadcast(dim), F.col("model") == F.col("_model"), "left")  # a price list of fixed size
-    cost = F.col("input_tokens") * price("p_in", 0) + F.col("output_tokens") * price("p_out", 1) + F.col("cache_read_tokens") * price("p_cache", 2)
+    fill = F.coalesce(F.col("cache_creation_tokens"), F.lit(0)) if "cache_creation_tokens" in usage.columns else F.lit(0)
+    cost = (F.col("input_tokens") + fill) * price("p_in", 0) + F.col("output_tokens") * price("p_out", 1) + F.col("cache_read_tokens") * price("p_cache", 2)
     return joined.select(*usage.columns, (cost / 1_000_000).alias("cost"))
 
 

@@ -162,18 +162,24 @@ def last_n(chat: DataFrame, n: int = 6) -> DataFrame:
     return chat.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= n).drop("_n").orderBy("user_id", "id")
 
 
+#: How a summary is handed over, and what the assistant answers for short and for cut histories.
+HANDOVER, SHORT_REPLY, CUT_REPLY = "[Previous context]: ", "Understood, I'll keep that context in mind.", "Understood."
+
+
 def compressed(chat: DataFrame, summaries: DataFrame, n: int = 6) -> DataFrame:
     """Two rows that hand over the summary, then the last n messages; users without a summary have the messages only."""
+    sizes = chat.groupBy("user_id").agg(F.count("*").alias("_n"))
+    reply = F.when(F.coalesce("_n", F.lit(0)) <= n, SHORT_REPLY).otherwise(CUT_REPLY)
     rows = F.array(
-        F.struct(F.lit(-2).cast("long").alias("id"), F.lit("user").alias("role"), F.concat(F.lit("[Previous conversation summary: "), F.col("summary"), F.lit("]")).alias("content")),
-        F.struct(F.lit(-1).cast("long").alias("id"), F.lit("assistant").alias("role"), F.lit("I understand the context. How can I help?").alias("content")),
+        F.struct(F.lit(-2).cast("long").alias("id"), F.lit("user").alias("role"), F.concat(F.lit(HANDOVER), F.col("summary")).alias("content")),
+        F.struct(F.lit(-1).cast("long").alias("id"), F.lit("assistant").alias("role"), reply.alias("content")),
     )
-    head = summaries.select("user_id", F.explode(rows).alias("r")).select("user_id", "r.*")
+    head = summaries.where("summary <> ''").join(sizes, "user_id", "left").select("user_id", F.explode(rows).alias("r")).select("user_id", "r.*")
     return head.unionByName(last_n(chat, n).select("user_id", F.col("id").cast("long").alias("id"), "role", "content"))
 
 
 def flatten_blocks(content: Column) -> Column:
-    """Text of a JSON array of blocks; other contents as they are."""
-    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
-    joined = F.array_join(F.filter(F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"])), lambda x: x.isNotNull()), " ")
+    """Texts of a JSON array of blocks, joined by blanks (a block without a text is empty); other contents as they are."""
+    blocks = F.from_json(content, "array<struct<text:string>>")
+    joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), " ")
     return F.when(content.startswith("[") & blocks.isNotNull(), joined).otherwise(content)

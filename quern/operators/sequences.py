@@ -166,28 +166,35 @@ def tool_call(text: Column) -> Column:
     return F.coalesce(parse(text), parse(fenced), parse(F.translate(text, "'", '"')))
 
 
+#: Words of schedules, in the order in which they are tried.
+DAILY = r"(?:каждый\s*день|ежедневно|daily|dayly|every\s*day)"
+CLOCK = r"(?:\s+(?:в|at))?\s+(\d{1,2})[:.](\d{2})"
+HOUR = r"(?:\s+(?:в|at))?\s+(\d{1,2})(?:\s|$)"
+EACH_MINUTES, EACH_HOURS = r"(?:каждые?|every)\s+(\d+)\s*(?:мин|min)", r"(?:каждые?|every)\s+(\d+)\s*(?:час|hour|hr)"
+EACH_MINUTE, EACH_HOUR = r"каждую\s*минуту|every\s*min", r"каждый\s*час|every\s*hour"
+WORKDAYS = r"(?:по\s*будням|будни|weekdays?)"
+DAYS = (
+    (r"понедельник|monday|mon", 1), (r"вторник|tuesday|tue", 2), (r"сред[аы]|wednesday|wed", 3), (r"четверг|thursday|thu", 4),
+    (r"пятниц[аы]|friday|fri", 5), (r"суббот[аы]|saturday|sat", 6), (r"воскресень[еям]|sunday|sun", 0),
+)
+AT = r"(\d{1,2})[:.](\d{2})"
+#: Requests for one moment: they have no cron expression.
+ONCE = r"(?:через|in|after)\s+\d+\s*(?:мин|min|час|hour|hr|сек|sec)|^\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}"
+
+
 def schedule(text: Column) -> Column:
     """The cron expression of a request in words (English or Russian); null where it names one moment or nothing."""
     s = F.lower(text)
-    daily = r"(?:каждый\s*день|ежедневно|daily|every\s*day)"
-    part = lambda p, k=1: F.regexp_extract(s, p, k)
-    number = lambda p, k=1: F.regexp_replace(part(p, k), "^0+(?=.)", "")
-    clock = daily + r"(?:\s+(?:в|at))?\s+(\d{1,2})[:.](\d{2})"
-    hour = daily + r"(?:\s+(?:в|at))?\s+(\d{1,2})(?:\s|$)"
-    work = r"(?:по\s*будням|будни|weekdays?)(?:\s+(?:в|at))?\s+(\d{1,2})[:.](\d{2})"
-    days = ((r"понедельник|monday", 1), (r"вторник|tuesday", 2), (r"сред[аы]|wednesday", 3), (r"четверг|thursday", 4), (r"пятниц[аы]|friday", 5), (r"суббот[аы]|saturday", 6), (r"воскресень[еям]|sunday", 0))
-    at = r"(\d{1,2})[:.](\d{2})"
-    out = (
-        F.when(s.rlike(r"^[\d*/,-]+(\s+[\d*/,-]+){4}$"), s)
-        .when(s.rlike(clock), F.concat_ws(" ", number(clock, 2), number(clock), F.lit("* * *"))).when(s.rlike(hour), F.concat_ws(" ", F.lit("0"), number(hour), F.lit("* * *"))).when(s.rlike(daily), "0 9 * * *")
-        .when(s.rlike(r"(?:каждые?|every)\s+(\d+)\s*(?:мин|min)"), F.concat(F.lit("*/"), part(r"(?:каждые?|every)\s+(\d+)\s*(?:мин|min)"), F.lit(" * * * *")))
-        .when(s.rlike(r"(?:каждые?|every)\s+(\d+)\s*(?:час|hour|hr)"), F.concat(F.lit("0 */"), part(r"(?:каждые?|every)\s+(\d+)\s*(?:час|hour|hr)"), F.lit(" * * *")))
-        .when(s.rlike(r"каждую\s*минуту|every\s*min"), "* * * * *").when(s.rlike(r"каждый\s*час|every\s*hour"), "0 * * * *")
-        .when(s.rlike(work), F.concat_ws(" ", number(work, 2), number(work), F.lit("* * 1-5")))
-    )
-    for names, day in days:
-        out = out.when(s.rlike(names), F.when(s.rlike(at), F.concat_ws(" ", number(at, 2), number(at), F.lit(f"* * {day}"))).otherwise(f"0 9 * * {day}"))
-    return out
+    number = lambda p, k: F.regexp_replace(F.regexp_extract(s, p, k), "^0+(?=.)", "")
+    timed = lambda p, rest: F.concat_ws(" ", number(p, 2), number(p, 1), F.lit(rest))
+    ladder = [
+        (r"^[\d*/,-]+(\s+[\d*/,-]+){4}$", s), (ONCE, F.lit(None)), (DAILY + CLOCK, timed(DAILY + CLOCK, "* * *")),
+        (DAILY + HOUR, F.concat_ws(" ", F.lit("0"), number(DAILY + HOUR, 1), F.lit("* * *"))), (DAILY, F.lit("0 9 * * *")),
+        (EACH_MINUTES, F.concat(F.lit("*/"), number(EACH_MINUTES, 1), F.lit(" * * * *"))), (EACH_HOURS, F.concat(F.lit("0 */"), number(EACH_HOURS, 1), F.lit(" * * *"))),
+        (EACH_MINUTE, F.lit("* * * * *")), (EACH_HOUR, F.lit("0 * * * *")), (WORKDAYS + CLOCK, timed(WORKDAYS + CLOCK, "* * 1-5")),
+        *((names, F.when(s.rlike(AT), timed(AT, f"* * {day}")).otherwise(f"0 9 * * {day}")) for names, day in DAYS),
+    ]
+    return reduce(lambda out, rung: out.when(s.rlike(rung[0]), rung[1]), ladder[1:], F.when(s.rlike(ladder[0][0]), ladder[0][1]))
 
 
 def skill(calls: Column, request: Column, least: int = 3) -> Column:

@@ -137,7 +137,8 @@ def a25(spark, d):
 @query("j10_cost_with_pricing", f"""WITH {USAGE_SQL}, p(m, i, o, c) AS (VALUES ('click', 3.0::DOUBLE, 15.0::DOUBLE, 0.3::DOUBLE), ('view', 0.8, 4.0, 0.08), ('purchase', 15.0, 75.0, 1.5))
  SELECT user_id, round(sum((input_tokens * coalesce(i, 3.0::DOUBLE) + output_tokens * coalesce(o, 15.0::DOUBLE) + cache_read_tokens * coalesce(c, 0.3::DOUBLE)) / 1000000), 6) AS cost FROM usage LEFT JOIN p ON m = model GROUP BY user_id""")
 def j10(spark, d):
-    return A.priced(S.usage(spark, d)).groupBy("user_id").agg(F.round(F.sum("cost"), 6).alias("cost"))
+    prices = [("click", 3.0, 15.0, 0.3), ("view", 0.8, 4.0, 0.08), ("purchase", 15.0, 75.0, 1.5)]
+    return A.priced(S.usage(spark, d), prices).groupBy("user_id").agg(F.round(F.sum("cost"), 6).alias("cost"))
 
 
 @query("e12_budget_gate", f"""WITH {USAGE_SQL}, s AS (SELECT id, user_id, ts, round(coalesce(sum(cost_usd) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS spent FROM usage)

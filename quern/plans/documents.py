@@ -92,13 +92,13 @@ def a21(spark, d):
     return found.groupBy("bucket", "name").agg(F.count("*").alias("n"))
 
 
-@query("a22_context", f"""WITH {OVERLAP}, h AS ({cut('ov', 5)}), f AS (SELECT query_id, source AS doc, substr(text, 1, 80) AS content, min(rank) AS rank FROM h JOIN documents ON doc_id = id GROUP BY ALL),
- g AS (SELECT query_id, min(rank) AS rank, '[' || doc || ']' || chr(10) || string_agg(content, chr(10) ORDER BY rank) AS body FROM f GROUP BY query_id, doc)
- SELECT query_id, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS context FROM g GROUP BY query_id""")
+@query("a22_context", f"""WITH {OVERLAP}, h AS ({cut('ov', 5)}), f AS (SELECT query_id, source AS doc, lang AS section, substr(text, 1, 80) AS content, min(rank) AS rank FROM h JOIN documents ON doc_id = id GROUP BY ALL),
+ g AS (SELECT query_id, min(rank) AS rank, '## Источник: "' || doc || '"' || chr(10) || string_agg(chr(10) || '[, раздел "' || section || '"]' || chr(10) || content, chr(10) ORDER BY rank) || chr(10) AS body FROM f GROUP BY query_id, doc)
+ SELECT query_id, string_agg(body, chr(10) ORDER BY rank) AS context FROM g GROUP BY query_id""")
 def a22(spark, d):
     hits = R.word_overlap(docs(spark, d), asked(spark, d), 5)
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.substring("text", 1, 80).alias("content"))
-    return D.context(hits.join(own, "id").select("query_id", "rank", "doc", "content"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.substring("text", 1, 80).alias("content"))
+    return D.context(hits.join(own, "id").select("query_id", "rank", "doc", "page", "section", "content"))
 
 
 @query("d17_file_key", f"""WITH {FILES_SQL} SELECT id, 'files/' || source || '/' || substr(sha256(name), 1, 16) || '_' || substr(regexp_replace(name, '\\.[^./]+$', ''), 1, 60) || '.' || ext AS storage_key FROM files""")
@@ -126,7 +126,7 @@ def s14(spark, d):
     return f.select("id", FF.block_type(F.col("mime_type"), F.col("name"), text).alias("kind"))
 
 
-@query("f15_key_preview", "SELECT p_partkey, CASE WHEN length(k) > 12 THEN left(k, 6) || '...' || right(k, 4) ELSE '***' END AS preview FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE md5(p_name) END AS k FROM part)")
+@query("f15_key_preview", "SELECT p_partkey, CASE WHEN length(k) > 12 THEN left(k, 6) || '...' || right(k, 4) ELSE left(k, 3) || '...' || right(k, 2) END AS preview FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE md5(p_name) END AS k FROM part)")
 def f15(spark, d):
     key = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.md5("p_name"))
     return table(spark, d, "part").select("p_partkey", FF.key_preview(key).alias("preview"))

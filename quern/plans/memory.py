@@ -135,7 +135,7 @@ def m15(spark, d):
     return M.summary(S.chat(spark, d))
 
 
-@query("m16_flatten_blocks", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || ' end' ELSE text END AS content FROM conversations")
+@query("m16_flatten_blocks", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || ' x end' ELSE text END AS content FROM conversations")
 def m16(spark, d):
     block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
     packed = F.to_json(F.array(block("text", F.col("text")), block("image", F.lit("x")), block("text", F.lit("end"))))
@@ -159,9 +159,10 @@ def w01(spark, d):
     return M.last_n(S.chat(spark, d))
 
 
-@query("w02_compressed_history", f"""WITH {CHAT_SQL}, s AS (SELECT user_id, right(string_agg(content, ' ' ORDER BY id), 500) AS summary FROM chat GROUP BY user_id)
+@query("w02_compressed_history", f"""WITH {CHAT_SQL}, s AS (SELECT user_id, count(*) AS n, right(string_agg(content, ' ' ORDER BY id), 500) AS summary FROM chat GROUP BY user_id)
  SELECT user_id, id, role, content FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS n FROM chat) WHERE n <= 6
- UNION ALL SELECT user_id, -2, 'user', '[Previous conversation summary: ' || summary || ']' FROM s UNION ALL SELECT user_id, -1, 'assistant', 'I understand the context. How can I help?' FROM s""")
+ UNION ALL SELECT user_id, -2, 'user', '{M.HANDOVER}' || summary FROM s WHERE summary <> ''
+ UNION ALL SELECT user_id, -1, 'assistant', CASE WHEN n <= 6 THEN '{M.SHORT_REPLY.replace("'", "''")}' ELSE '{M.CUT_REPLY}' END FROM s WHERE summary <> ''""")
 def w02(spark, d):
     chat = S.chat(spark, d)
     return M.compressed(chat, M.summary(chat))

@@ -33,12 +33,12 @@ def s07(spark, d):
     return X.listing(spark, f"{d}/documents.parquet").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
-@query("s10_log_tail", """SELECT event_id AS pos, CAST(ts AS VARCHAR) AS ts, 'ERROR' AS level, 'quern' AS logger, 'user ' || user_id || ' failed' AS message FROM events WHERE event_type = 'error' AND event_id % 9 <> 0 AND contains('user ' || user_id, '1') ORDER BY event_id DESC LIMIT 100""")
+@query("s10_log_tail", """SELECT event_id AS pos, CAST(ts AS VARCHAR) AS ts, 'ERROR' AS level, 'quern' AS logger, 'user ' || user_id || ' failed' AS message FROM events WHERE event_type = 'error' AND event_id % 9 <> 0 AND starts_with('user ' || user_id, 'user 1') ORDER BY event_id DESC LIMIT 100""")
 def s10(spark, d):
     row = F.struct(F.col("ts").cast("string").alias("ts"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.lit("quern").alias("logger"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" failed")).alias("message"))
     line = F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(row))
     lines = table(spark, d, "events").select(F.col("event_id").alias("pos"), line.alias("line"))
-    return X.log_tail(lines, 100, "ERROR", "1")
+    return X.log_tail(lines, 100, "error", "user 1")
 
 
 @query("s15_frontmatter", "SELECT doc_id, lang AS name, source AS keywords, length(text) AS body_length FROM documents")
@@ -64,7 +64,7 @@ def s13(spark, d):
     return memories(spark, d).select("id", "user_id", "created_at").orderBy("user_id", "id")
 
 
-@query("k01_markdown_export", f"WITH {MEMORIES_SQL} SELECT id, '- [fact] ' || substr(content, 1, 60) || ' (importance: ' || printf('%.1f', importance) || ')' AS line FROM memories")
+@query("k01_markdown_export", f"WITH {MEMORIES_SQL} SELECT id, '- **[fact]** ' || substr(content, 1, 60) || ' _(importance: ' || importance || ')_' AS line FROM memories")
 def k01(spark, d):
     return X.markdown_lines(memories(spark, d).select("id", F.lit("fact").alias("type"), F.substring("content", 1, 60).alias("content"), "importance"))
 

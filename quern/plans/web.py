@@ -14,8 +14,8 @@ from quern.sources.adapters import AS_OF, now
 STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
 
-def decode(x: str) -> str:
-    for a, b in H.NAMED:
+def decode(x: str, entities=H.NAMED) -> str:
+    for a, b in entities:
         a, b = a.replace("'", "''"), b.replace("'", "''")
         x = f"replace({x}, '{a}', '{b}')"
     return x
@@ -117,6 +117,9 @@ def p09(spark, d):
     return table(spark, d, "events").select("event_id", h.alias("host"), H.private_address(h).alias("private"))
 
 
-@query("s02_html_strip", f"""SELECT page_id, {STRIP.format("regexp_replace(" + decode(r"regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')") + r", '\s+', ' ', 'g')")} AS text FROM pages""")
+PLAIN = STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
+
+
+@query("s02_html_strip", f"SELECT page_id, {decode(PLAIN, H.FILE_ENTITIES)} AS text FROM pages")
 def s02(spark, d):
     return table(spark, d, "pages").select("page_id", H.stripped(F.col("html")).alias("text"))

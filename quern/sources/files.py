@@ -35,11 +35,10 @@ def documents(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFra
 def log_tail(lines: DataFrame, limit: int = 100, level: str | None = None, search: str | None = None) -> DataFrame:
     """The newest rows of JSON lines (pos, line); lines that aren't JSON are skipped."""
     row = F.from_json("line", "ts string, level string, logger string, message string")
-    parsed = lines.select("pos", row.alias("r")).where("r.ts IS NOT NULL").select("pos", "r.*")
-    if level:
-        parsed = parsed.where(F.col("level") == level)
-    if search:
-        parsed = parsed.where(F.lower("message").contains(search.lower()))
+    some = lines.where(F.lower("line").contains(search.lower())) if search else lines
+    parsed = some.select("pos", row.alias("r")).where("r.ts IS NOT NULL").select("pos", "r.*")
+    if level and level != "all":
+        parsed = parsed.where(F.col("level") == level.upper())
     return parsed.orderBy(F.desc("pos")).limit(limit)
 
 
@@ -62,7 +61,7 @@ def directives(docs: DataFrame) -> DataFrame:
 
 def markdown_lines(memories: DataFrame) -> DataFrame:
     """(id, line): one bullet a memory."""
-    return memories.select("id", F.format_string("- [%s] %s (importance: %.1f)", F.col("type"), F.col("content"), F.col("importance")).alias("line"))
+    return memories.select("id", F.format_string("- **[%s]** %s _(importance: %s)_", F.col("type"), F.col("content"), F.col("importance")).alias("line"))
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:

@@ -278,3 +278,22 @@ def test_corrective_search_only_adds(spark):
     for r in assist.corrective(lambda q: Q.word_overlap(docs, q, 5), asked, lambda t: assist.halves(t)[1], 0.9, k=100).collect():
         again[r.query_id, r.id] = r.score
     assert all(again[k] >= v for k, v in first.items())
+
+
+@pytest.mark.parametrize("model, tokens, want", [
+    ("claude-sonnet-4-20250514", (1_000_000, 1_000_000, 0, 0), 18.0), ("claude-haiku-4-5-20251001", (100_000, 50_000, 500_000, 0), 0.32),
+    ("never-heard-of", (1_000_000, 0, 0, 0), 3.0), ("ollama/x", (1_000_000, 1_000_000, 0, 0), 0.0), ("qwen3:32b", (9, 9, 9, 9), 0.0), ("gpt-4o", (0, 0, 0, 1_000_000), 2.5),
+])
+def test_cost(spark, model, tokens, want):
+    from quern.operators import analytics
+
+    usage = spark.createDataFrame([(model, *tokens)], "model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long")
+    assert analytics.priced(usage).first().cost == pytest.approx(want)
+
+
+def test_short_keys_and_histories(spark):
+    assert one(spark, FF.key_preview(F.lit("abcdefghij")), FF.key_preview(F.lit(""))) == ("abc...ij", "")
+    chat = spark.createDataFrame([(1, k, "user", f"m{k}") for k in range(10)] + [(2, 0, "user", "hi")], "user_id long, id long, role string, content string")
+    got = {(r.user_id, r.id): r.content for r in M.compressed(chat, M.summary(chat)).collect()}
+    assert [k for u, k in sorted(got) if u == 1] == [-2, -1, 4, 5, 6, 7, 8, 9]
+    assert got[1, -1] == M.CUT_REPLY and got[2, -1] == M.SHORT_REPLY and got[2, -2] == M.HANDOVER + "hi"
