@@ -148,7 +148,8 @@ def entity_search(mentions: DataFrame, queries: DataFrame, k: int = 10) -> DataF
     ``mentions``: (name, chunk_id); ``queries``: (query_id, names, words).
     """
     names = queries.select("query_id", F.explode(F.transform("names", F.lower)).alias("name"))
-    exact = mentions.withColumn("name", F.lower("name")).join(maybe_broadcast(names), "name").select("query_id", F.col("chunk_id").alias("id"), F.lit(1.0).alias("score"))
+    # read twice below, and the mentions come from a scan of all chunks
+    exact = materialise(mentions.withColumn("name", F.lower("name")).join(maybe_broadcast(names), "name").select("query_id", F.col("chunk_id").alias("id"), F.lit(1.0).alias("score")), "entity-hits")
     missed = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     words = missed.select("query_id", F.explode("words").alias("word")).where(F.length("word") > 3)
     parts = mentions.select("chunk_id", F.explode(T.terms(F.col("name"))).alias("word"))
