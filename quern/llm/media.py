@@ -5,7 +5,7 @@ task's tar shard in the shared folder; equal payloads of a shard are stored once
 index carry digest, shard, offset and length, never the bytes. ``read_metadata`` fills the metadata columns from a
 range read of the first bytes of each object; ``read_features`` range-reads whole objects and decodes them.
 
-No step shuffles a payload. A retried task writes a shard under a new name, and only the rows of the attempt that
+No step shuffles a payload, only the index is dealt out by shard. A retried task writes a shard under a new name, and only the rows of the attempt that
 succeeded are in the index, so a lost executor costs a repeated task and an unreferenced file.
 
 Edge cases: a null text is an empty one; an empty text is one row of 64 zero bytes; copies share one object per shard and
@@ -181,7 +181,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     root = scratch(spark, "media")
     write_shards(docs, f"{root}/shards").write.parquet(f"{root}/index")
-    index = spark.read.parquet(f"{root}/index")
+    # a shard's rows go to one task, in the order of its bytes: reads are sequential and copies stand together
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = spark.read.parquet(f"{root}/index").repartition(parts, "shard").sortWithinPartitions("shard", "offset")
     return read_features(read_metadata(index, f"{root}/shards"), f"{root}/shards")
 
 
