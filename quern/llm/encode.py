@@ -11,18 +11,25 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
-#: Texts with other characters or white space, two white-space characters in a row, or one at an end are encoded whole.
-IRREGULAR = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]|\s\s|\A\s|\s\Z")
+#: Texts with other characters are encoded whole, and so are those with two white-space characters in a row or one at an end.
+OTHER = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]")
 #: The pre-tokens of the other texts.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\n")
-PIECES = 400_000
+#: Pieces remembered in each of two generations; what the newer one lacks is looked up, and moved up, from the older.
+GENERATION = 350_000
 JOINED = 64
 
 
+def regular(text: str) -> bool:
+    """Whether the edges of a text's pre-tokens follow from PIECE."""
+    return not (
+        text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or OTHER.search(text)
+    )
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -40,6 +47,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         (feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed
 
@@ -57,10 +65,12 @@ class Encoder:
                 self.pieces[word] = data[a + size : b]
 
     def _learn(self, pieces: set[str]) -> None:
-        missing = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(missing) > PIECES:
-            self.pieces.clear()
-            missing = list(pieces)
+        """Encodes, or moves up from the older generation, pieces that the newer one lacks."""
+        if len(self.pieces) + len(pieces) > GENERATION:
+            self.older, self.pieces = self.pieces, {}
+        known = pieces & self.older.keys()
+        self.pieces.update((p, self.older[p]) for p in known)
+        missing = pieces - known
         letters = [p for p in missing if p[-1].isalpha() and p[0] != "'"]
         others = [p for p in missing if not (p[-1].isalpha() and p[0] != "'")]
         self._words(letters)
@@ -73,12 +83,28 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()  # millions of short strings, none in a cycle
         try:
-            odd = {k for k, t in enumerate(texts) if IRREGULAR.search(t)}
-            whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True))
-            cut = [[] if k in odd else PIECE.findall(t) for k, t in enumerate(texts)]
-            self._learn(set(chain.from_iterable(cut)))
-            get = self.pieces.__getitem__
-            return [whole[k] if k in odd else b"".join(map(get, parts)) for k, parts in enumerate(cut)]
+            odd = [k for k, t in enumerate(texts) if not regular(t)]
+            out: list = [b""] * len(texts)
+            for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
+                out[k] = ids
+            skip, get, open_, need = set(odd), self.pieces.get, [], set()
+            for k, t in enumerate(texts):
+                if k in skip or not t:
+                    continue
+                parts = PIECE.findall(t)
+                ids = list(map(get, parts))
+                if None in ids:
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    need.update([parts[i] for i in gaps])
+                    open_.append((k, ids, [(i, parts[i]) for i in gaps]))
+                else:
+                    out[k] = b"".join(ids)
+            self._learn(need)
+            for k, ids, gaps in open_:
+                for i, piece in gaps:
+                    ids[i] = self.pieces[piece]
+                out[k] = b"".join(ids)
+            return out
         finally:
             if collecting:
                 gc.enable()
@@ -94,7 +120,7 @@ def encoder(path: str) -> Encoder:
     return _kept[path]
 
 
-def batches_of(texts: list[str], chars: int = 1 << 21):
+def batches_of(texts: list[str], chars: int = 1 << 20):
     """Index ranges of consecutive texts of about ``chars`` characters."""
     start = size = 0
     for k, t in enumerate(texts):
