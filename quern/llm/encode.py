@@ -120,6 +120,11 @@ def encoder(path: str) -> Encoder:
     return _kept[path]
 
 
+def forget() -> None:
+    """Drops what this worker remembers: workers are used again by stages that need their memory for other things."""
+    _kept.clear()
+
+
 def batches_of(texts: list[str], chars: int = 1 << 20):
     """Index ranges of consecutive texts of about ``chars`` characters."""
     start = size = 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import grams
+from quern.llm import encode, grams
 from quern.session import prepare, table
 
 SAMPLE = 3000
@@ -48,6 +48,7 @@ def fit_task(fit):
     """A mapInArrow function for one partition of (_id, text, label): ``fit(texts, labels)`` as one binary row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.forget()
         rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)), key=lambda r: r[0])
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
         yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(model, np.float32).tobytes()], pa.binary())], names=["model"])
@@ -117,6 +118,7 @@ def verdicts(docs: DataFrame, model: np.ndarray, keep: float = KEEP) -> DataFram
     at = held.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.forget()
         for batch in batches:
             texts, found = [x or "" for x in batch.column(at).to_pylist()], {c: [] for c, _ in new}
             for part in grams.chunks(texts):

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import encode
 from quern.session import materialise, prepare, table
 
 SHINGLE = 4
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.forget()
         for batch in batches:
             fps = [signed(fingerprint(x.as_py(), size)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
