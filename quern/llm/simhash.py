@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import encode
+from quern.llm import encode, jaccard
 from quern.session import materialise, prepare, table
 
 SHINGLE = 4
@@ -36,24 +36,35 @@ SEED = 42
 BLOCKS = 6
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a whole text, unsigned."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Digests of the word shingles of a whole text in order; one of the whole text if it has no more words than that."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data, n = b" ".join(words), len(words)
     if n <= size:
-        return xxhash.xxh64_intdigest(data, SEED)
+        return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = (ends[: n - size + 1] - [len(w) + 1 for w in words[: n - size + 1]]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[s:e], SEED) for s, e in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(data[s:e], SEED) for s, e in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle digests: the bits that most of them have."""
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int((np.uint64(1) << np.flatnonzero(2 * counts > len(h)).astype(np.uint64)).sum())
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a whole text, unsigned."""
+    return majority(shingles(text, size))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -249,17 +260,27 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) of each row."""
-    fps = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    label = components(materialise(links(nodes), "links"))
-    joined = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+def groups(docs: DataFrame, similarity: float | None = jaccard.SIMILARITY) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of the component) of each row.
+
+    Links are the pairs of that Jaccard similarity or more on sets of five words (``jaccard``); without a similarity, the
+    fingerprints within RADIUS bits.
+    """
+    if similarity is None:
+        rows = materialise(fingerprints(docs).withColumn("node", F.col("fp")), "fingerprints")
+    else:
+        rows = materialise(jaccard.sketches(docs), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    if similarity is None:
+        label = components(materialise(links(nodes.withColumnRenamed("node", "fp")), "links"))
+    else:
+        label = jaccard.labels(rows, similarity)
+    joined = nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = materialise(joined.join(least, "label").select("fp", "component_id"), "of-fp")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_node = materialise(joined.join(least, "label").select("node", "component_id"), "of-node")
+    return rows.select("doc_id", "fp", "node").join(of_node, "node").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    found = groups(table(spark, sf_dir, "documents"))
+    found = groups(table(spark, sf_dir, "documents"), similarity=None)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
