@@ -97,23 +97,34 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     return top(vectors.select("id", "embedding").mapInArrow(run, "query_id bigint, id bigint, score double"), k)
 
 
-def ann(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 10, seed: int = 7) -> DataFrame:
-    """Approximate cosine neighbours: random-hyperplane signatures, equi-join on (table, signature), exact re-scoring."""
+def ann(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 10, seed: int = 7, probes: int = 32) -> DataFrame:
+    """Approximate cosine neighbours: random-hyperplane signatures, equi-join on (table, signature), exact re-scoring.
+
+    In each table a query asks for the ``probes`` signatures that its margins make likeliest, its own first.
+    """
     spark = prepare(vectors.sparkSession)
     width = len(queries.select("embedding").first()[0])
     planes = spark.sparkContext.broadcast(np.random.default_rng(seed).standard_normal((tables, bits, width)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    flips = np.arange(1 << bits)[:, None] >> np.arange(bits) & 1
+
+    def run(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, width)
             unit = v / np.maximum(np.sqrt((v**2).sum(1)), 1e-12)[:, None]
-            sign = np.einsum("tbw,nw->ntb", planes.value, unit) > 0
-            code = (sign * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
+            margin = np.einsum("tbw,nw->ntb", planes.value, unit)
+            code = ((margin > 0) * (1 << np.arange(bits))).sum(2)
+            if most > 1:
+                likely = np.argsort(margin**2 @ flips.T, 2, kind="stable")[:, :, :most]
+                code = (code[:, :, None] ^ likely) + (np.arange(tables) << bits)[:, None]
+            else:
+                code = code + (np.arange(tables) << bits)
+            code = code.reshape(len(v), -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(code), pa.list_(pa.int64()))], names=["id", "unit", "codes"])
 
-    signed = lambda df, key: df.select(F.col(key).cast("long").alias("id"), "embedding").mapInArrow(run, "id bigint, unit array<double>, codes array<bigint>")
+    signed = lambda df, key, most=1: df.select(F.col(key).cast("long").alias("id"), "embedding").mapInArrow(lambda b: run(b, most), "id bigint, unit array<double>, codes array<bigint>")
     own = signed(vectors, "id").select("id", "unit", F.explode("codes").alias("code"))
-    asked = signed(queries, "query_id").select(F.col("id").alias("query_id"), F.col("unit").alias("q"), F.explode("codes").alias("code"))
+    asked = signed(queries, "query_id", probes).select(F.col("id").alias("query_id"), F.col("unit").alias("q"), F.explode("codes").alias("code"))
     pairs = own.join(maybe_broadcast(asked), "code").groupBy("query_id", "id").agg(F.first("unit").alias("unit"), F.first("q").alias("q"))
     score = F.aggregate(F.zip_with("unit", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return top(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k)
