@@ -112,26 +112,28 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "label", bloc
     return dealt.groupBy(key, "i", "j").applyInPandas(run, "a bigint, b bigint, cosine double")
 
 
-def leaders(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def leaders(pairs: DataFrame) -> DataFrame:
     """Greedy leader clusters from similar pairs (a, b), a < b: (id, leader) of all rows in some pair.
 
-    In id order a row leads unless an earlier leader absorbed it. A row whose smaller neighbours are all settled can be
-    settled, so rows settle in rounds and not one by one; there are as many rounds as the longest chain of neighbours.
+    In id order a row leads unless an earlier leader absorbed it. A row is settled as soon as its first leader is known,
+    which no smaller open neighbour can come before, so a group of copies takes two rounds; a row without a leader waits
+    for its smaller neighbours. Rounds go on until no row is open.
     """
     from quern.session import materialise
 
     pairs = materialise(pairs.select("a", "b"), "leader-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "leader-ids")
     state = materialise(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")), "leaders")
-    total = ids.count()
-    for _ in range(rounds):
-        if state.count() == total:
-            break
+    total, settled = ids.count(), state.count()
+    while settled < total:
         open_ = ids.join(state, "id", "left_anti")
         smaller = open_.join(pairs.withColumnRenamed("b", "id"), "id").join(state.select(F.col("id").alias("a"), F.col("leader")), "a", "left")
-        ready = smaller.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("waiting"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("lead"))
-        done = ready.where("waiting = 0").select("id", F.coalesce("lead", "id").alias("leader"))
+        ready = smaller.groupBy("id").agg(F.min(F.when(F.col("leader").isNull(), F.col("a"))).alias("waiting"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("lead"))
+        done = ready.where("waiting IS NULL OR lead < waiting").select("id", F.coalesce("lead", "id").alias("leader"))
         state = materialise(state.union(done), "leaders")
+        before, settled = settled, state.count()
+        if settled == before:
+            raise RuntimeError("leader clusters did not settle")
     return state
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import assist as A
+from quern.operators import memory as M
 from quern.operators import retrieval as Q
 from quern.plans import assist as plans
 from quern.session import table
@@ -22,3 +23,9 @@ def test_backend_choice_is_exact_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(A, "backend", lambda vectors, preferred="auto", **_: preferred)
     monkeypatch.setattr(A, "BACKENDS", {"exact": lambda v, q, k: "exact", "auto": lambda v, q, k: "by size"})
     assert plans.r07(spark, "/root/testdata/sf0.001") == "exact"
+
+
+def test_leaders_keep_large_groups_and_long_chains(spark):
+    near = [(a, b) for a in range(60) for b in range(a + 1, 60)] + [(100 + k, 101 + k) for k in range(36)]
+    got = {r.id: r.leader for r in M.leaders(spark.createDataFrame(near, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(60), 0) | {100 + k: 100 + k - k % 2 for k in range(37)}
