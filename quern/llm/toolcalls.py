@@ -1,15 +1,18 @@
 """Chat formatting: tool calls linked to their results, in topological order, validated, as canonical JSON.
 
-DataFrame expressions only. ``link`` hash-joins calls and results on (conv_id, call_id), each side first combined to one
-row an identifier, so repeated identifiers cost no product. ``levels`` orders calls after the calls they follow: pointers
+DataFrame expressions only. ``link`` hash-joins calls with the smallest result on (conv_id, call_id); the further results
+of an identifier are rows of their own, so repeated identifiers cost no product. ``levels`` orders calls after the calls they follow: pointers
 to the parents are doubled, so the rounds follow the logarithm of the longest chain; what still points somewhere after
 that many rounds is on a cycle and has no level. ``validate`` checks arguments against a schema of typed, bounded fields.
 Arguments are parsed to variants, whose objects keep their keys sorted, which makes their JSON canonical at any depth.
 
-Edge cases: a call without a result is "unanswered", a result without a call "orphan"; repeated identifiers keep the
-smallest row and count the rest in ``copies``; an unknown parent counts as none; arguments that aren't an object are
-"malformed", a tool without a schema "unknown tool"; null texts make null contents, which the JSON leaves out; rows with
-a null conv_id form one conversation; an empty table gives an empty result; other columns are ignored.
+Edge cases: a call without a result is "unanswered", a result without a call "orphan"; differing calls and results with
+one identifier are rows of their own, the further results without a call ("answered" if there is one, with a null name
+and problem); only exact repeats are combined and counted in ``copies``; a null turn makes a null identifier, which
+nothing answers or follows, and its rows stay; turns of other roles than user and assistant (system) are neither calls
+nor results and make no rows; an unknown parent counts as none; arguments that aren't an object are "malformed", a tool
+without a schema "unknown tool"; null texts make null contents, which the JSON leaves out; rows with a null conv_id form
+one conversation; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,20 +48,41 @@ def results_of(conversations: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """One row an identifier: call, result, ``status`` and ``copies`` (further calls with the identifier)."""
-    own = calls.groupBy(*KEY).agg(F.min(F.struct("seq", "name", "arguments", "parent_id")).alias("c"), (F.count("*") - 1).alias("copies"))
-    got = results.groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call")).agg(F.min(F.struct("content")).alias("r"))
-    both = own.join(got.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")), "full_outer")
+    """Every differing call and result: call, result, ``status`` and ``copies`` (exact repeats of what the row shows first).
+
+    Calls take the smallest result of their identifier; each further result is a row with the identifier and no call.
+    """
+    seen = calls.groupBy(*KEY, "seq", "name", "arguments", "parent_id").agg((F.count("*") - 1).alias("copies"))
+    own = seen.select(*KEY, F.struct("seq", "name", "arguments", "parent_id").alias("c"), "copies")
+    got = results.groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "content").agg((F.count("*") - 1).alias("again"))
+    got = materialise(got.select("_conv", "_call", F.struct("content").alias("r"), "again"), "results")
+    first = got.groupBy("_conv", "_call").agg(F.min(F.struct("r", "again")).alias("f")).select("_conv", "_call", "f.r", "f.again")
+    least = first.select(F.col("_conv").alias("_c"), F.col("_call").alias("_k"), F.col("r").alias("_r"))
+    named = F.col("_call").eqNullSafe(F.col("_k")) & F.col("_conv").eqNullSafe(F.col("_c"))
+    further = got.join(least, named).where(~F.col("r").eqNullSafe(F.col("_r"))).select("_conv", "_call", "r", "again")
+    least_call = own.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_k")).agg(F.min("c").alias("lead"))
+    asked = own.join(least_call, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_k")), "left").drop("_c", "_k")
+    both = asked.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")), "full_outer")
     status = F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("answered")
-    return both.select(
+    shown = F.when(F.col("c").isNull() | F.col("c").eqNullSafe(F.col("lead")), F.coalesce("again", F.lit(0))).otherwise(0)
+    linked = both.select(
         F.when(F.col("c").isNull(), F.col("_conv")).otherwise(F.col("conv_id")).alias("conv_id"), F.coalesce("call_id", "_call").alias("call_id"),
-        "c.seq", "c.name", "c.arguments", "c.parent_id", "r.content", status.alias("status"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
+        "c.seq", "c.name", "c.arguments", "c.parent_id", "r.content", status.alias("status"), (F.coalesce("copies", F.lit(0)) + shown).cast("long").alias("copies"),
     )
+    answers = least_call.select("_c", "_k", F.lit(True).alias("asked"))
+    rest = further.join(answers, F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_call") == F.col("_k")), "left")
+    none = [F.lit(None).cast(linked.schema[x].dataType).alias(x) for x in ("seq", "name", "arguments", "parent_id")]
+    more = rest.select(F.col("_conv").alias("conv_id"), F.col("_call").alias("call_id"), *none, "r.content", F.when(F.col("asked"), "answered").otherwise("orphan").alias("status"), F.col("again").cast("long").alias("copies"))
+    return linked.unionByName(more)
 
 
 def levels(linked: DataFrame) -> DataFrame:
-    """``linked`` with ``level``: 0 for calls without a (known) parent, else one more than the parent's; null on a cycle."""
-    nodes = linked.select(*KEY, "parent_id")
+    """``linked`` with ``level``: 0 for calls without a (known) parent, else one more than the parent's; null on a cycle.
+
+    An identifier has the level of its smallest call; every row has its own parent's and one more.
+    """
+    nodes = linked.where("call_id IS NOT NULL").groupBy(*KEY).agg(F.min(F.when(F.col("seq").isNotNull() | F.col("name").isNotNull(), F.struct("seq", "name", "arguments", "parent_id"))).alias("c")).select(*KEY, "c.parent_id")
+    nodes = materialise(nodes, "identifiers")
     same = lambda left, right: F.col(f"{left}.conv_id").eqNullSafe(F.col(f"{right}.conv_id"))
     known = nodes.alias("n").join(nodes.alias("p"), same("n", "p") & (F.col("n.parent_id") == F.col("p.call_id")), "left")
     state = materialise(known.select("n.conv_id", "n.call_id", F.col("p.call_id").alias("up"), F.when(F.col("p.call_id").isNotNull(), 1).otherwise(0).cast("long").alias("level")), "levels")
@@ -68,8 +92,8 @@ def levels(linked: DataFrame) -> DataFrame:
             break
         step = state.alias("s").join(state.alias("p"), same("s", "p") & (F.col("s.up") == F.col("p.call_id")), "left")
         state = materialise(step.select("s.conv_id", "s.call_id", F.col("p.up").alias("up"), (F.col("s.level") + F.coalesce("p.level", F.lit(0))).alias("level")), "levels")
-    level = F.when(F.col("l.up").isNull(), F.col("l.level"))
-    return linked.alias("c").join(state.alias("l"), same("c", "l") & (F.col("c.call_id") == F.col("l.call_id"))).select("c.*", level.alias("level"))
+    level = F.when(F.col("l.call_id").isNull(), 0).when(F.col("l.up").isNull(), F.col("l.level") + 1)
+    return linked.alias("c").join(state.alias("l"), same("c", "l") & (F.col("c.parent_id") == F.col("l.call_id")), "left").select("c.*", level.cast("long").alias("level"))
 
 
 def validate(linked: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -86,7 +110,7 @@ def validate(linked: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
             size = F.length(F.try_variant_get("args", f"$.{field}", "string")) if kind == "STRING" else F.try_variant_get("args", f"$.{field}", kind)
             problem = problem.when(mine & ~missing & (F.schema_of_variant(value) != kind), f"type of {field}")
             problem = problem.when(mine & ~missing & ~size.between(least, most), f"range of {field}")
-    return parsed.withColumn("problem", F.when(F.col("status") != "orphan", problem))
+    return parsed.withColumn("problem", F.when(F.col("seq").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull(), problem))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
