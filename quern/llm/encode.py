@@ -3,16 +3,21 @@
 Byte-level BPE never merges across the edges of its pre-tokens, and in a text of Latin letters, digits and marks whose
 white space is single blanks and line feeds these edges follow from the classes of the characters. So texts of that form
 are cut there, each distinct piece is encoded by the library once a worker, and the ids are joined; any other text is
-encoded as a whole. The ids are the same either way (tests compare them).
+encoded as a whole. The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` either way
+(tests compare them): a text that holds the string of an added token (``<|endoftext|>``) is encoded whole, and so is every
+text if the vocabulary's pre-tokenizer isn't the one whose edges PIECE states.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts with other characters are encoded whole, and so are those with two white-space characters in a row or one at an end.
 OTHER = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]")
@@ -36,6 +41,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_level(tokenizer) -> bool:
+    """Whether a vocabulary's texts are cut as PIECE says, and a line feed is one id."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    state = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    return state.get("type") == "ByteLevel" and bool(state.get("use_regex")) and not state.get("add_prefix_space") and len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1
+
+
 class Encoder:
     """Encodes lists of texts to little-endian ids, two bytes an id where the vocabulary allows it."""
 
@@ -44,12 +57,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = byte_level(self.tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        (feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.cuts else None
+
+    def whole(self, text: str) -> bool:
+        """Whether a text must not be cut into pieces."""
+        return not self.cuts or not regular(text) or any(m in text for m in self.marks)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,7 +100,7 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()  # millions of short strings, none in a cycle
         try:
-            odd = [k for k, t in enumerate(texts) if not regular(t)]
+            odd = [k for k, t in enumerate(texts) if self.whole(t)]
             out: list = [b""] * len(texts)
             for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
                 out[k] = ids
@@ -121,8 +138,17 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Drops what this worker remembers: workers are used again by stages that need their memory for other things."""
+    """Gives back what this worker remembers: workers are used again by stages that need their memory for other things."""
     _kept.clear()
+    release()
+
+
+def release() -> None:
+    """Returns freed memory to the system, where the allocators allow it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def batches_of(texts: list[str], chars: int = 1 << 20):
