@@ -1,20 +1,18 @@
-"""SimHash near-dedup: vantage-point shells shard the fingerprints, triangle bounds prune, exact pairs are linked.
+"""SimHash near-dedup: vantage-point trees deal the fingerprints to shards, triangle bounds prune, exact pairs are linked.
 
-Fingerprints of unrelated texts lie 32 bits apart, give or take four, so one vantage-point tree over all 64 bits and a
-radius of four prunes next to nothing: most points straddle each boundary. Two fingerprints within four bits agree
-wholly on at least two of six disjoint blocks, so there is a tree for each of the fifteen pairs of blocks, over the
-distance restricted to those bits. In it the radius is zero and the triangle bound |d(x,v) - d(y,v)| <= 0 keeps one
-branch at each vantage point: a shard is a vector of distances to vantage points (``shards``). Within a shard a second
-search over all 64 bits (``link_sorted``) takes vantage points from the data: all within four bits of a vantage point
-are linked to it, a point further than that is compared only with members whose distance to the vantage point differs
-by four or less (the shards that overlap its boundary), so a dense group costs a star and not its square.
+The trees and the search of a shard are in ``vantage``: three trees, one for each block of bits of which one differs in a
+single bit at most, with vantage points from a bounded sample of fingerprints (``SAMPLE``), as deep as their number asks
+(``SHARD``). Each fingerprint goes to its own shard, and as a guest to those whose boundary it overlaps; shards are searched
+on, compared exactly, and give a spanning forest: at most one link a fingerprint. What no vantage point parts (fingerprints
+within about eight bits of each other) is one shard however large, held as 9 bytes a fingerprint.
 
-Only a spanning forest leaves a shard: at most one link a fingerprint. Components of the links are found with
-min-label propagation and pointer jumping over distinct fingerprints, checkpointed; documents join on the fingerprint.
+Components of the links are found with min-label propagation and pointer jumping over distinct fingerprints, in written
+rounds. Joins on labels and on fingerprints that many rows share deal the hot ones by broadcast (``skew``).
 
 Edge cases: null and empty texts have fingerprint zero, which links like any other; fewer than four words are one
-shingle; repeated rows and copies share a fingerprint; rows with a null id get their component, which a null never
-names (null if nothing else is in it); an empty table gives an empty result; other columns are ignored.
+shingle; very long texts are read whole, in slices; repeated rows and copies share a fingerprint; rows with a null id get
+their component, which a null never names (null if nothing else is in it); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import encode, jaccard
+from quern.llm import encode, jaccard, vantage
+from quern.llm.skew import hot_join
 from quern.session import materialise, prepare, table
 
 SHINGLE = 4
-RADIUS = 4
+RADIUS = vantage.RADIUS
 SEED = 42
-BLOCKS = 6
+#: Fingerprints in a shard, about; and the most that are sampled to plant the trees.
+SHARD, SAMPLE = 8192, 1 << 20
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -82,177 +82,79 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def block_masks(blocks: int = BLOCKS) -> list[int]:
-    """Bit masks of disjoint blocks that cover 64 bits."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+def plant(fps: DataFrame) -> list[vantage.Tree]:
+    """Trees from a sample of the distinct fingerprints, by hash: about LEAF for each SHARD of them, SAMPLE at most."""
+    n = fps.count()
+    wanted = min(SAMPLE, -(-n // SHARD) * vantage.LEAF)
+    limit = int(-(2**63) + 2**64 * min(1.0, wanted / max(1, n))) - 1
+    # bounded by ``SAMPLE`` whatever the corpus
+    some = fps.where(F.xxhash64("fp") <= F.lit(max(limit, -(2**63)))).select("fp").toArrow()
+    return vantage.plant(some.column(0).to_numpy().view(np.uint64))
 
 
-def trees(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int, list[int]]]:
-    """(mask, vantage points) of each tree: every choice of ``blocks - radius`` blocks that may agree.
-
-    The vantage points of a tree are zero and the prefixes 2**k - 1 of its bits. The distances to two consecutive
-    prefixes differ by one, up or down with bit k, so the whole vector of shells separates any two values of the bits.
-    """
-    from itertools import combinations
-
-    out = []
-    for chosen in combinations(block_masks(blocks), blocks - radius):
-        mask = sum(chosen)
-        bits = [k for k in range(64) if mask >> k & 1]
-        out.append((mask, [sum(1 << b for b in bits[:k]) for k in range(len(bits) + 1)]))
-    return out
-
-
-def shells(fp: np.ndarray, mask: int, points: list[int]) -> np.ndarray:
-    """One key for the vector of distances to the vantage points, under the mask.
-
-    Consecutive distances differ by one either way, so the first distance and the signs of the steps are the vector.
-    """
-    own = fp & np.uint64(mask)
-    before = np.bitwise_count(own ^ np.uint64(points[0])).astype(np.int64)
-    key = before.copy()
-    for point in points[1:]:
-        now = np.bitwise_count(own ^ np.uint64(point)).astype(np.int64)
-        key = key * 2 + (now > before)
-        before = now
-    return key
-
-
-def shards(fps: DataFrame) -> DataFrame:
-    """(tree, shell, fp) of each fingerprint in each tree."""
-    prepare(fps.sparkSession)
-    made = trees()
+def deal(fps: DataFrame, grown: list[vantage.Tree]) -> DataFrame:
+    """(tree, shard, fp, home) of each fingerprint in its own shards and in those whose boundary it overlaps."""
+    shared = prepare(fps.sparkSession).sparkContext.broadcast(grown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.forget()
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, (mask, points) in enumerate(made):
-                key = shells(fp.view(np.uint64), mask, points)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(key), pa.array(fp)], names=["tree", "shell", "fp"])
+            for k, tree in enumerate(shared.value):
+                leaf, at, home, _, _ = tree.route(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf), pa.array(fp[at]), pa.array(home)], names=["tree", "shard", "fp", "home"])
 
-    return fps.select("fp").mapInArrow(run, "tree int, shell bigint, fp bigint")
+    return fps.select("fp").mapInArrow(run, "tree int, shard bigint, fp bigint, home boolean")
 
 
-def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what is within ``radius`` bits, for the distinct fingerprints of one shard.
+def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within the shards of a partition sorted by (tree, shard); a shard may cross batches."""
+    masks, held, now = vantage.block_masks(), [], None
 
-    Vantage-point search: the point that stands for the rest is taken, all within the radius hang on it, and a queue
-    holds what still has to be compared. A member at distance d <= radius from its vantage point reaches only points at
-    distances d - radius .. d + radius, which the sorted distances give as one range.
-    """
-    n = len(fp)
-    if n < 2:
-        return fp[:0], fp[:0]
-    left, right = [], []
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def link(i: int, others: np.ndarray) -> None:
-        for j in others.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(i)
-                right.append(j)
-
-    rest = np.arange(n)
-    while len(rest) > 1:
-        point, rest = rest[0], rest[1:]
-        d = np.bitwise_count(fp[rest] ^ fp[point])
-        inner, outer = rest[d <= radius], rest[d > radius]
-        link(point, inner)
-        d_in, d_out = d[d <= radius], d[d > radius]
-        # all inner members are one component with the point: of their links only those to outer points matter
-        for reach in range(1, radius + 1):
-            near, some = inner[d_in == reach], outer[d_out <= reach + radius]
-            for a in range(0, len(near), 256):
-                for b in range(0, len(some), 4096):
-                    x, y = near[a : a + 256], some[b : b + 4096]
-                    hit = np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius
-                    at = np.flatnonzero(hit.any(0))
-                    for k in at.tolist():
-                        link(int(x[hit[:, k].argmax()]), y[k : k + 1])
-        rest = outer
-    return fp[np.array(left, int)], fp[np.array(right, int)]
-
-
-def link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the shards of a partition sorted by (tree, shell); a shard may cross batches."""
-    held: list[np.ndarray] = []
-    names = ["a", "b"]
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [rows.shape[1]]])
-        size, fp = last - first, rows[2].view(np.uint64)
-        out_a, out_b = [], []
-        small = np.repeat(size, size) <= 16
-        for k in range(1, 16):  # small shards all at once: neighbours k places apart
-            i = np.flatnonzero(small[:-k] & (rows[0][:-k] == rows[0][k:]) & (rows[1][:-k] == rows[1][k:])) if rows.shape[1] > k else np.zeros(0, int)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= RADIUS]
-            out_a.append(fp[i])
-            out_b.append(fp[i + k])
-        for k in np.flatnonzero(size > 16).tolist():
-            a, b = forest(np.unique(fp[first[k] : last[k]]))
-            out_a.append(a)
-            out_b.append(b)
-        a = np.concatenate(out_a).view(np.int64) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b).view(np.int64) if out_b else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
+    def done() -> pa.RecordBatch:
+        fp, home = (np.concatenate([h[k] for h in held]) for k in range(2))
+        a, b, _ = vantage.links(fp.view(np.uint64), home, masks[now[0]])
+        a, b = a.view(np.int64), b.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-        if not rows.shape[1]:
-            continue
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
-        same = not held or (held[-1][0, -1] == rows[0, 0] and held[-1][1, -1] == rows[1, 0])
-        if held and not same:
-            yield links(np.concatenate(held, 1))
-            held = []
-        if len(cut):
-            at = int(cut[-1]) + 1
-            yield links(np.concatenate([*held, rows[:, :at]], 1))
-            held = [rows[:, at:]]
-        else:
-            held.append(rows)
+        tree, shard, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(shard) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
+            if a == b:
+                continue
+            key = int(tree[a]), int(shard[a])
+            if held and key != now:
+                yield done()
+                held = []
+            now = key
+            held.append((fp[a:b], home[a:b]))
     if held:
-        yield links(np.concatenate(held, 1))
+        yield done()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct links (a, b), a < b, that connect all distinct fingerprints within RADIUS bits of each other."""
-    spread = shards(fps)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few bytes a row: the fifteen trees need no more partitions than any other shuffle
-    return spread.repartition(n, "tree", "shell").sortWithinPartitions("tree", "shell").mapInArrow(link_sorted, "a bigint, b bigint").distinct()
+    spread = deal(fps, plant(fps))
+    return spread.repartition("tree", "shard").sortWithinPartitions("tree", "shard").mapInArrow(searched, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, label): the smallest node that is connected to each node of ``edges`` (a, b).
 
     Each round hooks every node to the smallest label around it and then jumps pointers, so the rounds follow the
-    logarithm of the diameter. A hot node's neighbours are combined before the shuffle (min), rounds are checkpointed.
+    logarithm of the diameter. A hot node's neighbours are combined before the shuffle (min), rounds are written.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(most):
-        around = (
-            both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        hooked = label.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        around = hot_join(both, label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = materialise(label.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "hooked")
         # the root of a node's old label learns of the smaller one as well
         roots = hooked.where("label < was").groupBy(F.col("was").alias("node")).agg(F.min("label").alias("root"))
-        hooked = hooked.join(roots, "node", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label"))
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = materialise(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        hooked = materialise(hooked.join(roots, "node", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label")), "hooked")
+        up = hooked.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("up"))
+        jumped = materialise(hot_join(hooked, up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         changed = jumped.where("label <> was").limit(1).count()
         label = jumped.select("node", "label")
         if not changed:
@@ -270,15 +172,21 @@ def groups(docs: DataFrame, similarity: float | None = jaccard.SIMILARITY) -> Da
         rows = materialise(fingerprints(docs).withColumn("node", F.col("fp")), "fingerprints")
     else:
         rows = materialise(jaccard.sketches(docs), "sketches")
+    found = membership(rows, similarity)
+    return hot_join(rows.select("doc_id", "fp", "node"), found, "node").select("doc_id", "fp", "component_id")
+
+
+def membership(rows: DataFrame, similarity: float | None) -> DataFrame:
+    """(node, component_id) of the nodes of ``rows`` (doc_id, node and, with a similarity, what ``jaccard`` needs)."""
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     if similarity is None:
-        label = components(materialise(links(nodes.withColumnRenamed("node", "fp")), "links"))
+        label = components(materialise(links(nodes.select(F.col("node").alias("fp"))), "links"))
     else:
         label = jaccard.labels(rows, similarity)
     joined = nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = materialise(joined.join(least, "label").select("node", "component_id"), "of-node")
-    return rows.select("doc_id", "fp", "node").join(of_node, "node").select("doc_id", "fp", "component_id")
+    joined = materialise(joined, "members")
+    least = materialise(joined.groupBy("label").agg(F.min("first").alias("component_id")), "components")
+    return materialise(hot_join(joined, least, "label").select("node", "component_id"), "of-node")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
