@@ -2,11 +2,14 @@
 
 All functions take a list of whole texts; ``chunks`` cuts a batch into lists of a few million characters, so that memory
 follows the longest text and not the batch. Hashes are polynomial prefix sums modulo 2**64, so a window's hash costs two
-look-ups whatever its length.
+look-ups whatever its length. Counts don't rest on hashes: what has one hash is compared character by character, and a text
+in which unequal stretches share a hash is counted plainly (``plain_dup_lines``, ``plain_repeated``).
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +55,28 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield now
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_dup_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(lines) - len(set(lines))
+
+
+def plain_repeated(text: str, size: int) -> int:
+    """Words in windows of ``size`` words that stand twice or more in the text."""
+    words = WORD.findall(text)
+    windows = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
+    n = Counter(windows)
+    return len({k + j for k, w in enumerate(windows) if n[w] > 1 for j in range(size)})
+
+
 class Scan:
     """Code points, words and prefix hashes of a list of texts."""
 
     def __init__(self, texts: list[str]):
-        self.n = len(texts)
+        self.n, self.texts = len(texts), texts
         self.lens = np.fromiter(map(len, texts), np.int64, self.n)
         self.cp = cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.first = np.concatenate([[0], np.cumsum(self.lens)])
@@ -81,6 +101,21 @@ class Scan:
         """Hashes of the code points in [start, end)."""
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
+    def unequal(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Whether the code points in [a, a_end) and [b, b_end) differ, for arrays of stretches; ``most`` at a time."""
+        n, out = a_end - a, (a_end - a) != (b_end - b)
+        total = np.cumsum(np.where(out, 0, n))
+        for part in np.split(np.arange(len(n)), np.searchsorted(total, np.arange(most, int(total[-1]) if len(n) else 0, most))):
+            part = part[~out[part]]
+            if not len(part):
+                continue
+            size = n[part]
+            of = np.repeat(np.arange(len(part)), size)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            differ = self.cp[a[part][of] + step] != self.cp[b[part][of] + step]
+            out[part] = np.bincount(of, differ, minlength=len(part)) > 0
+        return out
+
     def per_doc(self, docs: np.ndarray, weights=None) -> np.ndarray:
         return np.bincount(docs, weights=weights, minlength=self.n)
 
@@ -108,7 +143,10 @@ class Scan:
         key = (self.span(start, end) + (end - start).astype(np.uint64) * MIX) ^ (doc.astype(np.uint64) * BASE)
         order = np.lexsort((key, doc))
         same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        return self.per_doc(doc[order][1:][same])
+        found, one, two = self.per_doc(doc[order][1:][same]), order[:-1][same], order[1:][same]
+        for k in np.unique(doc[two[self.unequal(start[one], end[one], start[two], end[two])]]).tolist():
+            found[k] = plain_dup_lines(self.texts[k])
+        return found
 
     def _repeated(self, size: int) -> np.ndarray:
         n = len(self.words)
@@ -127,9 +165,20 @@ class Scan:
         if not len(twice):
             return np.zeros(self.n, np.int64)
         place = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-        hit = at[twice[place] == key]
+        mine = twice[place] == key
+        hit, place = at[mine], place[mine]
         cover = np.bincount(hit, minlength=n + size) - np.bincount(hit + size, minlength=n + size)
-        return self.per_doc(self.word_doc[np.cumsum(cover)[:n] > 0])
+        found = self.per_doc(self.word_doc[np.cumsum(cover)[:n] > 0])
+        order = np.argsort(place, kind="stable")
+        next_to = place[order][1:] == place[order][:-1]
+        one, two = hit[order][:-1][next_to], hit[order][1:][next_to]
+        wrong = self.word_doc[one] != self.word_doc[two]
+        for k in range(size):
+            rest = ~wrong
+            wrong[rest] = self.unequal(self.starts[one[rest] + k], self.ends[one[rest] + k], self.starts[two[rest] + k], self.ends[two[rest] + k])
+        for k in np.unique(np.concatenate([self.word_doc[one[wrong]], self.word_doc[two[wrong]]])).tolist():
+            found[k] = plain_repeated(self.texts[k], size)
+        return found
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each kind of gram its buckets and the texts they stand in, in text order."""

@@ -4,9 +4,11 @@ A bounded sample of labelled rows (``SAMPLE`` rows, those of the smallest hash o
 task; a fifth of it is left out and gives the two numbers of the calibration. All documents are then scored in Arrow
 batches with the broadcast weights (``4 * 2**18`` floats, whatever the corpus).
 
-Edge cases: a null or empty text has no words, fails the base rule and isn't kept; without any usable label of both
-kinds the model keeps all that the base rule keeps; null ids and repeated rows are scored like any other; labels with a
-null quality are left out; columns besides id and text are passed through where they aren't overwritten.
+Edge cases: a null or empty text has no words, fails the base rule and isn't kept; very long texts are counted and scored
+whole, each in a chunk of its own; without any usable label of both kinds the model keeps all that the base rule keeps; an
+empty table gives an empty result; null ids and repeated rows are scored like any other; equal texts have equal verdicts;
+labels with a null quality or id are left out; columns besides id and text are passed through where they aren't overwritten
+(``prefix`` keeps the new names apart).
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents, chosen by hash: the same ones on each run."""
+    """(_id, text, label) of at most ``rows`` labelled documents, chosen by hash: the same ones on each run.
+
+    Of several texts with one id the smallest is taken, of several labels the largest.
+    """
     some = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
         .where(F.col("label").isNotNull() & F.col("_id").isNotNull())
@@ -41,7 +46,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .limit(rows)
     )
     # at most ``rows`` rows of two numbers, so the broadcast is bounded
-    return docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(some), "_id").dropDuplicates(["_id"]).select("_id", "text", "label")
+    joined = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(some), "_id")
+    return joined.groupBy("_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_task(fit):
@@ -109,11 +115,11 @@ def probability(scan: grams.Scan, model: np.ndarray) -> np.ndarray:
     return sigmoid(slope * z + offset)
 
 
-def verdicts(docs: DataFrame, model: np.ndarray, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` with the base counts, ``quality_p``, ``base_failed`` and ``kept`` (same-named columns go)."""
+def verdicts(docs: DataFrame, model: np.ndarray, keep: float = KEEP, prefix: str = "") -> DataFrame:
+    """The rows of ``docs`` with the base counts, ``quality_p``, ``base_failed`` and ``kept`` under the prefix (same-named columns go)."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    new = [*((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("quality_p", pa.float64())]
+    new = [*((prefix + c, pa.int64()) for c in COUNTS), (prefix + "base_failed", pa.bool_()), (prefix + "kept", pa.bool_()), (prefix + "quality_p", pa.float64())]
     held = docs.drop(*(c for c, _ in new))
     at = held.columns.index("text")
 
@@ -127,12 +133,12 @@ def verdicts(docs: DataFrame, model: np.ndarray, keep: float = KEEP) -> DataFram
                 p = probability(scan, shared.value)
                 failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
                 for c, v in (base | {"base_failed": failed, "kept": ~failed & (p >= keep), "quality_p": p}).items():
-                    found[c].append(v)
+                    found[prefix + c].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(found[c]) if found[c] else [], t) for c, t in new)], names=[*batch.schema.names, *(c for c, _ in new)])
 
     had = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.float64(): "double"}
-    return held.mapInArrow(run, f"{had}, " + ", ".join(f"{c} {kinds[t]}" for c, t in new))
+    return held.mapInArrow(run, f"{had}, " + ", ".join(f"`{c}` {kinds[t]}" for c, t in new))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> np.ndarray:
