@@ -8,8 +8,9 @@ at most 4096 rows a source instead of a sort. Documents below the threshold are
 smaller threshold, so mixes are nested.
 
 Edge cases: a null text has size 0 and takes 0; a null source is a source; rows equal in id and text share a hash and are
-taken together; in the last bucket a document (or such a group) is taken if that brings the sum nearer to the target;
-an empty table gives an empty result; other columns are passed through by ``mix``.
+taken together; in the last bucket a document (or such a group) is taken if that brings the sum nearer to the target; no
+row is taken more than three times, empty ones included; very long texts count whole; an empty table gives an empty result;
+other columns are passed through by ``mix``.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def plan(docs: DataFrame) -> DataFrame:
     rows = materialise(sized(docs), "mix-sizes")
     cuts = thresholds(rows, materialise(targets(rows), "mix-targets")).withColumnRenamed("source", "_s")
     joined = rows.join(maybe_broadcast(cuts), F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("times") + (F.col("h") < F.col("upto")).cast("long")).alias("copies"))
+    return joined.select("doc_id", "source", "size", "h", "source_size", "target", F.least(F.col("times") + (F.col("h") < F.col("upto")).cast("long"), F.lit(CAP)).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -89,8 +90,9 @@ def mix(docs: DataFrame) -> DataFrame:
     # the hash is computed anew, so no join on ids
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
     joined = docs.join(maybe_broadcast(cuts), F.col("source").eqNullSafe(F.col("_mix_s")))
-    copies = F.col("_mix_times") + (F.conv(F.substring(key, 1, 12), 16, 10).cast("long") < F.col("_mix_upto")).cast("long")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+    # empty documents below the threshold of a source at its cap would be a copy too many
+    copies = F.least(F.col("_mix_times") + (F.conv(F.substring(key, 1, 12), 16, 10).cast("long") < F.col("_mix_upto")).cast("long"), F.lit(CAP))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -354,13 +354,13 @@ def test_schedule_is_a_deficit_round_robin(queues, window):
     plan = packing.Schedule(totals, weights, window)
     seen = []
     for q, n in enumerate(totals):
-        for _, size, place in plan.pieces(q, 0, n, 16) if n else ():
+        for _, size, place, _ in plan.pieces(q, 0, n, 16) if n else ():
             seen += range(place, place + size)
     assert sorted(seen) == list(range(sum(totals)))
     for w in range(plan.windows):  # while no queue is dry each window holds the target shares, to one id a queue
         then = plan.served(w + 1)
         if all(t < n for t, n in zip(then, totals, strict=True)):
-            for t, p in zip(then, weights, strict=True):
+            for t, p in zip(then.tolist(), weights, strict=True):
                 assert abs(t - p * (w + 1) * window / sum(weights)) <= 1
 
 
