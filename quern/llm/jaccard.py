@@ -1,7 +1,7 @@
 """Near-duplicates by Jaccard similarity of sets of five words: MinHash bands propose pairs, the whole sets decide.
 
-A row's sketch has 28 bands of four minima; a pair at similarity 0.8 shares no band with probability 4e-7, more similar
-pairs with less. Equal sets are one node. In a bucket (the nodes of equal bands) random representatives are compared with
+A row's sketch has 50 bands of six minima; a pair at similarity 0.8 shares no band with probability 3e-7, more similar
+pairs with less, pairs at 0.5 share one with probability 0.54 and at 0.3 with 0.04. Equal sets are one node. In a bucket (the nodes of equal bands) random representatives are compared with
 all the rest, eight times as many each round, until the bucket is one component or every pair in it was compared: a group
 of near copies costs a few stars and not its square, and no pair is left out. Only sets within the bound on sizes that the
 similarity implies are read.
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import encode
+from quern.llm.skew import hot_join
 from quern.session import materialise, maybe_broadcast, prepare
 
 SIMILARITY = 0.8
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 50, 6
 FIRST, GROWTH = 4, 8
 _rng = np.random.default_rng(42)
 FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,34 +44,34 @@ def word_sets(four: np.ndarray) -> np.ndarray:
 def bands(own: np.ndarray) -> np.ndarray:
     """One code a band: the digest of its minima and its number."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 1024):
-        least = np.minimum(least, mixed(own[k : k + 1024, None] * FACTORS + SHIFTS).min(0))
+    for k in range(0, len(own), 256):  # digests are mixed already, so that odd factors permute them well enough
+        least = np.minimum(least, (own[k : k + 256, None] * FACTORS + SHIFTS).min(0))
     least = least.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (as in ``simhash``), node (digest of the set), words (the set) and codes of each row."""
+    """doc_id, row (digest of id and text), fp (as in ``simhash``), node (digest of the set), words (the set) and codes."""
     from quern.llm import simhash
 
     prepare(docs.sparkSession)
-    kind = "doc_id bigint, fp bigint, node bigint, words array<bigint>, codes array<bigint>"
+    kind = "doc_id bigint, row bigint, fp bigint, node bigint, words array<bigint>, codes array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode.forget()
         whole = pa.list_(pa.int64())
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             fps, nodes, sets, codes = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 four = simhash.shingles(x.as_py(), simhash.SHINGLE)
                 own = word_sets(four)
                 fps.append(simhash.signed(simhash.majority(four)))
                 nodes.append(simhash.signed(xxhash.xxh64_intdigest(own.tobytes())))
                 sets.append(own.view(np.int64))
                 codes.append(bands(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, whole), pa.array(codes, whole)], names=["doc_id", "fp", "node", "words", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, whole), pa.array(codes, whole)], names=["doc_id", "row", "fp", "node", "words", "codes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -78,26 +79,29 @@ def labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     from quern.llm import simhash
 
     spark = rows.sparkSession
-    spread = rows.select("node", F.size("words").alias("n"), F.explode("codes").alias("code")).distinct()
-    sizes = spread.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
+    # equal nodes have equal codes, so any row of a node stands for it
+    once = rows.groupBy("node").agg(F.first(F.size("words")).alias("n"), F.first("codes").alias("codes"))
+    spread = materialise(once.select("node", "n", F.explode("codes").alias("code")), "codes")
+    sizes = materialise(spread.groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
     # a node's place is the same in all buckets, so its pairs are the same as well
     place = (F.xxhash64(F.lit(7), F.col("node")) / F.lit(2.0**64) + 0.5).alias("place")
-    buckets = materialise(spread.join(sizes, "code").select("code", "node", "n", "m", place), "buckets")
-    some = buckets.select("node").distinct()
-    sets = materialise(rows.select("node", "words").join(maybe_broadcast(some), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    buckets = materialise(hot_join(spread, sizes, "code").select("code", "node", "n", "m", place), "buckets")
+    some = materialise(buckets.select("node").distinct(), "bucket-nodes")
+    sets = materialise(rows.select("node", "words").join(maybe_broadcast(some), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "sets")
     edges = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "node bigint, label bigint")
     before, reps = 0, FIRST
     while True:
-        now = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).where(F.col("place") * F.col("m") >= before)
+        now = hot_join(buckets, label, "node", "left").withColumn("label", F.coalesce("label", "node")).where(F.col("place") * F.col("m") >= before)
         # a bucket is done when what remains is one component; nodes compared with all the rest before are out of it
-        open_ = now.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code")
-        now = materialise(now.join(open_, "code", "left_semi"), "open-buckets")
+        now = materialise(now, "remaining")
+        open_ = materialise(now.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code"), "open-codes")
+        now = materialise(hot_join(now, open_, "code"), "open-buckets")
         if not now.limit(1).count():
             return label
         first = now.where(F.col("place") * F.col("m") < reps).select("code", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
         near = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
-        met = now.join(first, "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near)
+        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near)
         pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))

@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from quern.llm import encode, jaccard, vantage
 from quern.llm.skew import hot_join
-from quern.session import materialise, prepare, table
+from quern.session import materialise, maybe_broadcast, prepare, table
 
 SHINGLE = 4
 RADIUS = vantage.RADIUS
 SEED = 42
 #: Fingerprints in a shard, about; and the most that are sampled to plant the trees.
 SHARD, SAMPLE = 8192, 1 << 20
+#: Rows of four numbers that are broadcast at most, 32 bytes each.
+MARKED = 500_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -177,7 +179,7 @@ def groups(docs: DataFrame, similarity: float | None = jaccard.SIMILARITY) -> Da
 
 
 def membership(rows: DataFrame, similarity: float | None) -> DataFrame:
-    """(node, component_id) of the nodes of ``rows`` (doc_id, node and, with a similarity, what ``jaccard`` needs)."""
+    """(node, component_id, label) of the nodes of ``rows`` (doc_id, node and, with a similarity, what ``jaccard`` needs)."""
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     if similarity is None:
         label = components(materialise(links(nodes.select(F.col("node").alias("fp"))), "links"))
@@ -186,7 +188,28 @@ def membership(rows: DataFrame, similarity: float | None) -> DataFrame:
     joined = nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     joined = materialise(joined, "members")
     least = materialise(joined.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    return materialise(hot_join(joined, least, "label").select("node", "component_id"), "of-node")
+    return materialise(hot_join(joined, least, "label").select("node", "component_id", "label"), "of-node")
+
+
+def first_of_each(docs: DataFrame, similarity: float = jaccard.SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id (null last), then digest.
+
+    Of rows that are equal in id and text one stays, that of the smallest digest of the whole row. Texts are shuffled only
+    for rows of this kind, or if more than ``MARKED`` rows have to go.
+    """
+    rows = materialise(jaccard.sketches(docs), "sketches")
+    labelled = hot_join(rows.select("doc_id", "row", "node"), membership(rows, similarity), "node")
+    copies = materialise(labelled.groupBy("label", "doc_id", "row").agg(F.count("*").alias("n")), "copies")
+    leads = materialise(copies.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "row")).alias("_lead"), F.count("*").alias("_m")).where("_m > 1"), "leads")
+    first = F.col("_lead").isNull() | (F.col("doc_id").eqNullSafe(F.col("_lead.doc_id")) & (F.col("row") == F.col("_lead.row")))
+    marks = hot_join(copies, leads, "label", "left").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("n").alias("_n"), first.alias("_first"))
+    marks = materialise(marks.where("NOT _first OR _n > 1"), "marks")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.select(F.struct(*own).alias("_d"), F.xxhash64("doc_id", "text").alias("_own"))
+    same = (F.col("_own") == F.col("_row")) & F.col("_d.doc_id").cast("long").eqNullSafe(F.col("_doc"))
+    seen = held.join(maybe_broadcast(marks, MARKED), same, "left").where("_first IS NULL OR _first")
+    once = seen.where("_n IS NOT NULL").groupBy("_own", "_doc").agg(F.min_by("_d", F.xxhash64("_d")).alias("_d")).select("_d.*")
+    return seen.where("_n IS NULL").select("_d.*").unionByName(once)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
