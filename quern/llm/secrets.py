@@ -2,12 +2,13 @@
 
 Each rule's regular expression is turned into a Boolean trigram query (``trigram_query``: clauses of trigrams that a
 match's text must hold, as an OR of ANDs). The index holds postings (trigram, doc_id) for the trigrams that some rule
-asks for; a rule's candidates are the documents in the postings of all trigrams of one of its clauses. Only candidates
-are matched against the expression itself. Rules without a mandatory trigram (here ``hex``) match every document.
+asks for, as no other posting would be read; a rule's candidates are the documents in the postings of all trigrams of one
+of its clauses. Only candidates are matched against the expression itself, twice: for the matches and for what stands
+between them. Rules without a mandatory trigram (here ``hex``) match every document.
 
 Edge cases: a null text is an empty one, without spans; documents that share an id (or a null id) share candidates, and
-each is verified on its own text, so nothing is lost; copies have equal spans; an empty table gives an empty result;
-columns other than doc_id and text are ignored. Offsets are code points.
+each is verified on its own text, so nothing is lost; copies have equal spans; very long texts with many matches cost no
+more than matches times the root of their number; an empty table gives an empty result; columns other than doc_id and text are ignored. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -115,20 +116,51 @@ def candidates(index: DataFrame, asked: dict[str, list[frozenset[str]]]) -> Data
     return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("kind").alias("kinds"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(sizes: Column) -> Column:
+    """For each of an array of numbers the sum of those before it, in blocks of about the root of their number.
+
+    Inside a block, and over the blocks before it, sums are added up anew, so n numbers cost n times the root of n.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def blocked(own: Column) -> Column:
+        wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own)))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(own) - 1, wide), lambda k: F.slice(own, k + 1, wide))
+
+        def placed(parts: Column) -> Column:
+            firsts = let(F.transform(parts, total), lambda sums: F.transform(F.sequence(F.lit(1), F.size(sums)), lambda k: total(F.slice(sums, F.lit(1), k - 1))))
+            return F.flatten(F.zip_with(parts, firsts, lambda part, first: F.transform(part, lambda _, k: first + total(F.slice(part, F.lit(1), k)))))
+
+        return let(blocks, placed)
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(sizes, blocked))
+
+
+NOTHING = "array<struct<start:int,ord:int,kind:string,end:int>>"
+
+
 def spans(text: Column, order: int, kind: str, expression: str, least: tuple[int, int] | None) -> Column:
     """array<struct<start, ord, kind, end>> of the leftmost non-overlapping matches, from the pieces between them."""
-    pieces, hits = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    rows = F.arrays_zip(pieces.alias("p"), hits.alias("h"), *([F.regexp_extract_all(text, F.lit(expression), F.lit(least[0])).alias("g")] if least else []))
-    nothing = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["p"])
-        end = start + F.length(row["h"])
-        ok = row["h"].isNotNull() & ((F.length(row["g"]) >= least[1]) if least else F.lit(True))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(hits: Column) -> Column:
+        pieces = F.slice(F.split(text, expression, -1), F.lit(1), F.size(hits))
+        sizes = F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("n")))
+        wide = F.transform(F.regexp_extract_all(text, F.lit(expression), F.lit(least[0])), F.length) if least else F.transform(hits, lambda h: F.lit(0))
+
+        def cut(both: Column) -> Column:
+            rows = F.arrays_zip(both.alias("b"), running(F.transform(both, lambda x: x["gap"] + x["n"])).alias("at"), wide.alias("g"))
+            good = F.filter(rows, lambda r: r["g"] >= least[1]) if least else rows
+            start = lambda r: r["at"] + r["b"]["gap"]
+            return F.transform(good, lambda r: F.struct(start(r).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (start(r) + r["b"]["n"]).alias("end")))
+
+        return F.when(F.size(hits) > 0, let(sizes, cut)).otherwise(F.array().cast(NOTHING))
 
-    return F.when(text.rlike(expression), F.aggregate(rows, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])).otherwise(nothing)
+    return let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), placed)
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -142,7 +174,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     each = []
     for order, (kind, expression, least) in enumerate(rules):
         own = spans(F.col("text"), order, kind, expression, least)
-        each.append(F.when(F.array_contains("kinds", kind), own).otherwise(F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")) if kind in asked else own)
+        each.append(F.when(F.array_contains("kinds", kind), own).otherwise(F.array().cast(NOTHING)) if kind in asked else own)
     return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
 
 
