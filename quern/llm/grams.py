@@ -234,14 +234,18 @@ def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         for kind, (bucket, doc) in enumerate(scan.grams()):
             key, n = np.unique((doc.astype(np.int64) << BITS) | bucket, return_counts=True)
             of = key >> BITS
-            rows.append((of + at).astype(np.int32))
+            rows.append((of + at).astype(np.uint16 if len(texts) < 1 << 16 else np.int32))
             cols.append(((key & ((1 << BITS) - 1)) | (kind << BITS)).astype(np.int32))
             values.append((n / np.maximum(scan.per_doc(doc), 1)[of]).astype(np.float32))
         dense.append(scan.dense(scan.base()))
         at += scan.n
     if not dense:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, DENSE))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values), np.concatenate(dense)
+    joined = []
+    for parts in (rows, cols, values, dense):  # one at a time, so that what is joined needn't be held twice
+        joined.append(np.concatenate(parts))
+        parts.clear()
+    return tuple(joined)
 
 
 def compact(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

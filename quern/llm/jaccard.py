@@ -1,10 +1,12 @@
 """Near-duplicates by Jaccard similarity of sets of five words: MinHash bands propose pairs, the whole sets decide.
 
 A row's sketch has 50 bands of six minima; a pair at similarity 0.8 shares no band with probability 3e-7, more similar
-pairs with less, pairs at 0.5 share one with probability 0.54 and at 0.3 with 0.04. Equal sets are one node. In a bucket (the nodes of equal bands) random representatives are compared with
-all the rest, eight times as many each round, until the bucket is one component or every pair in it was compared: a group
-of near copies costs a few stars and not its square, and no pair is left out. Only sets within the bound on sizes that the
-similarity implies are read.
+pairs with less, pairs at 0.5 share one with probability 0.54 and at 0.3 with 0.04. Equal sets are one node. In a bucket
+(the nodes of equal bands) random representatives are compared with all the rest, eight times as many each round, until the
+bucket is one component or every pair in it was compared: a group of near copies costs a few stars and not its square, and
+no pair is left out. The join itself compares one bit of each of the 300 minima (at 0.8 a tenth of them differs, more than
+``FAR`` with probability 1e-9); only what passes, and is within the bound on sizes that the similarity implies, has its whole
+sets read. Sets are made for nodes that share a bucket only.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from quern.llm import encode
 from quern.llm.skew import hot_join
 from quern.session import materialise, maybe_broadcast, prepare
 
-SIMILARITY = 0.8
+SIMILARITY, WORDS = 0.8, 5
 BANDS, ROWS = 50, 6
 FIRST, GROWTH = 4, 8
+#: Bits of the minima that may differ.
+FAR = 64
 _rng = np.random.default_rng(42)
-FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+FACTORS = _rng.integers(1, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+BITS = tuple(f"bits{k}" for k in range(-(-BANDS * ROWS // 64)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,60 +39,100 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_sets(four: np.ndarray) -> np.ndarray:
-    """Sorted distinct digests of five words from those of four: two neighbours name five words."""
-    if len(four) < 2:
-        return mixed(four)
-    return np.unique(mixed(four[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(four[1:])))
+def word_sets(text: str | None, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct digests of a whole text's stretches of five words; of fewer words there is one stretch."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    found = own[: len(own) - size + 1]
+    for k in range(1, size):
+        found = mixed(found * np.uint64(0x9E3779B97F4A7C15) + own[k : len(own) - size + 1 + k])
+    return np.unique(mixed(found + np.uint64(size)))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least of each of many permutations of a set's digests, by their upper halves."""
+    half = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(half), 256):  # digests are mixed already, so that odd factors permute them well enough
+        least = np.minimum(least, (half[k : k + 256, None] * FACTORS + SHIFTS).min(0))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
     """One code a band: the digest of its minima and its number."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 256):  # digests are mixed already, so that odd factors permute them well enough
-        least = np.minimum(least, (own[k : k + 256, None] * FACTORS + SHIFTS).min(0))
     least = least.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (digest of id and text), fp (as in ``simhash``), node (digest of the set), words (the set) and codes."""
-    from quern.llm import simhash
+def bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, 64 to a number."""
+    one = np.zeros(64 * len(BITS), np.uint8)
+    one[: len(least)] = mixed(least.astype(np.uint64) + np.uint64(1)) >> np.uint64(40) & np.uint64(1)
+    return np.packbits(one, bitorder="little").view(np.int64)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, row (digest of id and text) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    encode.forget()
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
 
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, row (digest of id and text), node (digest of the set), n (its size), codes and bits of each row."""
     prepare(docs.sparkSession)
-    kind = "doc_id bigint, row bigint, fp bigint, node bigint, words array<bigint>, codes array<bigint>"
+    names = ["doc_id", "row", "node", "n", "codes", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode.forget()
-        whole = pa.list_(pa.int64())
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            fps, nodes, sets, codes = [], [], [], []
+        for batch in slices(batches):
+            nodes, sizes, codes, flags = [], [], [], []
             for x in batch.column(2):
-                four = simhash.shingles(x.as_py(), simhash.SHINGLE)
-                own = word_sets(four)
-                fps.append(simhash.signed(simhash.majority(four)))
-                nodes.append(simhash.signed(xxhash.xxh64_intdigest(own.tobytes())))
-                sets.append(own.view(np.int64))
-                codes.append(bands(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, whole), pa.array(codes, whole)], names=["doc_id", "row", "fp", "node", "words", "codes"])
+                own = word_sets(x.as_py())
+                least = minima(own)
+                nodes.append(int(np.array(xxhash.xxh64_intdigest(own.tobytes()), np.uint64).view(np.int64)))
+                sizes.append(len(own))
+                codes.append(bands(least).view(np.int64))
+                flags.append(bits(least))
+            flag = np.array(flags, np.int64).reshape(-1, len(BITS))
+            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(codes, pa.list_(pa.int64())), *(pa.array(flag[:, k]) for k in range(len(BITS)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, row bigint, node bigint, n int, codes array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
+
+
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """node and words (the set) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [word_sets(x.as_py()) for x in batch.column(0)]
+            nodes = [int(np.array(xxhash.xxh64_intdigest(own.tobytes()), np.uint64).view(np.int64)) for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64()))], names=["node", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select("text").mapInArrow(run, "node bigint, words array<bigint>")
 
 
-def labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label) of the nodes of ``sketches`` that are linked to another one: the smallest node of the component."""
+def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the nodes of ``rows``, the sketches of ``docs``, that are linked to another one: the smallest node of the component."""
     from quern.llm import simhash
 
     spark = rows.sparkSession
     # equal nodes have equal codes, so any row of a node stands for it
-    once = rows.groupBy("node").agg(F.first(F.size("words")).alias("n"), F.first("codes").alias("codes"))
-    spread = materialise(once.select("node", "n", F.explode("codes").alias("code")), "codes")
-    sizes = materialise(spread.groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
+    once = materialise(rows.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "codes", *BITS))), "nodes-once")
+    sizes = materialise(once.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
     # a node's place is the same in all buckets, so its pairs are the same as well
     place = (F.xxhash64(F.lit(7), F.col("node")) / F.lit(2.0**64) + 0.5).alias("place")
-    buckets = materialise(hot_join(spread, sizes, "code").select("code", "node", "n", "m", place), "buckets")
-    some = materialise(buckets.select("node").distinct(), "bucket-nodes")
-    sets = materialise(rows.select("node", "words").join(maybe_broadcast(some), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "sets")
+    # most codes stand alone: those of buckets are 16 bytes each
+    spread = once.select("node", "row", "n", *BITS, F.explode("codes").alias("code")).join(maybe_broadcast(sizes, simhash.MARKED), "code")
+    buckets = materialise(spread.select("code", "node", "row", "n", "m", *BITS, place), "buckets")
+    some = materialise(buckets.select("row").distinct(), "bucket-rows")
+    sets = materialise(whole_sets(texts(docs).join(maybe_broadcast(some, simhash.MARKED), "row", "left_semi")).groupBy("node").agg(F.first("words").alias("words")), "sets")
     edges = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "node bigint, label bigint")
     before, reps = 0, FIRST
@@ -99,9 +144,10 @@ def labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         now = materialise(hot_join(now, open_, "code"), "open-buckets")
         if not now.limit(1).count():
             return label
-        first = now.where(F.col("place") * F.col("m") < reps).select("code", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
+        first = now.where(F.col("place") * F.col("m") < reps).select("code", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"), *(F.col(b).alias(f"a_{b}") for b in BITS))
         near = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
-        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near)
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"a_{b}"))) for b in BITS), F.lit(0))
+        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near & (apart <= FAR))
         pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))

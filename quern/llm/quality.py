@@ -85,7 +85,7 @@ def fit_logistic(texts: list[str], label: np.ndarray) -> np.ndarray:
     left = np.arange(len(texts)) % 5 == 4
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * ~left
     share /= share.sum() or 1
-    values = values * np.float32(SCALE)
+    values *= np.float32(SCALE)
 
     def loss(x):
         z = grams.product(rows, col, values, x[:-1], len(texts)) + x[-1]

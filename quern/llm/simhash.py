@@ -165,26 +165,25 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 
 def groups(docs: DataFrame, similarity: float | None = jaccard.SIMILARITY) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) of each row.
+    """doc_id and component_id (the smallest doc_id of the component) of each row.
 
     Links are the pairs of that Jaccard similarity or more on sets of five words (``jaccard``); without a similarity, the
-    fingerprints within RADIUS bits.
+    fingerprints within RADIUS bits, and each row's fingerprint is returned as fp.
     """
     if similarity is None:
         rows = materialise(fingerprints(docs).withColumn("node", F.col("fp")), "fingerprints")
-    else:
-        rows = materialise(jaccard.sketches(docs), "sketches")
-    found = membership(rows, similarity)
-    return hot_join(rows.select("doc_id", "fp", "node"), found, "node").select("doc_id", "fp", "component_id")
+        return hot_join(rows, membership(docs, rows, None), "node").select("doc_id", "fp", "component_id")
+    rows = materialise(jaccard.sketches(docs), "sketches")
+    return hot_join(rows.select("doc_id", "node"), membership(docs, rows, similarity), "node").select("doc_id", "component_id")
 
 
-def membership(rows: DataFrame, similarity: float | None) -> DataFrame:
-    """(node, component_id, label) of the nodes of ``rows`` (doc_id, node and, with a similarity, what ``jaccard`` needs)."""
+def membership(docs: DataFrame, rows: DataFrame, similarity: float | None) -> DataFrame:
+    """(node, component_id, label) of the nodes of ``rows`` (doc_id, node and, with a similarity, the sketches of ``docs``)."""
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     if similarity is None:
         label = components(materialise(links(nodes.select(F.col("node").alias("fp"))), "links"))
     else:
-        label = jaccard.labels(rows, similarity)
+        label = jaccard.labels(docs, rows, similarity)
     joined = nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     joined = materialise(joined, "members")
     least = materialise(joined.groupBy("label").agg(F.min("first").alias("component_id")), "components")
@@ -198,7 +197,7 @@ def first_of_each(docs: DataFrame, similarity: float = jaccard.SIMILARITY) -> Da
     for rows of this kind, or if more than ``MARKED`` rows have to go.
     """
     rows = materialise(jaccard.sketches(docs), "sketches")
-    labelled = hot_join(rows.select("doc_id", "row", "node"), membership(rows, similarity), "node")
+    labelled = hot_join(rows.select("doc_id", "row", "node"), membership(docs, rows, similarity), "node")
     copies = materialise(labelled.groupBy("label", "doc_id", "row").agg(F.count("*").alias("n")), "copies")
     leads = materialise(copies.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "row")).alias("_lead"), F.count("*").alias("_m")).where("_m > 1"), "leads")
     first = F.col("_lead").isNull() | (F.col("doc_id").eqNullSafe(F.col("_lead.doc_id")) & (F.col("row") == F.col("_lead.row")))

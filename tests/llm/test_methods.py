@@ -105,9 +105,11 @@ def test_bands_find_pairs_at_the_similarity():
     rng = np.random.default_rng(2)
     missed = 0
     for _ in range(300):
-        common = rng.integers(0, 1 << 63, 160, np.uint64)
-        a, b = (jaccard.bands(np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 20, np.uint64)]))) for _ in range(2))
-        missed += not (a == b).any()
+        common = rng.integers(0, 1 << 63, 160, np.uint64) * np.uint64(2)
+        a, b = (jaccard.minima(np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 20, np.uint64) * np.uint64(2)]))) for _ in range(2))
+        apart = int(np.bitwise_count((jaccard.bits(a) ^ jaccard.bits(b)).view(np.uint64)).sum())
+        missed += not (jaccard.bands(a) == jaccard.bands(b)).any() or apart > jaccard.FAR
+        assert 10 < apart < 60 and 180 < (a == b).sum() < 280
     assert missed == 0
 
 
