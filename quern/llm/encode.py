@@ -15,6 +15,7 @@ import gc
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ OTHER = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]")
 #: The pre-tokens of the other texts.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\n")
 #: Pieces remembered in each of two generations; what the newer one lacks is looked up, and moved up, from the older.
-GENERATION = 350_000
+GENERATION = 200_000
 JOINED = 64
 
 
@@ -151,7 +152,15 @@ def release() -> None:
         trim(0)
 
 
-def batches_of(texts: list[str], chars: int = 1 << 20):
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some rows, with freed memory given back between them."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+            release()
+
+
+def batches_of(texts: list[str], chars: int = 1 << 18):
     """Index ranges of consecutive texts of about ``chars`` characters."""
     start = size = 0
     for k, t in enumerate(texts):

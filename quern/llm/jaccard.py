@@ -79,18 +79,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    encode.forget()
-    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, row (digest of id and text), node (digest of the set), n (its size), codes and bits of each row."""
     prepare(docs.sparkSession)
     names = ["doc_id", "row", "node", "n", "codes", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        encode.forget()
+        for batch in encode.slices(batches):
             nodes, sizes, codes, flags = [], [], [], []
             for x in batch.column(2):
                 own = word_sets(x.as_py())
@@ -110,7 +106,8 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     """node and words (the set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        encode.forget()
+        for batch in encode.slices(batches, 256):
             sets = [word_sets(x.as_py()) for x in batch.column(0)]
             nodes = [int(np.array(xxhash.xxh64_intdigest(own.tobytes()), np.uint64).view(np.int64)) for own in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64()))], names=["node", "words"])

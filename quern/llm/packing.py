@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.encode import batches_of, encoder, vocabulary_path
+from quern.llm.encode import batches_of, encoder, slices, vocabulary_path
 from quern.session import materialise, maybe_broadcast, prepare, table
 
 LENGTH, END = 1024, 0
@@ -124,7 +124,7 @@ def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, places = encoder(path), TaskContext.get().partitionId(), {}
         last = np.array([end], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts, queues = [x or "" for x in batch.column(2).to_pylist()], batch.column(1).to_pylist()
             for a, b in batches_of(texts):
                 ids = [x + last for x in enc.encode(texts[a:b])]
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, weights: dict[str, int] | None = None, path: str | Non
     wide = encoder(path).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             rows = []
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "queue", "number", "at", "first", "n")]
             blobs = batch.column(batch.schema.get_field_index("ids"))

@@ -125,7 +125,7 @@ def verdicts(docs: DataFrame, model: np.ndarray, keep: float = KEEP, prefix: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode.forget()
-        for batch in batches:
+        for batch in encode.slices(batches, 2000):
             texts, found = [x or "" for x in batch.column(at).to_pylist()], {c: [] for c, _ in new}
             for part in grams.chunks(texts):
                 scan = grams.Scan(part)

@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode.forget()
-        for batch in batches:
+        for batch in encode.slices(batches, 2000):
             fps = [signed(fingerprint(x.as_py(), size)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.encode import batches_of, encoder, vocabulary_path
+from quern.llm.encode import batches_of, encoder, slices, vocabulary_path
 from quern.session import maybe_broadcast, prepare, scratch, table
 
 LENGTH, ROWS, END = 1024, 256, 2
@@ -103,7 +103,7 @@ def write(docs: DataFrame, root: str, path: str, end: int = END) -> DataFrame:
         enc, writer, part = encoder(path), None, TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex[:12]}.arrow"
         last = np.array([end], enc.dtype)
-        for batch in batches:
+        for batch in slices(batches):
             if writer is None:
                 fs, base = pafs.FileSystem.from_uri(root)
                 fs.create_dir(base, recursive=True)
