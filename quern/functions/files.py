@@ -36,9 +36,18 @@ def key_preview(key: Column) -> Column:
     return F.when(F.coalesce(key, F.lit("")) == "", "").when(F.length(key) <= 12, ends(3, 2)).otherwise(ends(6, 4))
 
 
-def block_type(mime: Column, name: Column, text: Column) -> Column:
-    """image, document, text or binary, by type first and extension then."""
+#: What becomes an image or a text in a message.
+IMAGE_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp")
+BLOCK_TYPES = ("text/plain", "text/csv", "text/html", "text/markdown", "application/json", "text/xml", "application/xml")
+BLOCK_EXTENSIONS = (
+    ".txt", ".md", ".csv", ".json", ".xml", ".yaml", ".yml", ".html", ".log", ".ini", ".toml", ".env", ".cfg", ".py", ".js", ".ts", ".jsx", ".tsx", ".java",
+    ".c", ".cpp", ".h", ".go", ".rs", ".rb", ".php", ".swift", ".kt", ".cs", ".sh", ".bash", ".sql", ".r", ".lua", ".css", ".scss", ".less", ".vue", ".svelte",
+)
+
+
+def block_type(mime: Column, name: Column, text: Column, size: Column) -> Column:
+    """image, document, text or binary, by type first and extension then; files over the limit are too large."""
     return (
-        F.when(mime.startswith("image/"), "image").when((mime == "application/pdf") | (extension(name) == ".pdf"), "document")
-        .when(mime.startswith("text/") | extension(name).isin(*TEXT_EXTENSIONS), "text").when(text.isNotNull(), "text").otherwise("binary")
+        F.when(size > MOST_BYTES, "too large").when(mime.isin(*IMAGE_TYPES), "image").when((mime == "application/pdf") | (extension(name) == ".pdf"), "document")
+        .when(mime.isin(*BLOCK_TYPES) | extension(name).isin(*BLOCK_EXTENSIONS), "text").when(text.isNotNull(), "text").otherwise("binary")
     )

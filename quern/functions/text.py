@@ -76,12 +76,16 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(common(a, b).cast("double"), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))), F.lit(0.0))
 
 
+def denies(words_: Column) -> Column:
+    """Whether an array of words holds a word that denies."""
+    return F.arrays_overlap(words_, F.array(*map(F.lit, NEGATIONS)))
+
+
 def contradiction(new: Column, old: Column) -> Column:
     """negation, replacement or null, from two word arrays."""
-    negative = F.array(*map(F.lit, NEGATIONS))
     both = F.array_distinct(F.array_union(new, old))
     replaced = (common(new, old) >= 2) & (F.size(F.array_except(new, old)) > 0) & (F.size(F.array_except(old, new)) > 0) & (common(new, old) / F.size(both) >= 0.4)
-    return F.when(F.arrays_overlap(new, negative) != F.arrays_overlap(old, negative), "negation").when(replaced, "replacement")
+    return F.when(denies(new) != denies(old), "negation").when(replaced, "replacement")
 
 
 def content_hash(text: Column) -> Column:

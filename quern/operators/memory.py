@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.session import maybe_broadcast, prepare
+from quern.functions import vector as V
+from quern.session import materialise, maybe_broadcast, prepare
 from quern.sources.adapters import now
 
 
@@ -27,12 +28,18 @@ def recency(created: Column, as_of: str) -> Column:
 
 
 def recall(memories: DataFrame, queries: DataFrame, as_of: str, k: int = 5, candidates: int = 50, decayed: bool = True) -> DataFrame:
-    """The k best memories for each query (query_id, user_id, text) among the user's active candidates."""
+    """The k best memories for each query (query_id, user_id, text) among the user's active candidates.
+
+    Where both sides have an ``embedding``, the relevance is 0.7 of their cosine and 0.3 of the words' share, else that share.
+    """
+    vectors = "embedding" in memories.columns and "embedding" in queries.columns
     first = Window.partitionBy("user_id").orderBy(F.desc("importance"), F.desc("created_at"), "id")
     some = memories.where("archived_at IS NULL").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= candidates)
-    asked = queries.select("query_id", "user_id", F.array_distinct(T.words(F.col("text"))).alias("q"))
+    asked = queries.select("query_id", "user_id", F.array_distinct(T.words(F.col("text"))).alias("q"), *([F.col("embedding").alias("q_vector")] if vectors else []))
     joined = some.join(maybe_broadcast(asked), "user_id")
     kw = T.overlap(F.col("q"), T.words(F.col("content")))
+    if vectors:
+        kw = F.when(F.col("embedding").isNotNull() & F.col("q_vector").isNotNull(), 0.7 * V.cosine(F.col("embedding"), F.col("q_vector")) + 0.3 * kw).otherwise(kw)
     age = decay(F.col("accessed_at"), F.col("created_at"), as_of)
     score = 0.5 * kw + 0.25 * F.col("importance") + 0.25 * age if decayed else 0.6 * kw + 0.3 * F.col("importance") + 0.1 * recency(F.col("created_at"), as_of)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -49,13 +56,27 @@ def remember(memories: DataFrame, per_user: bool = True) -> DataFrame:
 
 
 def conflicts(new: DataFrame, memories: DataFrame, threshold: float, last: int = 100) -> DataFrame:
-    """(new_id, id, similarity, kind): new facts against the last active rows of their user, similar and contradictory."""
+    """(new_id, id, similarity, kind): new facts against the last active rows of their user, similar and contradictory.
+
+    Similarity is the cosine where both have an ``embedding``, else that of the word sets. A pair needs the sets' sizes, what
+    they have in common and which side denies, so sets go along as digests of their words.
+    """
+    vectors = "embedding" in memories.columns and "embedding" in new.columns
     recent = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     some = memories.where("archived_at IS NULL").withColumn("_n", F.row_number().over(recent)).where(F.col("_n") <= last)
-    old = some.select("user_id", "id", F.array_distinct(T.words(F.col("content"))).alias("old"))
-    fresh = new.select("user_id", F.col("id").alias("new_id"), F.array_distinct(T.words(F.col("content"))).alias("new"))
-    pairs = fresh.join(old, "user_id").where("new_id <> id")
-    return pairs.select("new_id", "id", F.round(T.jaccard(F.col("new"), F.col("old")), 6).alias("similarity"), T.contradiction(F.col("new"), F.col("old")).alias("kind")).where((F.col("similarity") >= threshold) & F.col("kind").isNotNull())
+    own = F.array_distinct(T.words(F.col("content")))
+
+    def side(rows: DataFrame, key: str, name: str) -> DataFrame:
+        held = rows.select("user_id", F.col("id").alias(key), own.alias("_w"), *([F.col("embedding").alias(f"{name}_vector")] if vectors else []))
+        return held.select("user_id", key, F.transform("_w", lambda w: F.xxhash64(w)).alias(name), T.denies(F.col("_w")).alias(f"{name}_denies"), *([f"{name}_vector"] if vectors else []))
+
+    recalled = materialise(side(some, "id", "old"), "recent-memories")
+    pairs = materialise(side(new, "new_id", "new"), "new-memories").join(recalled, "user_id").where("new_id <> id").withColumn("both", F.size(F.array_intersect("new", "old")))
+    a, b, both = F.size("new"), F.size("old"), F.col("both")
+    share = F.coalesce(F.try_divide(both.cast("double"), a + b - both), F.lit(0.0))
+    similarity = F.when(F.col("new_vector").isNotNull() & F.col("old_vector").isNotNull(), V.cosine(F.col("new_vector"), F.col("old_vector"))).otherwise(share) if vectors else share
+    kind = F.when(F.col("new_denies") != F.col("old_denies"), "negation").when((both >= 2) & (a > both) & (b > both) & (share >= 0.4), "replacement")
+    return pairs.select("new_id", "id", F.round(similarity, 6).alias("similarity"), kind.alias("kind")).where((F.col("similarity") >= threshold) & F.col("kind").isNotNull())
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -119,8 +140,6 @@ def leaders(pairs: DataFrame) -> DataFrame:
     which no smaller open neighbour can come before, so a group of copies takes two rounds; a row without a leader waits
     for its smaller neighbours. Rounds go on until no row is open.
     """
-    from quern.session import materialise
-
     pairs = materialise(pairs.select("a", "b"), "leader-pairs")
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "leader-ids")
     state = materialise(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")), "leaders")

@@ -6,7 +6,9 @@ total: equal scores are ordered by id. Lists are cut per query with a window tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +33,146 @@ def query_terms(queries: DataFrame, split=T.terms) -> DataFrame:
     return queries.select("query_id", F.explode(distinct).alias("term"), F.size(distinct).alias("n_terms"))
 
 
+#: Queries that are scored at once; more of them go in blocks.
+QUERIES = 2048
+
+
+def blocks(queries: DataFrame, own: Callable[[DataFrame], DataFrame], most: int = QUERIES) -> DataFrame:
+    """``own`` over blocks of about ``most`` queries each, so what a block sends to the tasks is bounded."""
+    n = -(-queries.count() // most)
+    if n <= 1:
+        return own(queries)
+    parts = [own(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does: halves away from zero; scores aren't negative here."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, column) of the k best positive scores of each row; equal scores by id."""
+    order = np.argsort(ids, kind="stable")
+    score = score[:, order]
+    if k < score.shape[1]:
+        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        keep = (score > 0) & (score >= edge)
+    else:
+        keep = score > 0
+    q, c = np.nonzero(keep)
+    first = np.lexsort((c, -score[q, c], q))
+    q, c = q[first], c[first]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], order[c[place < k]]
+
+
+def term_scores(postings: DataFrame, asked: DataFrame, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], k: int, least: float = 0.0) -> DataFrame:
+    """The k best documents a query and task: products of a batch's term weights with the block's query weights.
+
+    ``postings``: (id, len, terms, tfs), terms as their numbers; ``asked``: (query_id, term number, weight), a block of a stated
+    set of queries, which goes to the tasks. ``weigh(tf, len)`` makes the document's side; scores are rounded to four digits.
+    """
+    spark = prepare(postings.sparkSession)
+    rows = asked.select("query_id", "number", "weight").toPandas()
+    ids, at = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    width = int(rows["number"].max()) + 1 if len(rows) else 0
+    side = np.zeros((len(ids), width))
+    side[at, rows["number"].to_numpy()] = rows["weight"].to_numpy()
+    shared = spark.sparkContext.broadcast((ids, side))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = shared.value
+        for batch in (b.slice(n, 1024) for b in batches for n in range(0, b.num_rows, 1024)):
+            if not len(qid) or not batch.num_rows:
+                continue
+            own, size = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            terms, tfs = batch.column(2), batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            number, tf = terms.flatten().to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False)
+            docs = np.zeros((batch.num_rows, q.shape[1]))
+            fits = number < q.shape[1]
+            docs[row[fits], number[fits]] = weigh(tf, size[row])[fits]
+            score = half_up(q @ docs.T, 4)
+            a, b = best_rows(np.where(score > least, score, 0), own, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[a], pa.int64()), pa.array(own[b], pa.int64()), pa.array(score[a, b], pa.float64())], names=["query_id", "id", "score"])
+
+    return postings.select("id", "len", "terms", "tfs").mapInArrow(run, "query_id bigint, id bigint, score double")
+
+
+def postings_of(docs: DataFrame, numbers: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(id, len, terms, tfs) of each document: its tokens' number, and the numbered terms among them with their counts.
+
+    The numbered terms come from a stated set of queries and go to the tasks; texts aren't shuffled.
+    """
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast({r["term"]: r["number"] for r in numbers.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value.get
+        for batch in (b.slice(n, 512) for b in batches for n in range(0, b.num_rows, 512)):
+            sizes, terms, tfs = [], [], []
+            for own in batch.column(1).to_pylist():
+                count = Counter(own or ())
+                hit = sorted((n, c) for t, c in count.items() if (n := find(t)) is not None)
+                sizes.append(len(own or ()))
+                terms.append([n for n, _ in hit])
+                tfs.append([c for _, c in hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "len", "terms", "tfs"])
+
+    made = docs.select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t"))
+    return made.mapInArrow(run, "id bigint, len bigint, terms array<int>, tfs array<int>")
+
+
+def numbered(asked: DataFrame) -> DataFrame:
+    """(term, number) of the distinct terms of a block of queries."""
+    return asked.select("term").distinct().select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("number"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 lists over (id, text) in one pass over the texts.
+    """BM25 lists over (id, text): the texts are read once a block of queries, into postings of the asked terms.
 
-    Only terms that some query asks for leave the scan, already counted a document; an empty term, which no text holds,
-    carries each document's length for the averages. These postings are written once, and the rest reads them.
+    Document frequencies and the average length come from the written postings; scores are matrix products in the tasks, each
+    of which keeps k documents a query, so what is shuffled is k rows a query and task.
     """
-    asked = query_terms(queries)
-    terms = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    tokens = docs.select("id", T.terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    postings = materialise(tokens.join(maybe_broadcast(terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "bm25-postings")
-    stats = postings.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    found = postings.where("term <> ''")
-    seen = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
-    weights = materialise(asked.join(seen, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", idf.alias("idf")), "bm25-weights")  # one row of statistics
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(maybe_broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
-    return top(scored, k)
-
-
-def word_overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Share of the query's words in the document, without punctuation rules; an equi-join on words."""
-    asked = query_terms(queries, T.words)
-    held = docs.select("id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    both = held.join(maybe_broadcast(asked), "term")
-    return top(both.groupBy("query_id", "id").agg(F.round(F.count("*") / F.first("n_terms"), 4).alias("score")), k)
+
+    def own(some: DataFrame) -> DataFrame:
+        asked = materialise(query_terms(some), "bm25-terms")
+        numbers = materialise(numbered(asked), "bm25-numbers")
+        held = materialise(postings_of(docs, numbers, T.terms), "bm25-postings")
+        n_docs, mean = held.agg(F.count("*"), F.avg("len")).first()
+        df = held.select(F.explode("terms").alias("number")).groupBy("number").agg(F.count("*").alias("df"))
+        idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
+        weights = asked.join(numbers.join(df, "number"), "term").select("query_id", "number", idf.alias("weight"))
+        mean = mean or 1.0
+        return term_scores(held, weights, lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), k)
+
+    return top(blocks(queries, own), k)
+
+
+def word_overlap(docs: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+    """Share of the query's words in the document, without punctuation rules; scores above ``least`` only."""
+
+    def own(some: DataFrame) -> DataFrame:
+        asked = materialise(query_terms(some, T.words), "overlap-terms")
+        numbers = materialise(numbered(asked), "overlap-numbers")
+        weights = asked.join(numbers, "term").select("query_id", "number", (1 / F.col("n_terms")).alias("weight"))
+        return term_scores(postings_of(docs, numbers, T.words), weights, lambda tf, size: np.ones(len(tf)), k, least)
+
+    return top(blocks(queries, own), k)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", digits: int = 6) -> DataFrame:
     """Exact nearest vectors (id, embedding) of a stated set of queries (query_id, embedding), as blocks of products.
 
-    The queries must fit the driver; each task keeps k rows a query, so what is shuffled doesn't grow with the vectors'
-    width. Scores: cosine (0 for a zero norm) or 1 / (1 + distance).
+    Blocks of QUERIES queries go to the tasks; each task keeps k rows a query, so what is shuffled doesn't grow with the
+    vectors' width. Scores: cosine (0 for a zero norm) or 1 / (1 + distance).
     """
+    return top(blocks(queries, lambda some: nearest(vectors, some, k, metric, digits)), k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, digits: int) -> DataFrame:
+    """(query_id, id, score): k rows a query and task."""
     spark = prepare(vectors.sparkSession)
     asked = queries.select("query_id", "embedding").toPandas()
     ids, matrix = asked["query_id"].to_numpy(), np.array(asked["embedding"].tolist(), np.float64).reshape(len(asked), -1)
@@ -94,7 +202,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
             n = best[0].shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n), pa.int64()), pa.array(best[1].ravel(), pa.int64()), pa.array(best[0].ravel(), pa.float64())], names=["query_id", "id", "score"])
 
-    return top(vectors.select("id", "embedding").mapInArrow(run, "query_id bigint, id bigint, score double"), k)
+    return vectors.select("id", "embedding").mapInArrow(run, "query_id bigint, id bigint, score double")
 
 
 def ann(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 10, seed: int = 7, probes: int = 32) -> DataFrame:
@@ -145,6 +253,15 @@ def hybrid(lexical: DataFrame, vector: DataFrame, k: int = 10, mode: str = "hybr
     return top(rrf([vector, lexical]), k)
 
 
+def knowledge_search(lists: dict[str, DataFrame], children: DataFrame, k: int = 30, mode: str = "hybrid") -> DataFrame:
+    """Lists by keyword, vector and entity, fused (with one mode: its own list), cut, and child chunks replaced by their parents."""
+    if mode == "hybrid":
+        hits = top(materialise(rrf(list(lists.values()), base=1), "fused"), k)
+    else:
+        hits = lists[mode].where(F.col("rank") < k)
+    return resolve_parents(hits, children)
+
+
 def resolve_parents(hits: DataFrame, children: DataFrame) -> DataFrame:
     """Ranked hits on child chunks as hits on their parents: of each parent the first child counts."""
     named = hits.join(children.select(F.col("chunk_id").alias("id"), "parent_id"), "id", "left").withColumn("parent", F.coalesce("parent_id", "id"))

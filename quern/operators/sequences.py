@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialise
+
 
 def rate_counts(log: DataFrame, seconds: int = 60, limit: int = 2) -> DataFrame:
     """Requests of a client in the window that ends with each one, and whether they exceed the limit."""
@@ -33,19 +35,28 @@ def ngrams(lists: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
     return lists.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+def recent_lists(lists: DataFrame, since, last: int = 200) -> DataFrame:
+    """The newest lists (user_id, at, names) of each user from a day on, ``last`` of them, those of one name left out."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("at"))
+    kept = lists.where((F.col("at") >= since) & (F.size("names") >= 1)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
+    return kept.where(F.size("names") >= 2).drop("_n")
+
+
 def repeated_patterns(lists: DataFrame, minimum: int = 3, k: int = 5) -> DataFrame:
-    """The k most frequent patterns, none inside one that is kept. Candidates: patterns at or above the minimum.
+    """The k most frequent patterns, none inside one that is kept; ties: shorter first, then text.
 
-    A pattern can only be dropped for a more frequent one that holds it, so the dropped are found by one join of the
-    first patterns. A kept pattern has at most five runs inside it, so k are kept among the first few times k; names that
-    contain other names can drop more, for which a thousand times as many are looked at. Ties: shorter first, then text.
+    The counts are written once. Each of k passes takes the first pattern that isn't inside one taken before, so nothing is
+    left out however many patterns hold each other, and each pass shuffles one row a task.
     """
-    counted = ngrams(lists).where(F.col("n") >= minimum).withColumn("len", F.size(F.split("gram", "->")))
-    order = Window.orderBy(F.desc("n"), "len", "gram")
-    ranked = counted.orderBy(F.desc("n"), "len", "gram").limit(1000 * k).withColumn("pos", F.row_number().over(order))
-    a, b = ranked.alias("a"), ranked.alias("b")
-    inside = a.join(b, (F.col("a.pos") > F.col("b.pos")) & F.col("b.gram").contains(F.col("a.gram"))).select(F.col("a.gram").alias("gram")).distinct()
-    return ranked.join(inside, "gram", "left_anti").orderBy("pos").limit(k).select("gram", "n")
+    counted = materialise(ngrams(lists).where(F.col("n") >= minimum).withColumn("len", F.size(F.split("gram", "->"))), "patterns")
+    kept: list = []
+    while len(kept) < k:
+        inside = reduce(lambda a, b: a | b, (F.contains(F.lit(r["gram"]), F.col("gram")) for r in kept), F.lit(False))
+        found = counted.where(~inside).orderBy(F.desc("n"), "len", "gram").limit(1).collect()  # one row
+        if not found:
+            break
+        kept += found
+    return lists.sparkSession.createDataFrame([(r["gram"], r["n"]) for r in kept], "gram string, n bigint")
 
 
 def ema(log: DataFrame, alpha: float = 0.3, digits: int = 6) -> DataFrame:

@@ -33,13 +33,20 @@ def d03(spark, d):
     return docs(spark, d).select("id", F.posexplode(D.packed(F.col("text"))).alias("chunk_index", "content"))
 
 
-@query("d04_sections", r"""WITH p AS (SELECT doc_id AS id, '# ' || source || chr(10) || 'intro' || chr(10) || '## ' || lang || chr(10) || substr(text, 1, 50) AS t FROM documents WHERE NOT contains(substr(text, 1, 50), chr(10) || '#'))
- SELECT id, 0 AS pos, 1 AS level, split_part(substr(t, 3), chr(10), 1) AS title, split_part(substr(t, 3), chr(10), 1) AS section_path FROM p
- UNION ALL SELECT id, 1, 2, split_part(split_part(t, '## ', 2), chr(10), 1), split_part(substr(t, 3), chr(10), 1) || ' > ' || split_part(split_part(t, '## ', 2), chr(10), 1) FROM p""")
+#: Whole texts below two headings; each 50th line of a text is a heading as well, at a level that follows from its place.
+HEADED = r"""p AS (SELECT doc_id AS id, string_split('# ' || source || chr(10) || 'intro' || chr(10) || '## ' || lang || chr(10) || text, '. ') AS s FROM documents),
+ t AS (SELECT id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i % 9 = 0 THEN chr(10) || repeat('#', 1 + i % 5) || ' ' || x || chr(10) ELSE x END), '. ') AS t FROM p),
+ l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS n FROM t),
+ h AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INT) AS pos, CAST(length(regexp_extract(line, '^#+')) AS INT) AS level, regexp_replace(regexp_replace(line, '^#+\s+', ''), '\s+$', '') AS title FROM l WHERE regexp_matches(line, '^#{1,6}\s+\S'))"""
+
+
+@query("d04_sections", f"""WITH {HEADED}, up AS (SELECT a.id, a.pos, string_agg(b.title, ' > ' ORDER BY b.pos) AS path FROM h a JOIN h b ON b.id = a.id AND b.pos < a.pos AND b.level < a.level
+  WHERE NOT EXISTS (SELECT 1 FROM h m WHERE m.id = a.id AND m.pos > b.pos AND m.pos < a.pos AND m.level <= b.level) GROUP BY a.id, a.pos)
+ SELECT h.id, h.pos, level, title, coalesce(path || ' > ', '') || title AS section_path FROM h LEFT JOIN up ON up.id = h.id AND up.pos = h.pos""")
 def d04(spark, d):
-    own = table(spark, d, "documents").where(~F.substring("text", 1, 50).contains("\n#"))
-    page = F.concat(F.lit("# "), "source", F.lit("\nintro\n## "), "lang", F.lit("\n"), F.substring("text", 1, 50))
-    return D.markdown_sections(own.select(F.col("doc_id").alias("id"), page.alias("text"))).drop("body")
+    parts = F.split(F.concat(F.lit("# "), "source", F.lit("\nintro\n## "), "lang", F.lit("\n"), "text"), r"\. ", -1)
+    headed = F.transform(parts, lambda x, i: F.when((i + 1) % 9 == 0, F.concat(F.lit("\n"), F.repeat(F.lit("#"), 1 + (i + 1) % 5), F.lit(" "), x, F.lit("\n"))).otherwise(x))
+    return D.markdown_sections(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(headed, ". ").alias("text"))).where(F.col("title") != "").drop("body")
 
 
 @query("d05_child_windows", f"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(list_transform(range(0, CASE WHEN length(text) <= 600 THEN 1 ELSE length(text) END, 500), lambda s: CASE WHEN length(text) <= 600 THEN text ELSE {STRIP.format('substr(text, s + 1, 600)')} END), lambda x: x <> '')) AS content,
@@ -62,6 +69,24 @@ def d10(spark, d):
     return D.change_set(old, new)
 
 
+@query("e25_file_changes", """WITH o AS (SELECT doc_id AS path, doc_id % 90 AS m, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0),
+ n AS (SELECT doc_id AS path, doc_id % 90 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS m, sha256(CASE WHEN doc_id % 6 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 17 <> 0)
+ SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.m = n.m THEN 'unchanged' WHEN o.h = n.h THEN 'touched' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path""")
+def e25(spark, d):
+    path, text = F.col("id"), F.when(F.col("id") % 6 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    listed = lambda rows, modified, content: rows.select(path.alias("path"), modified.alias("modified"), F.sha2(content, 256).alias("digest"))
+    old = listed(docs(spark, d).where("id % 13 <> 0"), path % 90, F.col("text"))
+    new = listed(docs(spark, d).where("id % 17 <> 0"), path % 90 + F.when(path % 3 == 0, 1).otherwise(0), text)
+    return D.file_changes(old, new)
+
+
+@query("d16_merged_entities", """WITH f AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name, 'name' AS kind FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{9,}')), 'term' FROM documents)
+ SELECT id, min(name) AS name, min(kind) AS kind, count(*) AS n FROM f GROUP BY id, lower(name)""")
+def d16(spark, d):
+    each = lambda pattern, kind: docs(spark, d).select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"), F.lit(kind).alias("kind"))
+    return D.merged_entities(each("[A-Z][a-z]{3,}", "name").unionByName(each("[a-z]{9,}", "term")))
+
+
 @query("d11_content_dedup", "SELECT md5(text) AS hash, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1")
 def d11(spark, d):
     return D.distinct_contents(docs(spark, d))
@@ -92,12 +117,12 @@ def a21(spark, d):
     return found.groupBy("bucket", "name").agg(F.count("*").alias("n"))
 
 
-@query("a22_context", f"""WITH {OVERLAP}, h AS ({cut('ov', 5)}), f AS (SELECT query_id, source AS doc, lang AS section, substr(text, 1, 80) AS content, min(rank) AS rank FROM h JOIN documents ON doc_id = id GROUP BY ALL),
+@query("a22_context", f"""WITH {OVERLAP}, h AS ({cut('ov', 5)}), f AS (SELECT query_id, source AS doc, lang AS section, text AS content, min(rank) AS rank FROM h JOIN documents ON doc_id = id GROUP BY ALL),
  g AS (SELECT query_id, min(rank) AS rank, '## Источник: "' || doc || '"' || chr(10) || string_agg(chr(10) || '[, раздел "' || section || '"]' || chr(10) || content, chr(10) ORDER BY rank) || chr(10) AS body FROM f GROUP BY query_id, doc)
  SELECT query_id, string_agg(body, chr(10) ORDER BY rank) AS context FROM g GROUP BY query_id""")
 def a22(spark, d):
     hits = R.word_overlap(docs(spark, d), asked(spark, d), 5)
-    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.substring("text", 1, 80).alias("content"))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.col("text").alias("content"))
     return D.context(hits.join(own, "id").select("query_id", "rank", "doc", "page", "section", "content"))
 
 
@@ -119,11 +144,11 @@ def d09(spark, d):
     return table(spark, d, "part").select("p_partkey", D.heading_level(F.col("p_size"), F.lit(20.0)).alias("level"))
 
 
-@query("s14_blocks", f"""WITH {FILES_SQL} SELECT id, CASE WHEN starts_with(mime_type, 'image/') THEN 'image' WHEN mime_type = 'application/pdf' THEN 'document' WHEN ext = 'bin' THEN 'binary' ELSE 'text' END AS kind FROM files""")
+@query("s14_blocks", f"""WITH {FILES_SQL} SELECT id, CASE WHEN starts_with(mime_type, 'image/') THEN 'image' WHEN mime_type = 'application/pdf' THEN 'document' WHEN size_bytes > 10485760 THEN NULL WHEN ext = 'bin' THEN 'binary' ELSE 'text' END AS kind FROM files""".replace("SELECT id, CASE WHEN", "SELECT id, CASE WHEN size_bytes > 10485760 THEN 'too large' WHEN"))
 def s14(spark, d):
     f = S.files(spark, d)
     text = F.when(FF.extension(F.col("name")) != ".bin", F.col("name"))
-    return f.select("id", FF.block_type(F.col("mime_type"), F.col("name"), text).alias("kind"))
+    return f.select("id", FF.block_type(F.col("mime_type"), F.col("name"), text, F.col("size_bytes")).alias("kind"))
 
 
 @query("f15_key_preview", "SELECT p_partkey, CASE WHEN length(k) > 12 THEN left(k, 6) || '...' || right(k, 4) ELSE left(k, 3) || '...' || right(k, 2) END AS preview FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE md5(p_name) END AS k FROM part)")

@@ -122,7 +122,8 @@ def set01(spark, d):
 
 @query("d02_code_fences")
 def d02(spark, d):
-    fenced = F.concat(F.substring("text", 1, 900), F.lit("\n```\n"), F.repeat(F.lit("code line\n"), 40), F.lit("```\n"), F.substring("text", 901, 900))
+    half = F.floor(F.length("text") / 2).cast("int")
+    fenced = F.concat(F.left("text", half), F.lit("\n```\n"), F.repeat(F.lit("code line\n"), 40), F.lit("```\n"), F.substring("text", half + 1, F.length("text")))
     own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("md").alias("kind"), fenced.alias("text"))
     return D.chunks(own).where(F.col("content").contains("```")).select("id", "chunk_index", (F.size(F.split("content", "```")) - 1).alias("fences"))
 
@@ -140,10 +141,10 @@ def f01(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(T.strip(text)).cast("long").alias("n"))
 
 
-@query("f02_strings", f"SELECT doc_id, concat_ws('-', substr(text, 1, 5), lang) AS head, len(string_split(text, ' ')) AS parts, starts_with(text, 'The') AS led, replace(substr(text, 1, 30), 'th', 'TH') AS swapped, lower({STRIP.format('substr(text, 1, 20)')}) AS low FROM documents")
+@query("f02_strings", f"SELECT doc_id, concat_ws('-', substr(text, 1, 5), lang) AS head, len(string_split(text, ' ')) AS parts, starts_with(text, 'The') AS led, replace(text, 'th', 'TH') AS swapped, lower({STRIP.format('text')}) AS low FROM documents")
 def f02(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("-", F.substring(t, 1, 5), "lang").alias("head"), F.size(F.split(t, " ")).cast("long").alias("parts"), t.startswith("The").alias("led"), F.replace(F.substring(t, 1, 30), F.lit("th"), F.lit("TH")).alias("swapped"), F.lower(T.strip(F.substring(t, 1, 20))).alias("low"))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("-", F.substring(t, 1, 5), "lang").alias("head"), F.size(F.split(t, " ")).cast("long").alias("parts"), t.startswith("The").alias("led"), F.replace(t, F.lit("th"), F.lit("TH")).alias("swapped"), F.lower(T.strip(t)).alias("low"))
 
 
 @query("f03_patterns", r"SELECT doc_id, regexp_matches(text, '\d{4}') AS year, len(regexp_extract_all(text, '[A-Z]\w+')) AS capitals, regexp_extract(text, '(\w+)\.', 1) AS first_end FROM documents")

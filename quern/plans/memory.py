@@ -18,16 +18,22 @@ STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
 
 def user_queries(spark, d):
-    b = table(spark, d, "benchmark").where("item_id < 20")
-    return b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("user_id"), "text")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("user_id"), "text")
+    return with_vectors(spark, d, b, "query_id")
+
+
+def with_vectors(spark, d, rows, key="id"):
+    """Rows with the vector of their id, if there is one."""
+    return rows.join(table(spark, d, "embeddings").select(F.col("vec_id").alias(key), "embedding"), key, "left")
 
 
 @query("m01_recall", f"""WITH {MEMORIES_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, created_at DESC, id) AS n FROM memories WHERE archived_at IS NULL),
- q AS (SELECT item_id AS query_id, 'src' || item_id AS user_id, {WORDS.format('text')} AS q FROM benchmark WHERE item_id < 20),
- s AS (SELECT query_id, user_id, id, round(0.5::DOUBLE * len(list_intersect(q, {WORDS.format('content')})) / greatest(len(q), 1) + 0.25::DOUBLE * importance + 0.25::DOUBLE * exp(-0.01::DOUBLE * {DAYS.format('coalesce(accessed_at, created_at)')}), 6) AS score FROM c JOIN q USING (user_id) WHERE n <= 50)
+ q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS user_id, {WORDS.format('text')} AS q, embedding AS v FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+ k AS (SELECT query_id, c.user_id, id, importance, accessed_at, created_at, len(list_intersect(q, {WORDS.format('content')})) / CAST(greatest(len(q), 1) AS DOUBLE) AS kw, v, embedding AS w FROM c JOIN q USING (user_id) LEFT JOIN embeddings ON vec_id = id WHERE n <= 50),
+ s AS (SELECT query_id, user_id, id, round(0.5::DOUBLE * CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN 0.7::DOUBLE * list_cosine_similarity(v::DOUBLE[], w::DOUBLE[]) + 0.3::DOUBLE * kw ELSE kw END + 0.25::DOUBLE * importance + 0.25::DOUBLE * exp(-0.01::DOUBLE * {DAYS.format('coalesce(accessed_at, created_at)')}), 6) AS score FROM k)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 5""")
 def m01(spark, d):
-    return M.recall(S.memories(spark, d), user_queries(spark, d), AS_OF)
+    return M.recall(with_vectors(spark, d, S.memories(spark, d)), user_queries(spark, d), AS_OF)
 
 
 @query("m02_decay", f"""WITH {MEMORIES_SQL} SELECT id, round(exp(-0.01::DOUBLE * {DAYS.format('coalesce(accessed_at, created_at)')}), 6) AS decay, round(greatest(0, 1 - floor({DAYS.format('created_at')}) / 365.0::DOUBLE), 6) AS recency FROM memories""")
@@ -47,12 +53,13 @@ KIND = f"""CASE WHEN (len(list_intersect(x, {NEG})) > 0) <> (len(list_intersect(
 
 
 @query("m05_conflicts", f"""WITH {MEMORIES_SQL}, r AS (SELECT user_id, id, {WORDS.format('content')} AS y, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS n FROM memories WHERE archived_at IS NULL),
- f AS (SELECT user_id, id AS new_id, {WORDS.format('content')} AS x FROM memories WHERE id % 7 = 0),
- p AS (SELECT new_id, id, round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS similarity, {KIND} AS kind FROM f JOIN r USING (user_id) WHERE n <= 100 AND new_id <> id)
+ f AS (SELECT user_id, id AS new_id, {WORDS.format('content')} AS x FROM memories WHERE id % 50 = 0),
+ p AS (SELECT new_id, id, round(CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) END, 6) AS similarity, {KIND} AS kind
+  FROM f JOIN r USING (user_id) LEFT JOIN embeddings a ON a.vec_id = new_id LEFT JOIN embeddings b ON b.vec_id = r.id WHERE n <= 100 AND new_id <> id)
  SELECT * FROM p WHERE similarity >= 0.2 AND kind IS NOT NULL""")
 def m05(spark, d):
-    memories = S.memories(spark, d)
-    return M.conflicts(memories.where("id % 7 = 0"), memories, 0.2)
+    memories = with_vectors(spark, d, S.memories(spark, d))
+    return M.conflicts(memories.where("id % 50 = 0"), memories, 0.2)  # the stated set of queries
 
 
 @query("m06_contradiction", f"""WITH p AS (SELECT a.conv_id, a.turn, {WORDS.format('a.text')} AS x, {WORDS.format('b.text')} AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2)
@@ -67,12 +74,12 @@ def m06(spark, d):
 ACTION = "['replace', 'archive_old', 'merge', 'keep_both'][CAST(a.id % 4 AS INT) + 1]"
 
 
-@query("m07_resolution", f"""WITH {MEMORIES_SQL}, p AS (SELECT a.id AS oi, substr(a.content, 1, 40) AS oc, a.importance AS om, b.id AS ni, substr(b.content, 1, 40) AS nc, b.importance AS nm, {ACTION} AS act FROM memories a JOIN memories b ON b.id = a.id + 1 WHERE a.id % 2 = 0 OR a.id % 4 = 1)
+@query("m07_resolution", f"""WITH {MEMORIES_SQL}, p AS (SELECT a.id AS oi, a.content AS oc, a.importance AS om, b.id AS ni, b.content AS nc, b.importance AS nm, {ACTION} AS act FROM memories a JOIN memories b ON b.id = a.id + 1)
  SELECT oi AS id, CASE act WHEN 'replace' THEN nc WHEN 'merge' THEN oc || ' [updated: ' || nc || ']' ELSE oc END AS content, round(CASE act WHEN 'merge' THEN least(om + 0.1::DOUBLE, 1) ELSE om END, 6) AS importance, act = 'archive_old' AS archived FROM p
  UNION ALL SELECT ni, nc, round(nm, 6), false FROM p WHERE act IN ('archive_old', 'keep_both')""")
 def m07(spark, d):
-    m = S.memories(spark, d).select("id", F.substring("content", 1, 40).alias("content"), "importance")
-    old = m.where("id % 2 = 0 OR id % 4 = 1").select(F.col("id").alias("old_id"), F.col("content").alias("old_content"), F.col("importance").alias("old_importance"), (F.col("id") + 1).alias("new_id"))
+    m = S.memories(spark, d).select("id", "content", "importance")
+    old = m.select(F.col("id").alias("old_id"), F.col("content").alias("old_content"), F.col("importance").alias("old_importance"), (F.col("id") + 1).alias("new_id"))
     new = m.select(F.col("id").alias("new_id"), F.col("content").alias("new_content"), F.col("importance").alias("new_importance"))
     act = F.element_at(F.array(*map(F.lit, ("replace", "archive_old", "merge", "keep_both"))), (F.col("old_id") % 4 + 1).cast("int"))
     return M.resolve(old.join(new, "new_id").withColumn("action", act)).withColumn("importance", F.round("importance", 6))
@@ -111,12 +118,19 @@ def m12(spark, d):
     return pairs(spark, d)
 
 
-@query("m12_leader_clusters")
+#: Rows in id order, each led by the first leader that it is similar to; a fold over the list of leaders so far.
+LEADERS = f"""pr AS MATERIALIZED (SELECT a, b FROM ({PAIRS}) WHERE cosine >= 0.3), ids AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM pr UNION SELECT b FROM pr)),
+ nb AS MATERIALIZED (SELECT i.k, i.id, coalesce(list(p.a ORDER BY p.a) FILTER (p.a IS NOT NULL), []) AS smaller FROM ids i LEFT JOIN pr p ON p.b = i.id GROUP BY i.k, i.id),
+ fold(k, id, leader, leaders) AS (SELECT k, id, id, [id] FROM nb WHERE k = 1
+  UNION ALL SELECT nb.k, nb.id, coalesce(list_min(list_intersect(nb.smaller, leaders)), nb.id), CASE WHEN len(list_intersect(nb.smaller, leaders)) = 0 THEN list_append(leaders, nb.id) ELSE leaders END FROM fold JOIN nb ON nb.k = fold.k + 1)"""
+
+
+@query("m12_leader_clusters", f"WITH RECURSIVE {LEADERS} SELECT id, leader FROM fold")
 def m12_clusters(spark, d):
     return M.leaders(pairs(spark, d))
 
 
-@query("m13_merged_clusters")
+@query("m13_merged_clusters", f"WITH RECURSIVE {LEADERS} SELECT leader, round(least(max(id % 10 / 10.0::DOUBLE) + 0.1::DOUBLE, 1), 6) AS importance, count(*) AS size FROM fold GROUP BY leader HAVING count(*) > 1")
 def m13(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 10 / 10.0).alias("importance"))
     return M.merge_clusters(v, M.leaders(pairs(spark, d)))

@@ -8,7 +8,7 @@ from quern.functions import text as T
 from quern.functions import vector as V
 from quern.operators import retrieval as R
 from quern.plans.registry import query
-from quern.session import maybe_broadcast, table
+from quern.session import materialise, maybe_broadcast, table
 
 
 def docs(spark, d):
@@ -115,7 +115,7 @@ def r10(spark, d):
     return R.hybrid(*two_lists(spark, d))
 
 
-ENTITIES = f"""men AS (SELECT doc_id AS chunk_id, t[1] || ' ' || t[2] AS name FROM (SELECT doc_id, {TERMS} AS t FROM documents) WHERE len(t) > 1),
+ENTITIES = f"""men AS (SELECT DISTINCT chunk_id, t[i] || ' ' || t[i + 1] AS name FROM (SELECT doc_id AS chunk_id, t, unnest(range(1, len(t))) AS i FROM (SELECT doc_id, {TERMS} AS t FROM documents))),
  qn AS (SELECT item_id AS query_id, t[1] || ' ' || t[2] AS name, t[1:5] AS ws FROM (SELECT item_id, {TERMS} AS t FROM benchmark)),
  ex AS (SELECT query_id, chunk_id AS id, 1.0::DOUBLE AS score FROM qn JOIN men USING (name)),
  lo AS (SELECT query_id, chunk_id AS id, 0.5::DOUBLE AS score FROM (SELECT query_id, unnest(ws) AS w FROM qn WHERE query_id NOT IN (SELECT query_id FROM ex)) JOIN
@@ -125,11 +125,20 @@ ENTITIES = f"""men AS (SELECT doc_id AS chunk_id, t[1] || ' ' || t[2] AS name FR
 
 @query("r12_entity_search", f"WITH {ENTITIES} {cut('en', 10)}")
 def r12(spark, d):
-    t = T.terms(F.col("text"))
-    name = F.array_join(F.slice("t", 1, 2), " ")
-    mentions = docs(spark, d).select(F.col("id").alias("chunk_id"), t.alias("t")).where(F.size("t") > 1).select("chunk_id", name.alias("name"))
-    queries = asked(spark, d).select("query_id", t.alias("t")).select("query_id", F.array(name).alias("names"), F.slice("t", 1, 5).alias("words"))
-    return R.entity_search(mentions, queries)
+    return R.entity_search(mentioned(spark, d), named(asked(spark, d)))
+
+
+def mentioned(spark, d):
+    """Every two neighbouring terms of a text count as a name that it mentions."""
+    t = docs(spark, d).select(F.col("id").alias("chunk_id"), T.terms(F.col("text")).alias("t")).where(F.size("t") > 1)
+    pairs = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x, i: F.concat_ws(" ", x, F.get("t", i + 1)))
+    return t.select("chunk_id", F.explode(F.array_distinct(pairs)).alias("name"))
+
+
+def named(queries):
+    """A query's first two terms as the name that it asks for, and its first five as words."""
+    t = queries.select("query_id", T.terms(F.col("text")).alias("t"))
+    return t.select("query_id", F.array(F.array_join(F.slice("t", 1, 2), " ")).alias("names"), F.slice("t", 1, 5).alias("words"))
 
 
 @query("r13_parents", f"""WITH {OVERLAP}, h AS ({cut('ov', 20)}), p AS (SELECT *, CASE WHEN id % 5 <> 0 THEN id - id % 5 + 1000000000 ELSE id END AS parent FROM h)
@@ -139,12 +148,32 @@ def r13(spark, d):
     return R.resolve_parents(R.word_overlap(docs(spark, d), asked(spark, d), 20), children)
 
 
-@query("r14_kb_search", f"""WITH {BM25}, {OVERLAP}, l AS (SELECT * FROM ({cut('bm', 50)}) UNION ALL SELECT * FROM ({cut('ov', 50)})),
- lists AS (SELECT * FROM l), {fused(1)}, m AS (SELECT query_id, id, score FROM fu UNION ALL SELECT query_id, id, score / 100 FROM l), b AS (SELECT query_id, id, max(score) AS score FROM m GROUP BY query_id, id) {cut('b', 6)}""")
+#: Sub-queries (a question and its halves), their lists by terms, vectors and names, fused, then parents, best of each, re-ranked.
+PARTS = r"""pq AS (SELECT item_id AS q0, text AS question, regexp_extract_all(text, '\S+') AS w FROM benchmark), ph AS (SELECT *, CAST(ceil(len(w) / 2.0) AS BIGINT) AS n FROM pq),
+ pl AS (SELECT q0, question, list_filter([question, array_to_string(w[1:n], ' '), CASE WHEN len(w) > 1 THEN array_to_string(w[n + 1:len(w)], ' ') END], lambda x: x IS NOT NULL) AS p FROM ph),
+ sub AS (SELECT q0, question, q0 * 10 + i AS item_id, p[i + 1] AS text FROM (SELECT *, unnest(range(0, len(p))) AS i FROM pl))"""
+SEARCH = f"""WITH {PARTS}, {BM25.replace('FROM benchmark', 'FROM sub')}, {ENTITIES.replace('FROM benchmark', 'FROM sub')},
+ cs AS (SELECT sub.item_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM sub JOIN embeddings a ON a.vec_id = sub.q0, embeddings b),
+ lists AS (SELECT * FROM ({cut('bm', 30)}) UNION ALL SELECT * FROM ({cut('cs', 30)}) UNION ALL SELECT * FROM ({cut('en', 30)})), {fused(1)}, hits AS ({cut('fu', 30)}),
+ up AS (SELECT query_id, id - id % 5 AS id, score, row_number() OVER (PARTITION BY query_id, id - id % 5 ORDER BY rank) AS n FROM hits),
+ best AS (SELECT query_id // 10 AS query_id, id, max(score) AS score FROM up WHERE n = 1 GROUP BY ALL),
+ re AS (SELECT query_id, best.id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(pq.question), '\\S+')), list_distinct(regexp_extract_all(lower(substr(d.text, 1, 1000)), '\\S+')))) / CAST(len(list_distinct(regexp_extract_all(lower(pq.question), '\\S+'))) AS DOUBLE), 4) AS score
+  FROM best JOIN pq ON pq.q0 = query_id JOIN documents d ON d.doc_id = best.id) {cut('re', 6)}"""
+
+
+@query("r14_kb_search", SEARCH)
 def r14(spark, d):
-    lists = [R.top(x.select("query_id", "id", "score"), 50) for x in (R.bm25(docs(spark, d), asked(spark, d), 50), R.word_overlap(docs(spark, d), asked(spark, d), 50))]
-    raw = [x.withColumn("score", F.col("score") / 100) for x in lists]
-    return R.top(R.best_of([R.rrf(lists, base=1), *raw]), 6)
+    from quern.operators import assist as A
+
+    sub = materialise(A.rewrite(asked(spark, d)).select((F.col("query_id") * 10 + F.col("part")).alias("query_id"), F.col("query_id").alias("question"), "text"), "sub-queries")
+    own = item_vectors(spark, d).withColumnRenamed("query_id", "question")
+    lists = {
+        "keyword": R.bm25(docs(spark, d), sub, 30), "vector": R.knn(vectors(spark, d), sub.join(maybe_broadcast(own), "question").select("query_id", "embedding"), 30),
+        "entity": R.entity_search(mentioned(spark, d), named(sub), 30),
+    }
+    children = docs(spark, d).select(F.col("id").alias("chunk_id"), (F.col("id") - F.col("id") % 5).alias("parent_id"))
+    found = R.knowledge_search(lists, children, 30).withColumn("query_id", F.floor(F.col("query_id") / 10))
+    return A.rerank(R.best_of([found]), docs(spark, d), asked(spark, d), k=6)
 
 
 @query("r16_rerank_scores", """WITH r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE 'scores: [' || event_id % 10 || ', ' || event_id % 7 || ', 3] done' END AS reply FROM events)
@@ -172,11 +201,10 @@ def r20(spark, d):
     return R.substring_score(queries.withColumn("query_id", F.col("query_id").cast("int")), files)
 
 
-@query("r21_tool_selection", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id < 60), t AS ({cut('s', 8)})
+@query("r21_tool_selection", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), t AS ({cut('s', 8)})
  SELECT query_id, id FROM t UNION SELECT DISTINCT query_id, CAST(59 AS BIGINT) FROM t""")
 def r21(spark, d):
-    tools = vectors(spark, d).where("id < 60")
-    best = R.knn(tools, each_50th(spark, d), 8).select("query_id", "id")
+    best = R.knn(vectors(spark, d), each_50th(spark, d), 8).select("query_id", "id")
     forced = best.select("query_id").distinct().withColumn("id", F.lit(59).cast("long"))
     return best.unionByName(forced.join(best, ["query_id", "id"], "left_anti"))
 

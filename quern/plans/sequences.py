@@ -53,10 +53,15 @@ def w06(spark, d):
     return Q.ngrams(lists(spark, d))
 
 
-@query("e01_patterns", f"""WITH RECURSIVE {GRAMS}, c AS (SELECT gram, count(*) AS n, len(string_split(gram, '->')) AS len FROM n GROUP BY gram HAVING count(*) >= 3), r AS (SELECT gram, n, row_number() OVER (ORDER BY n DESC, len, gram) AS pos FROM c)
+#: The lists of the last days, at most twenty a user.
+RECENT = GRAMS.replace(LISTS, f"{LISTS.replace('l AS', 'every AS')}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS back FROM every WHERE day >= DATE '2024-01-05') WHERE back <= 20)")
+
+
+@query("e01_patterns", f"""WITH RECURSIVE {RECENT}, c AS (SELECT gram, count(*) AS n, len(string_split(gram, '->')) AS len FROM n GROUP BY gram HAVING count(*) >= 3), r AS (SELECT gram, n, row_number() OVER (ORDER BY n DESC, len, gram) AS pos FROM c)
  SELECT gram, n FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.pos < a.pos AND contains(b.gram, a.gram)) ORDER BY pos LIMIT 5""")
 def e01(spark, d):
-    return Q.repeated_patterns(lists(spark, d))
+    e = events(spark, d).groupBy("user_id", F.col("ts").cast("date").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "action"))), lambda v: v["action"]).alias("names"))
+    return Q.repeated_patterns(Q.recent_lists(e, F.lit("2024-01-05").cast("date"), 20))
 
 
 @query("e02_suggestions", f"""WITH {EV}, p AS (SELECT user_id, action, lead(action) OVER (PARTITION BY user_id ORDER BY ts, id) AS next FROM ev), c AS (SELECT user_id, action, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
@@ -157,10 +162,10 @@ def e14(spark, d):
     return table(spark, d, "events").select("event_id", Q.cron("*/15 9-17 * * 1-5", F.col("ts")).alias("a"), Q.cron("0,30 * * * 6,7", F.col("ts")).alias("b"))
 
 
-@query("e15_next_run", """WITH m AS (SELECT event_id AS id, ts, unnest(range(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 1 MINUTE + INTERVAL 168 HOUR + INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS t FROM events WHERE event_id % 50 = 0)
- SELECT id, ts, min(t) AS next_run_at FROM m WHERE minute(t) % 20 = 0 AND hour(t) = 6 AND dayofweek(t) = 1 GROUP BY id, ts""")
+@query("e15_next_run", """WITH m AS (SELECT event_id AS id, ts, date_trunc('day', ts) + to_days(k) + INTERVAL 6 HOUR + to_minutes(n) AS t FROM events, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) v(k), (VALUES (0), (20), (40)) u(n))
+ SELECT id, ts, min(t) AS next_run_at FROM m WHERE dayofweek(t) = 1 AND t > date_trunc('minute', ts) GROUP BY id, ts""")
 def e15(spark, d):
-    return Q.next_run(table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("id"), "ts"), "*/20 6 * * 1")
+    return Q.next_run(table(spark, d, "events").select(F.col("event_id").alias("id"), "ts"), "*/20 6 * * 1")
 
 
 @query("e17_transitions", f"""WITH {TASKS_SQL}, e AS (SELECT id, CASE status WHEN 'failed' THEN 'running' ELSE status END AS status, ['claim', 'complete', 'fail', 'cancel'][CAST(id % 4 AS INT) + 1] AS event, id % 3 = 0 AS recurring FROM tasks)

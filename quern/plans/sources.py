@@ -19,12 +19,13 @@ def s01(spark, d):
     return spark.read.option("wholetext", "false").text(root).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("s04_directory_scan")
+@query("s04_directory_scan", "SELECT 'txt' AS kind, count(*) AS n, count(*) AS read FROM (SELECT DISTINCT lang FROM documents)")
 def s04(spark, d):
+    """One file a language in nested folders, found again by their extension; other files there are no documents."""
     root = scratch(spark, "folder")
-    pages = table(spark, d, "pages").select(F.regexp_replace("html", r"\s+", " ").alias("value"))
-    pages.write.option("lineSep", "\n").text(f"{root}/pages")
-    spark.read.text(f"{root}/pages").write.format("text").save(f"{root}/more")
+    each = table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), "\n").alias("value"))
+    each.withColumn("folder", F.col("lang")).select("folder", "value").repartition(1, "folder").write.partitionBy("folder").text(root)
+    each.select("value").coalesce(1).write.option("compression", "gzip").text(f"{root}/packed")
     return X.documents(spark, root).groupBy("kind").agg(F.count("*").alias("n"), F.count("text").alias("read"))
 
 
@@ -64,9 +65,9 @@ def s13(spark, d):
     return memories(spark, d).select("id", "user_id", "created_at").orderBy("user_id", "id")
 
 
-@query("k01_markdown_export", f"WITH {MEMORIES_SQL} SELECT id, '- **[fact]** ' || substr(content, 1, 60) || ' _(importance: ' || importance || ')_' AS line FROM memories")
+@query("k01_markdown_export", f"WITH {MEMORIES_SQL} SELECT id, '- **[fact]** ' || content || ' _(importance: ' || importance || ')_' AS line FROM memories")
 def k01(spark, d):
-    return X.markdown_lines(memories(spark, d).select("id", F.lit("fact").alias("type"), F.substring("content", 1, 60).alias("content"), "importance"))
+    return X.markdown_lines(memories(spark, d).select("id", F.lit("fact").alias("type"), "content", "importance"))
 
 
 @query("k02_history_export", f"WITH {CHAT_SQL} SELECT user_id, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM chat GROUP BY user_id")
@@ -91,6 +92,20 @@ def k04(spark, d):
     return X.surplus(backups).select("source", "name", "pos")
 
 
+@query("k04_restored_backup", "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type")
+def k04_restore(spark, d):
+    root = scratch(spark, "backups")
+    X.snapshots(spark, {"events": table(spark, d, "events").select("event_id", "event_type"), "labels": table(spark, d, "labels")}, root, "one")
+    back = X.restored(spark, root, "one", ["events", "labels"])
+    return back["events"].groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("o04_clamped_page", "SELECT p_brand AS source, p_name || p_partkey AS name, p_size AS modified FROM part ORDER BY p_size DESC, p_name || p_partkey DESC LIMIT 200")
+def o04(spark, d):
+    backups = table(spark, d, "part").select(F.col("p_brand").alias("source"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("modified"))
+    return X.newest(backups, 5000)
+
+
 @query("k05_interaction_log", "SELECT conv_id, turn, substr(text, 1, 200) AS text, length(substr(text, 1, 200)) AS n FROM conversations")
 def k05(spark, d):
     root = scratch(spark, "log")

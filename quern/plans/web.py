@@ -8,7 +8,7 @@ from quern.functions import html as H
 from quern.functions import text as T
 from quern.operators import web as W
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import materialise, table
 from quern.sources.adapters import AS_OF, now
 
 STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
@@ -73,14 +73,15 @@ def h08(spark, d):
     return found.where(F.col("link").isNotNull())
 
 
-EDGES = "e AS (SELECT DISTINCT p_partkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_orderkey % 4 = 0)"
+#: Hosts and the paths that their pages link to, both ways: the sites that share a path are two steps apart.
+EDGES = f"""l AS (SELECT DISTINCT {HOST.format('url')} AS host, href FROM (SELECT url, unnest({HREFS}) AS href FROM pages) WHERE starts_with(href, '/')), e AS (SELECT host AS src, href AS dst FROM l UNION SELECT href, host FROM l)"""
 
 
-@query("h06_crawl", f"""WITH RECURSIVE {EDGES}, b(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node""")
+@query("h06_crawl", f"""WITH RECURSIVE {EDGES}, b(node, depth) AS (SELECT (SELECT min(host) FROM l), 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON e.src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node""")
 def h06(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 4 = 0")
-    edges = lines.select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst")).distinct()
-    return W.crawl(edges, spark.range(1).select(F.col("id").alias("node")), 3)
+    links = table(spark, d, "pages").select(H.host(F.col("url")).alias("src"), F.explode(H.hrefs(F.col("html"))).alias("dst")).where(F.col("dst").startswith("/"))
+    edges = materialise(links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    return W.crawl(edges, edges.where(~F.col("src").startswith("/")).agg(F.min("src").alias("node")), 3)
 
 
 @query("h07_robots", """WITH l AS (SELECT p_brand AS site, p_partkey AS pos, p_size % 4 AS k, p_size FROM part), a AS (SELECT *, last_value(CASE k WHEN 0 THEN '*' WHEN 1 THEN 'bot' END IGNORE NULLS) OVER (PARTITION BY site ORDER BY pos ROWS UNBOUNDED PRECEDING) AS agent FROM l)

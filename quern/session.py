@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: A broadcast is only asked for when the counted rows of the small side stay at or under this many.
 BROADCAST_ROWS = 20_000
+#: Nor is one of more bytes than this.
+BROADCAST_BYTES = 64 << 20
 
 
 def get_spark(app: str = "quern", cores: str | int = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -47,12 +51,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of the session's own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset on one machine (tests) a folder of the session's own."""
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = _own[app] = f"file://{tempfile.mkdtemp(prefix='quern-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -69,10 +76,30 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when a count proves it small; beyond that the plain frame, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session has written to the shared folder; frames that read it are of no use then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def width(kind: T.DataType, column: Column) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(column), F.lit(0)) * (32 if isinstance(kind.elementType, T.StringType) else 8) + 16
+    return F.lit(8)
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when a count proves it small in rows and in bytes; beyond that the plain frame, for a shuffled join."""
+    wide = sum((width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(wide)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df

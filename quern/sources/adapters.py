@@ -75,13 +75,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS) + 1).cast("int"))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("."), ext).alias("name"), F.col("p_brand").alias("source"), (F.col("p_size") * 400_000).cast("long").alias("size_bytes"),
-        F.when(ext.isin("png", "jpg"), F.concat(F.lit("image/"), ext)).when(ext == "bin", "application/octet-stream").when(ext == "pdf", "application/pdf").otherwise("").alias("mime_type"),
+        F.when(ext == "jpg", "image/jpeg").when(ext == "png", "image/png").when(ext == "bin", "application/octet-stream").when(ext == "pdf", "application/pdf").otherwise("").alias("mime_type"),
         (F.lit("2023-11-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("p_partkey") % 90).cast("int"))).alias("accessed_at"),
     )
 
 
 EXTENSIONS = ("md", "txt", "py", "png", "pdf", "bin", "json", "jpg", "go")
-FILES_SQL = f"""files AS (SELECT *, CASE WHEN ext IN ('png', 'jpg') THEN 'image/' || ext WHEN ext = 'bin' THEN 'application/octet-stream' WHEN ext = 'pdf' THEN 'application/pdf' ELSE '' END AS mime_type
+FILES_SQL = f"""files AS (SELECT *, CASE WHEN ext = 'jpg' THEN 'image/jpeg' WHEN ext = 'png' THEN 'image/png' WHEN ext = 'bin' THEN 'application/octet-stream' WHEN ext = 'pdf' THEN 'application/pdf' ELSE '' END AS mime_type
   FROM (SELECT p_partkey AS id, p_name || '.' || ext AS name, ext, p_brand AS source, CAST(p_size AS BIGINT) * 400000 AS size_bytes, TIMESTAMP '2023-11-01' + to_days(CAST(p_partkey % 90 AS INT)) AS accessed_at
   FROM (SELECT *, [{', '.join(f"'{e}'" for e in EXTENSIONS)}][p_partkey % {len(EXTENSIONS)} + 1] AS ext FROM part)))"""
 

@@ -90,6 +90,23 @@ def snapshots(spark: SparkSession, tables: dict[str, DataFrame], root: str, name
         df.write.mode("errorifexists").parquet(f"{root}/{name}/{table}")
 
 
+def restored(spark: SparkSession, root: str, name: str, tables: list[str]) -> dict[str, DataFrame]:
+    """The tables of a backup; names that lead out of its folder are refused."""
+    for part in (name, *tables):
+        if "/" in part or part.startswith("."):
+            raise ValueError(f"not a name: {part}")
+    return {t: spark.read.parquet(f"{root}/{name}/{t}") for t in tables}
+
+
+def newest(backups: DataFrame, limit: int, most: int = 200) -> DataFrame:
+    """Backups (source, name, modified), newest first; a limit below one or over ``most`` is drawn to it."""
+    return backups.orderBy(F.desc("modified"), F.desc("name")).limit(clamped(limit, most))
+
+
+def clamped(limit: int, most: int) -> int:
+    return max(1, min(int(limit), most))
+
+
 def surplus(backups: DataFrame, keep: int = 5) -> DataFrame:
     """Backups (source, name, modified) beyond the newest ``keep`` of each source."""
     w = Window.partitionBy("source").orderBy(F.desc("modified"), F.desc("name"))
