@@ -132,7 +132,7 @@ def starts(index: DataFrame) -> DataFrame:
 
 
 def read(index: DataFrame, root: str) -> DataFrame:
-    """Adds ids_crc32, from the files, to the rows of an index."""
+    """Adds ids_crc32, from the files, to the rows of an index, which are read in the order of their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
@@ -146,7 +146,7 @@ def read(index: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crc, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
 
     had = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(run, f"{had}, ids_crc32 bigint")
+    return index.sortWithinPartitions("file", "at").mapInArrow(run, f"{had}, ids_crc32 bigint")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
