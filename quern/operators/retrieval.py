@@ -52,14 +52,14 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
 
 
 def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, column) of the k best positive scores of each row; equal scores by id."""
+    """(query, column) of the k best scores of each row, negative ones left out; equal scores by id."""
     order = np.argsort(ids, kind="stable")
     score = score[:, order]
     if k < score.shape[1]:
         edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        keep = (score > 0) & (score >= edge)
+        keep = (score >= 0) & (score >= edge)
     else:
-        keep = score > 0
+        keep = score >= 0
     q, c = np.nonzero(keep)
     first = np.lexsort((c, -score[q, c], q))
     q, c = q[first], c[first]
@@ -93,8 +93,9 @@ def term_scores(postings: DataFrame, asked: DataFrame, weigh: Callable[[np.ndarr
             docs = np.zeros((batch.num_rows, q.shape[1]))
             fits = number < q.shape[1]
             docs[row[fits], number[fits]] = weigh(tf, size[row])[fits]
-            score = half_up(q @ docs.T, 4)
-            a, b = best_rows(np.where(score > least, score, 0), own, k)
+            raw = q @ docs.T
+            score = half_up(raw, 4)
+            a, b = best_rows(np.where((raw > 0) & ((score > least) | (least <= 0)), score, -1.0), own, k)  # what matches stays, even at 0.0000
             yield pa.RecordBatch.from_arrays([pa.array(qid[a], pa.int64()), pa.array(own[b], pa.int64()), pa.array(score[a, b], pa.float64())], names=["query_id", "id", "score"])
 
     return postings.select("id", "len", "terms", "tfs").mapInArrow(run, "query_id bigint, id bigint, score double")
