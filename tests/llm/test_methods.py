@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_base, brute_components, ids_of
 
 import corpus_pipeline
+from quern.session import scratch
 from quern.llm import encode, grams, jaccard, mixing, packing, pii, quality, ranking, secrets, simhash, skew, toolcalls, vantage
 
 # vantage-point trees
@@ -380,3 +381,59 @@ def test_stages_of_odd_inputs(spark, docs, nothing, labels, name, stage):
         assert {r.text for r in rows} <= texts and max(Counter((r.doc_id, r.text) for r in rows).values()) <= 3 * 4
     else:
         assert sorted(r.sequence_id * 1024 + r.offset for r in rows)[0] == 0
+
+
+# very long texts, empty tables and clashing columns, operator by operator
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(120_000)) + " mail a.b@example.com 10.1.2.3 token = 0123456789abcdef"
+    rows = [(1, long, "s", "x"), (2, long + " more", "s", "x"), (3, "short text", None, "x"), (None, None, "s", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, node string").cache()
+
+
+def test_long_texts_as_media(long_docs):
+    from quern.llm import media
+
+    got = {r.doc_id: r for r in media.media_columns(long_docs).collect()}
+    for r in long_docs.collect():
+        assert got[r.doc_id].n_bytes == len((r.text or "").encode()) and got[r.doc_id].payload_bytes % 64 == 0
+
+
+def test_long_texts_are_judged_and_ranked(long_docs, labels, nothing):
+    model = quality.quality_model(long_docs, labels)
+    got = {r.doc_id: r for r in quality.verdicts(long_docs, model).collect()}
+    assert [got[1].n_words, got[2].n_words] == [120_006, 120_007] and got[1].node == "x" and not got[1].base_failed
+    assert quality.verdicts(nothing, model).count() == 0 and quality.verdicts(nothing, quality.quality_model(nothing, labels)).count() == 0
+    ranked = {r.doc_id: r.score for r in ranking.rank(long_docs, ranking.rank_model(long_docs, labels)).collect()}
+    assert len(ranked) == 4 and all(0 <= s <= 1 for s in ranked.values())
+    assert ranking.rank(nothing, ranking.rank_model(nothing, labels)).count() == 0
+
+
+def test_long_texts_are_near_duplicates(long_docs):
+    for similarity in (None, 0.8):
+        got = {r.doc_id: r.component_id for r in simhash.groups(long_docs, similarity).collect()}
+        assert got[1] == got[2] == 1 and got[3] == 3
+
+
+def test_long_texts_are_scanned_and_redacted(long_docs):
+    found = {r.doc_id: r.found for r in secrets.scan(long_docs).collect()}
+    assert [s.kind for s in found[1]] == ["assign"] and found[1][0].end == len(long_docs.where("doc_id = 1").first().text)
+    done = {r.doc_id: r.text for r in pii.redact(long_docs, pii.Model([])).collect()}
+    assert done[1].endswith("mail [EMAIL] [IP] token = 0123456789abcdef") and done[None] is None
+
+
+def test_long_texts_are_encoded_and_mixed(spark, long_docs):
+    from quern.llm import token_files
+
+    enc = encode.encoder(encode.vocabulary_path())
+    root = scratch(spark, "test-long")
+    token_files.write(long_docs, f"{root}/files", encode.vocabulary_path()).write.parquet(f"{root}/index")
+    got = {r.doc_id: r for r in token_files.read(token_files.starts(spark.read.parquet(f"{root}/index")), f"{root}/files").collect()}
+    for r in long_docs.collect():
+        ids = ids_of(enc, r.text, 2)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    sizes = {r.doc_id: r.size for r in mixing.plan(long_docs).collect()}
+    assert sizes == {1: 120_006, 2: 120_007, 3: 2, None: 0}
