@@ -2,9 +2,9 @@
 
 A row's sketch has 50 bands of six minima; a pair at similarity 0.8 shares no band with probability 3e-7, more similar
 pairs with less, pairs at 0.5 share one with probability 0.54 and at 0.3 with 0.04. Equal sets are one node. In a bucket
-(the nodes of equal bands) random representatives are compared with all the rest, eight times as many each round, until the
-bucket is one component or every pair in it was compared: a group of near copies costs a few stars and not its square, and
-no pair is left out. The join itself compares one bit of each of the 300 minima (at 0.8 a tenth of them differs, more than
+(the nodes of equal bands) random representatives are compared with all the rest, one in a few bands first and then eight
+times as many each round, until the bucket is one component or every pair in it was compared: a group of near copies costs a
+few stars and not its square, and no pair is left out. The join itself compares one bit of each of the 300 minima (at 0.8 a tenth of them differs, more than
 ``FAR`` with probability 1e-9); only what passes, and is within the bound on sizes that the similarity implies, has its whole
 sets read. Sets are made for nodes that share a bucket only.
 """
@@ -25,7 +25,7 @@ from quern.session import materialise, maybe_broadcast, prepare
 
 SIMILARITY, WORDS = 0.8, 5
 BANDS, ROWS = 50, 6
-FIRST, GROWTH = 4, 8
+QUICK, FIRST, GROWTH = 8, 4, 8
 #: Bits of the minima that may differ.
 FAR = 64
 _rng = np.random.default_rng(42)
@@ -126,12 +126,26 @@ def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
     # a node's place is the same in all buckets, so its pairs are the same as well
     place = (F.xxhash64(F.lit(7), F.col("node")) / F.lit(2.0**64) + 0.5).alias("place")
     # most codes stand alone: those of buckets are 16 bytes each
-    spread = once.select("node", "row", "n", *BITS, F.explode("codes").alias("code")).join(maybe_broadcast(sizes, simhash.MARKED), "code")
-    buckets = materialise(spread.select("code", "node", "row", "n", "m", *BITS, place), "buckets")
+    spread = once.select("node", "row", "n", *BITS, F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes, simhash.MARKED), "code")
+    buckets = materialise(spread.select("code", "band", "node", "row", "n", "m", *BITS, place), "buckets")
     some = materialise(buckets.select("row").distinct(), "bucket-rows")
     sets = materialise(whole_sets(texts(docs).join(maybe_broadcast(some, simhash.MARKED), "row", "left_semi")).groupBy("node").agg(F.first("words").alias("words")), "sets")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    label = spark.createDataFrame([], "node bigint, label bigint")
+    side = [F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"), *(F.col(b).alias(f"a_{b}") for b in BITS)]
+
+    def similar(now: DataFrame, first: DataFrame) -> DataFrame:
+        """(a, b) of those pairs of a bucket's representatives and the nodes behind them that are similar and not linked yet."""
+        near = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"a_{b}"))) for b in BITS), F.lit(0))
+        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near & (apart <= FAR))
+        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")
+        both = hot_join(pairs, sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "similar")
+
+    # a group of near copies shares most bands, so the first node of each bucket of a few bands makes it one component, or few
+    now = buckets.where(F.col("band") < QUICK).withColumn("label", F.col("node"))
+    edges = similar(now, now.groupBy("code").agg(F.min_by(F.struct(*side), "place").alias("s")).select("code", "s.*"))
+    label = simhash.components(edges)
     before, reps = 0, FIRST
     while True:
         now = hot_join(buckets, label, "node", "left").withColumn("label", F.coalesce("label", "node")).where(F.col("place") * F.col("m") >= before)
@@ -141,14 +155,7 @@ def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
         now = materialise(hot_join(now, open_, "code"), "open-buckets")
         if not now.limit(1).count():
             return label
-        first = now.where(F.col("place") * F.col("m") < reps).select("code", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"), *(F.col(b).alias(f"a_{b}") for b in BITS))
-        near = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
-        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"a_{b}"))) for b in BITS), F.lit(0))
-        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near & (apart <= FAR))
-        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        found = materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "similar")
+        found = similar(now, now.where(F.col("place") * F.col("m") < reps).select("code", *side))
         if found.limit(1).count():
             edges = edges.union(found)
             label = simhash.components(edges)
