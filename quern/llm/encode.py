@@ -25,7 +25,7 @@ OTHER = re.compile(r"[^\n\x20-\x7eÀ-ɏ‘’“”–—…€«»¡¿°]")
 #: The pre-tokens of the other texts.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\n")
 #: Pieces remembered in each of two generations; what the newer one lacks is looked up, and moved up, from the older.
-GENERATION = 200_000
+GENERATION = 350_000
 JOINED = 64
 
 
@@ -152,7 +152,7 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
     """Batches in parts of some rows, with freed memory given back between them."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
