@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import media, mixing, packing, periods, pii, quality, ranking, secrets, simhash, token_files, toolcalls
+from quern.llm import bins, media, mixing, packing, periods, pii, quality, ranking, secrets, simhash, token_files, toolcalls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_token_files": token_files.op9_token_files,
         "op10_mixing": mixing.op10_mixing,
         "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_best_fit": bins.op12_best_fit,
     }
 
 
