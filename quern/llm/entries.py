@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bins, media, mixing, packing, periods, pii, quality, ranking, secrets, simhash, token_files, toolcalls
+from quern.llm import bins, media, mixing, packing, periods, pii, quality, ranking, secrets, simhash, token_files, toolcalls, tries
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_mixing": mixing.op10_mixing,
         "op11_periodic_runs": periods.op11_periodic_runs,
         "op12_best_fit": bins.op12_best_fit,
+        "op13_prefix_trie": tries.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_calls": toolcalls.ORACLE, "op5_secret_scan": secrets.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op4_tool_calls": toolcalls.ORACLE, "op5_secret_scan": secrets.oracle(), "op10_mixing": mixing.ORACLE, "op13_prefix_trie": tries.ORACLE}
