@@ -98,8 +98,13 @@ def width(kind: T.DataType, column: Column) -> Column:
     return F.lit(8)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when a count proves it small in rows and in bytes; beyond that the plain frame, for a shuffled join."""
+def is_broadcast_sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a count proves a frame small in rows and in bytes."""
     wide = sum((width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(0))
     n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(wide)).first()
-    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+    return n <= rows and (total or 0) <= size
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when a count proves it small in rows and in bytes; beyond that the plain frame, for a shuffled join."""
+    return F.broadcast(df) if is_broadcast_sized(df, rows, size) else df
