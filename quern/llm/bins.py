@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.encode import Encoder, batches_of, release, slices, vocabulary_path
+from quern.llm import encode
+from quern.llm.encode import JOINED, Encoder, batches_of, release, slices, vocabulary_path
 from quern.session import materialise, prepare, table
 
 LENGTH, END = 2048, 0
@@ -42,7 +43,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 #: Texts with other characters are encoded whole (İ has a lower case of two characters).
 OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ‘’“”–—…€«»¡¿°]")
 #: The pre-tokens of the other texts in lower case, fixed by the vocabulary.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-z0-9ß-öø-ɏ]+")
+PIECE = re.compile(r"[a-zß-öø-ɏ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ɏ]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -56,17 +57,33 @@ class WordEncoder(Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         state = json.loads(self.tokenizer.to_str())
-        split = ((state["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         steps = [x.get("type") for x in (state["normalizer"] or {}).get("normalizers", [])]
-        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        parts = (state["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        split, suffix = parts[0], state["model"].get("end_of_word_suffix")
+        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and bool(split.get("invert")) and bool(suffix)
+        if self.cuts:
+            # the same model for words that are cut already; a word's last id says that it is the last
+            bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *parts[1:]]}
+            self.bare = type(self.tokenizer).from_str(json.dumps(state | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+            self.last = np.zeros(self.bare.get_vocab_size(), bool)
+            self.last[[k for token, k in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bool:
         return not self.cuts or bool(OTHER.search(text)) or any(m in text for m in self.marks)
 
-    def _words(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            self.pieces.update(zip(part, self._whole(part), strict=True))
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.pieces) + len(pieces) > encode.GENERATION:
+            self.older, self.pieces = self.pieces, {}
+        known = pieces & self.older.keys()
+        self.pieces.update((p, self.older[p]) for p in known)
+        missing = list(pieces - known)
+        groups = [missing[k : k + JOINED] for k in range(0, len(missing), JOINED)]
+        for k in range(0, len(groups), JOINED):
+            some = groups[k : k + JOINED]
+            for group, e in zip(some, self.bare.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                self.pieces.update((word, ids[x:y].tobytes()) for word, x, y in zip(group, [0, *ends], ends, strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.whole(t) else PIECE.findall(t.lower()) for t in texts]
