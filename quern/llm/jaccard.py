@@ -1,12 +1,24 @@
 """Near-duplicates by Jaccard similarity of sets of five words: MinHash bands propose pairs, the whole sets decide.
 
 A row's sketch has 50 bands of six minima; a pair at similarity 0.8 shares no band with probability 3e-7, more similar
-pairs with less, pairs at 0.5 share one with probability 0.54 and at 0.3 with 0.04. Equal sets are one node. In a bucket
-(the nodes of equal bands) random representatives are compared with all the rest, one in a few bands first and then eight
-times as many each round, until the bucket is one component or every pair in it was compared: a group of near copies costs a
-few stars and not its square, and no pair is left out. The join itself compares two bits of each of the 300 minima (at 0.8 these differ in 45 of them, in more
-than ``FAR`` with probability 1e-6, at 0.6 in 90); only what passes, and is within the bound on sizes that the similarity implies, has its whole
-sets read. Sets are made for nodes that share a bucket only.
+pairs with less. Equal sets are one node. Nodes of equal bands are a bucket. Which pairs of a bucket are compared:
+
+1. Stars. The first node of each bucket (in a random order) with all others, in a few bands first and then in the rest, so that
+   a group of near copies becomes one component for a few comparisons a node. A bucket whose nodes are one component is done.
+2. Small buckets (``SMALL`` nodes at most): all pairs between components.
+3. Large buckets: prefixes, which are exact. The words of the sets of all nodes in such buckets are put in one order, rarest
+   first; a pair at the similarity has a word in common within the first fifth of the larger set and the first ninth of
+   the smaller one, so only nodes that share such a word between components meet, by a join on the word with the bound that
+   their places imply. Texts that share a passage and have more than a ninth of their own meet nowhere, however many they are.
+   Of a word's nodes those of its most frequent component don't meet each other.
+
+Pairs from bands have two bits of each of the 300 minima compared in the join (at 0.8 these differ in 45 of them, in more
+than ``FAR`` with probability 1e-6, at 0.6 in 90); only what passes, and is within the bound on sizes that the similarity
+implies, has its whole sets read. Sets are made for nodes that share a bucket only.
+
+Edge cases: null and empty texts have the empty set, which is one node; texts of fewer than five words are one stretch; very
+long texts are read whole; repeated rows and ties are one node or equal nodes; null ids make no difference here; an empty
+table has no links; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +37,8 @@ from quern.session import materialise, maybe_broadcast, prepare
 
 SIMILARITY, WORDS = 0.8, 5
 BANDS, ROWS = 50, 6
-QUICK, FIRST, GROWTH = 8, 4, 8
+#: Bands of the first stars, and nodes of buckets whose pairs are all compared.
+QUICK, SMALL = 8, 16
 #: Minima that may differ in their two bits.
 FAR = 77
 _rng = np.random.default_rng(42)
@@ -121,48 +134,85 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, words array<bigint>")
 
 
+def prefixed(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, la, na, b, lb, nb) of the pairs of ``nodes`` (node, label) between components that their prefixes leave open."""
+    words = sets.join(nodes, "node").select("node", "label", F.size("words").alias("n"), F.explode("words").alias("w"))
+    common = words.groupBy("w").agg(F.count("*").alias("f"), F.min("label").alias("_l"), F.max("label").alias("_h")).where("f > 1")
+    shared = words.join(common, "w").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w", (F.col("_l") < F.col("_h")).alias("apart")))).alias("items"))
+    # words of one node only come first; those of one component lead to no new link
+    place = (F.col("n") - F.col("m") + F.col("k")).alias("p")
+    probe = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
+    index = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
+    listed = shared.select("node", "label", "n", F.size("items").alias("m"), F.posexplode("items").alias("k", "i")).select("node", "label", "n", "i.w", "i.apart", place)
+    entries = materialise(listed.where("apart").where(F.col("p") <= probe).select("node", "label", "n", "w", "p", (F.col("p") <= index).alias("first")), "prefixes")
+    held = entries.groupBy("w", "label").agg(F.count("*").alias("m")).groupBy("w").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("of")).where("of > 1")
+    entries = materialise(entries.join(held.select("w", "main"), "w"), "prefixes-apart")
+    a = entries.where("label <> main").select("w", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("first").alias("fa"))
+    b = entries.select("w", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("first").alias("fb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    met = a.join(b, "w").where((F.col("la") != F.col("lb")) & F.when(smaller, F.col("fa")).otherwise(F.col("fb")) & room & near)
+    return met.select("a", "la", "na", "b", "lb", "nb")
+
+
 def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes of ``rows``, the sketches of ``docs``, that are linked to another one: the smallest node of the component."""
     from quern.llm import simhash
 
-    spark = rows.sparkSession
     # equal nodes have equal codes, so any row of a node stands for it
     once = materialise(rows.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "codes", *BITS))), "nodes-once")
     sizes = materialise(once.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
     # a node's place is the same in all buckets, so its pairs are the same as well
-    place = (F.xxhash64(F.lit(7), F.col("node")) / F.lit(2.0**64) + 0.5).alias("place")
+    place = F.xxhash64(F.lit(7), F.col("node")).alias("place")
     # most codes stand alone: those of buckets are 16 bytes each
-    spread = once.select("node", "row", "n", *BITS, F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes, simhash.MARKED), "code")
+    spread = once.select("node", "row", "n", *BITS, F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes), "code")
     buckets = materialise(spread.select("code", "band", "node", "row", "n", "m", *BITS, place), "buckets")
     some = materialise(buckets.select("row").distinct(), "bucket-rows")
     sets = materialise(whole_sets(texts(docs).join(maybe_broadcast(some, simhash.MARKED), "row", "left_semi")).groupBy("node").agg(F.first("words").alias("words")), "sets")
     side = [F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"), *(F.col(b).alias(f"a_{b}") for b in BITS)]
-
-    def similar(now: DataFrame, first: DataFrame) -> DataFrame:
-        """(a, b) of those pairs of a bucket's representatives and the nodes behind them that are similar and not linked yet."""
-        near = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
-        apart = sum((unlike(F.col(b), F.col(f"a_{b}")) for b in BITS), F.lit(0))
-        met = hot_join(now, materialise(first, "representatives"), "code").where((F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & near & (apart <= FAR))
-        pairs = materialise(met.select("a", F.col("node").alias("b")).distinct(), "pairs")
+    sized = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
+    apart = sum((unlike(F.col(b), F.col(f"a_{b}")) for b in BITS), F.lit(0))
+    #: Of rows of a bucket (node, label, ...) that met another's (a, la, ...): what may be similar and isn't linked yet.
+    likely = (F.col("pa") < F.col("place")) & (F.col("label") != F.col("la")) & sized & (apart <= FAR)
+    pair = ["a", "la", F.col("node").alias("b"), F.col("label").alias("lb")]
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """(a, b), components whose nodes' whole sets are similar."""
+        pairs = materialise(pairs.distinct(), "pairs")
         both = hot_join(pairs, sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "similar")
-
-    # a group of near copies shares most bands, so the first node of each bucket of a few bands makes it one component, or few
-    now = buckets.where(F.col("band") < QUICK).withColumn("label", F.col("node"))
-    edges = similar(now, now.groupBy("code").agg(F.min_by(F.struct(*side), "place").alias("s")).select("code", "s.*"))
-    label = simhash.components(edges)
-    before, reps = 0, FIRST
-    while True:
-        now = hot_join(buckets, label, "node", "left").withColumn("label", F.coalesce("label", "node")).where(F.col("place") * F.col("m") >= before)
-        # a bucket is done when what remains is one component; nodes compared with all the rest before are out of it
-        now = materialise(now, "remaining")
-        open_ = materialise(now.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code"), "open-codes")
-        now = materialise(hot_join(now, open_, "code"), "open-buckets")
-        if not now.limit(1).count():
+        shared = F.size(F.array_intersect("x", "y"))
+        found = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9)
+        return materialise(found.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "similar")
+
+    def linked(label: DataFrame | None, found: DataFrame) -> DataFrame | None:
+        """``label`` after components have been linked."""
+        if not found.limit(1).count():
             return label
-        found = similar(now, now.where(F.col("place") * F.col("m") < reps).select("code", *side))
-        if found.limit(1).count():
-            edges = edges.union(found)
-            label = simhash.components(edges)
-        before, reps = reps, reps * GROWTH
+        more = simhash.components(found)
+        if label is None:
+            return more
+        moved = hot_join(label, more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        return materialise(moved.unionByName(more.join(label, "node", "left_anti")), "labels")
+
+    def open_buckets(label: DataFrame | None, of: DataFrame) -> DataFrame:
+        """The rows of buckets that aren't one component, with labels."""
+        if label is None:
+            return of.withColumn("label", F.col("node"))
+        now = materialise(of.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        several = now.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code")
+        return materialise(hot_join(now, materialise(several, "open-codes"), "code"), "open-buckets")
+
+    label = None
+    for of in (buckets.where(F.col("band") < QUICK), buckets):
+        now = open_buckets(label, of)
+        first = materialise(now.groupBy("code").agg(F.min_by(F.struct(*side), "place").alias("s")).select("code", "s.*"), "first-of-bucket")
+        label = linked(label, similar(hot_join(now, first, "code").where(likely).select(*pair)))
+    now = open_buckets(label, buckets)
+    few = now.where(F.col("m") <= SMALL)
+    pairs = few.join(few.select("code", *side), "code").where(likely).select(*pair)
+    large = materialise(now.where(F.col("m") > SMALL).select("node", "label").distinct(), "large-buckets")
+    if large.limit(1).count():
+        pairs = pairs.unionByName(prefixed(sets, large, similarity).select("a", "la", "b", "lb"))
+    label = linked(label, similar(pairs))
+    return label if label is not None else simhash.components(materialise(buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links"))

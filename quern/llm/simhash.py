@@ -7,7 +7,7 @@ on, compared exactly, and give a spanning forest: at most one link a fingerprint
 within about eight bits of each other) is one shard however large, held as 9 bytes a fingerprint.
 
 Components of the links are found with min-label propagation and pointer jumping over distinct fingerprints, in written
-rounds. Joins on labels and on fingerprints that many rows share deal the hot ones by broadcast (``skew``).
+rounds; Spark splits the hot labels of these joins (adaptive skew joins). Joins of rows deal hot fingerprints apart (``skew``).
 
 Edge cases: null and empty texts have fingerprint zero, which links like any other; fewer than four words are one
 shingle; very long texts are read whole, in slices; repeated rows and copies share a fingerprint; rows with a null id get
@@ -35,7 +35,7 @@ SEED = 42
 #: Fingerprints in a shard, about; and the most that are sampled to plant the trees.
 SHARD, SAMPLE = 8192, 1 << 20
 #: Rows of four numbers that are broadcast at most, 32 bytes each.
-MARKED = 500_000
+MARKED = 200_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -150,13 +150,13 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(most):
-        around = hot_join(both, label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        around = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = materialise(label.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "hooked")
         # the root of a node's old label learns of the smaller one as well
         roots = hooked.where("label < was").groupBy(F.col("was").alias("node")).agg(F.min("label").alias("root"))
         hooked = materialise(hooked.join(roots, "node", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label")), "hooked")
         up = hooked.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = materialise(hot_join(hooked, up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        jumped = materialise(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         changed = jumped.where("label <> was").limit(1).count()
         label = jumped.select("node", "label")
         if not changed:
