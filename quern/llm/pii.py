@@ -253,7 +253,7 @@ class Silver:
                     self.put(left + made + right, len(left), len(left) + len(made), kind, (fold, k % FOLDS))
         # numbers at places between words, and the text's other candidates
         digits = (DIGITS.sub("", text) + "1234567890" * 2)[:24]
-        blanks = [m.start() for m in re.finditer(r"(?<=[a-z]) (?=[a-z])", text[: 1 << 16])] or [0]
+        blanks = [m.start() for m in re.finditer(r"(?<=[a-z]) (?=[a-z])", text)] or [0]
         for k, form in enumerate(DECOYS):
             at = blanks[(n * 7 + k * 13) % len(blanks)]
             if not any(a < at + BEFORE and at < b + BEFORE for a, _, b in found):
