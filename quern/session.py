@@ -17,7 +17,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 #: A broadcast is only asked for when the counted rows of the small side stay at or under this many.
 BROADCAST_ROWS = 20_000
 #: Nor is one of more bytes than this.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def get_spark(app: str = "quern", cores: str | int = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
