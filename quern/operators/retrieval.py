@@ -67,11 +67,12 @@ def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return q[place < k], order[c[place < k]]
 
 
-def term_scores(postings: DataFrame, asked: DataFrame, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], k: int, least: float = 0.0) -> DataFrame:
+def term_scores(postings: DataFrame, asked: DataFrame, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], k: int, least: float = 0.0, boost: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The k best documents a query and task: products of a batch's term weights with the block's query weights.
 
     ``postings``: (id, len, terms, tfs), terms as their numbers; ``asked``: (query_id, term number, weight), a block of a stated
-    set of queries, which goes to the tasks. ``weigh(tf, len)`` makes the document's side; scores are rounded to four digits.
+    set of queries, which goes to the tasks. ``weigh(tf, len)`` makes the document's side; scores are rounded to four
+    digits, before and after ``boost(ids)`` is added to those of documents that match.
     """
     spark = prepare(postings.sparkSession)
     rows = asked.select("query_id", "number", "weight").toPandas()
@@ -95,6 +96,8 @@ def term_scores(postings: DataFrame, asked: DataFrame, weigh: Callable[[np.ndarr
             docs[row[fits], number[fits]] = weigh(tf, size[row])[fits]
             raw = q @ docs.T
             score = half_up(raw, 4)
+            if boost:
+                score = half_up(score + boost(own)[None, :], 4)
             a, b = best_rows(np.where((raw > 0) & ((score > least) | (least <= 0)), score, -1.0), own, k)  # what matches stays, even at 0.0000
             yield pa.RecordBatch.from_arrays([pa.array(qid[a], pa.int64()), pa.array(own[b], pa.int64()), pa.array(score[a, b], pa.float64())], names=["query_id", "id", "score"])
 
@@ -151,14 +154,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(blocks(queries, own), k)
 
 
-def word_overlap(docs: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+def word_overlap(docs: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, boost: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Share of the query's words in the document, without punctuation rules; scores above ``least`` only."""
 
     def own(some: DataFrame) -> DataFrame:
         asked = materialise(query_terms(some, T.words), "overlap-terms")
         numbers = materialise(numbered(asked), "overlap-numbers")
         weights = asked.join(numbers, "term").select("query_id", "number", (1 / F.col("n_terms")).alias("weight"))
-        return term_scores(postings_of(docs, numbers, T.words), weights, lambda tf, size: np.ones(len(tf)), k, least)
+        return term_scores(postings_of(docs, numbers, T.words), weights, lambda tf, size: np.ones(len(tf)), k, least, boost)
 
     return top(blocks(queries, own), k)
 
@@ -309,14 +312,6 @@ def quality_metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def substring_score(queries: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
-    """Files by 0.3 times the share of the query's words that stand in their description; above 0.05 only."""
-    asked = queries.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("q"))
-    pairs = files.select("id", F.lower("description").alias("low")).crossJoin(maybe_broadcast(asked))  # a stated query set against all rows: a substring has no key
-    share = F.size(F.filter("q", lambda w: F.contains(F.col("low"), w))) / F.greatest(F.size("q"), F.lit(1))
-    return top(pairs.select("query_id", "id", F.round(0.3 * share, 3).alias("score")).where("score > 0.05"), k)
-
-
 def rerank_scores(reply: Column, n: Column) -> Column:
     """Scores parsed from the first [..] of a reply; 5.0 for each of n where there is none."""
     found = F.from_json(F.regexp_extract(reply, r"(\[[0-9.,\s]+\])", 1), "array<double>")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import materialise
+from quern.session import materialise, maybe_broadcast
 
 
 def rate_counts(log: DataFrame, seconds: int = 60, limit: int = 2) -> DataFrame:
@@ -128,19 +128,62 @@ def cron(expression: str, ts: Column) -> Column:
     return reduce(lambda a, b: a & b, (one(n, p) for n, p in zip(FIELDS, parts, strict=True)))
 
 
-def next_run(rows: DataFrame, expression: str, hours: int = 168) -> DataFrame:
-    """(id, next_run_at): the first matching minute after ``ts`` within the horizon, else null.
+RANGES = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 6)}
 
-    Minutes are only spelt out for the first matching hour: hours match before minutes are tried.
+
+def field_values(name: str, spec: str) -> list[int]:
+    """The numbers that a field of ``cron`` allows, in order."""
+    low, high = RANGES[name]
+    every = range(low, high + 1)
+    if spec == "*":
+        return list(every)
+    if spec.startswith("*/"):
+        return [v for v in every if v % int(spec[2:]) == 0]
+    if "," in spec and "-" in spec:
+        raise ValueError(f"lists of ranges aren't part of the grammar: {spec}")
+    if "-" in spec:
+        first, last = map(int, spec.split("-"))
+        return [v for v in every if first <= v <= last]
+    return sorted({0 if name == "weekday" and int(v) == 7 else int(v) for v in spec.split(",")} & set(every))
+
+
+def successors(values: list[int], n: int) -> Column:
+    """For each number from 0 to n the least of ``values`` that isn't below it, or null."""
+    return F.array(*(F.lit(min((v for v in values if v >= k), default=None)).cast("int") for k in range(n + 1)))
+
+
+def matching_days(rows: DataFrame, fields: dict[str, list[int]], days: int) -> DataFrame:
+    """(day, here, after): for each day from the first to the last of ``rows`` the first matching one from it on, and after it."""
+    span = rows.agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("b")).where("a IS NOT NULL")
+    each = span.select(F.explode(F.sequence("a", F.date_add("b", days + 2))).alias("day"))
+    fits = F.dayofmonth("day").isin(fields["day"]) & F.month("day").isin(fields["month"]) & (F.dayofweek("day") - 1).isin(fields["weekday"])
+    # one row a day
+    on = Window.orderBy("day").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    here = each.withColumn("here", F.min(F.when(fits, F.col("day"))).over(on))
+    return here.withColumn("after", F.lead("here").over(Window.orderBy("day")))
+
+
+def next_run(rows: DataFrame, expression: str, hours: int = 366 * 24) -> DataFrame:
+    """(id, ts, next_run_at): the first matching minute after ``ts`` within the horizon, else null.
+
+    Minutes and hours come from tables of successors, days from a table of the days that the rows span, with each one's next
+    matching day; nothing is spelt out by row.
     """
-    minute, hour, *rest = expression.split()
-    by_hour = " ".join(["*", hour, *rest])
+    fields = {name: field_values(name, spec) for name, spec in zip(FIELDS, expression.split(), strict=True)}
+    minutes, hours_ = successors(fields["minute"], 60), successors(fields["hour"], 24)
+    days = maybe_broadcast(materialise(matching_days(rows, fields, hours // 24 + 1), "matching-days"))
     start = F.date_trunc("minute", F.col("ts").cast("timestamp")) + F.make_dt_interval(mins=F.lit(1))
-    first = F.date_trunc("hour", start)
-    whole = F.filter(F.transform(F.sequence(F.lit(0), F.lit(hours)), lambda h: first + F.make_dt_interval(hours=h)), lambda t: cron(by_hour, t))
-    minutes = F.flatten(F.transform(F.slice(whole, 1, 2), lambda t: F.transform(F.sequence(F.lit(0), F.lit(59)), lambda m: t + F.make_dt_interval(mins=m))))
-    found = F.array_min(F.filter(minutes, lambda t: cron(" ".join([minute, *["*"] * 4]), t) & (t >= start) & (t <= start + F.make_dt_interval(hours=F.lit(hours)))))
-    return rows.select("id", "ts", found.cast("timestamp_ntz").alias("next_run_at"))
+    timed = rows.select("id", "ts", start.alias("start")).withColumn("day", F.col("start").cast("date")).join(days, "day", "left")
+    h, today = F.hour("start"), F.col("here") == F.col("day")
+    at = lambda array, k: F.get(array, k)
+    this_hour, minute = today & (at(hours_, h) == h), at(minutes, F.minute("start"))
+    hour = F.when(this_hour, at(hours_, h + 1)).otherwise(at(hours_, h))
+    moment = lambda day, hour, minute: F.struct(day.alias("day"), hour.alias("hour"), minute.alias("minute"))
+    first = at(minutes, F.lit(0))
+    found = F.when(this_hour & minute.isNotNull(), moment(F.col("day"), h, minute)).when(today & hour.isNotNull(), moment(F.col("day"), hour, first)).otherwise(moment(F.when(today, F.col("after")).otherwise(F.col("here")), at(hours_, F.lit(0)), first))
+    when = F.col("f.day").cast("timestamp") + F.make_dt_interval(hours=F.col("f.hour"), mins=F.col("f.minute"))
+    timed = timed.select("id", "ts", "start", found.alias("f")).withColumn("when", when)
+    return timed.select("id", "ts", F.when(F.col("when") <= F.col("start") + F.make_dt_interval(hours=F.lit(hours)), F.col("when")).cast("timestamp_ntz").alias("next_run_at"))
 
 
 def local_hours(ts: Column, start: str, end: str) -> Column:

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vector as V
+from quern.operators import lexical as L
 from quern.operators import retrieval as R
+from quern.operators import substrings as X
+from quern.operators import vectors as I
 from quern.plans.registry import query
-from quern.session import materialise, maybe_broadcast, table
+from quern.session import materialise, maybe_broadcast, scratch, table
 
 
 def docs(spark, d):
@@ -59,6 +62,31 @@ def r01(spark, d):
     return R.bm25(docs(spark, d), asked(spark, d))
 
 
+def stored_index(spark, d):
+    """All documents by way of a first version, replacements and new ones, and deletions; every 17th is gone at the end."""
+    new = docs(spark, d)
+    late = F.col("id") % 5 == 3
+    first = new.where(~late).withColumn("text", F.when(F.col("id") % 7 == 2, F.concat(F.lit("an older text: "), F.reverse("text"))).otherwise(F.col("text")))
+    index = L.Index.created(spark, scratch(spark, "lexical"), first)
+    index = index.added(new.where(late | (F.col("id") % 7 == 2)))
+    return index.deleted(new.where("id % 17 = 6").select("id"))
+
+
+LEFT = BM25.replace("AS t FROM documents)", "AS t FROM documents WHERE doc_id % 17 <> 6)", 1)
+
+
+@query("r01_stored_index", f"WITH {LEFT} {cut('bm', 10)}")
+def r01_stored(spark, d):
+    hits, _ = stored_index(spark, d).searched(asked(spark, d))
+    return hits
+
+
+@query("r01_compacted_index", f"WITH {LEFT} {cut('bm', 10)}")
+def r01_compacted(spark, d):
+    hits, _ = stored_index(spark, d).compacted().searched(asked(spark, d))
+    return hits
+
+
 @query("r02_overlap", f"WITH {OVERLAP} {cut('ov', 10)}")
 def r02(spark, d):
     return R.word_overlap(docs(spark, d), asked(spark, d))
@@ -79,6 +107,27 @@ def r05(spark, d):
     return R.ann(vectors(spark, d), each_50th(spark, d))
 
 
+def kept_vectors(spark, d):
+    """A kept index: a first version without every third vector and with others turned round, replacements, and deletions."""
+    new = vectors(spark, d)
+    late = F.col("id") % 3 == 1
+    turned = F.when(F.col("id") % 4 == 2, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    index = I.VectorIndex.created(spark, scratch(spark, "vectors"), new.where(~late).select("id", turned.alias("embedding")))
+    index = index.added(new.where(late | (F.col("id") % 4 == 2)).select("id", "embedding"))
+    return index.deleted(new.where("id % 7 = 1").select("id"))
+
+
+@query("r05_kept_index")
+def r05_kept(spark, d):
+    return kept_vectors(spark, d).searched(each_50th(spark, d))
+
+
+@query("r06_index_contents", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE vec_id % 7 <> 1")
+def r06_contents(spark, d):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return kept_vectors(spark, d).vectors().select("id", F.round(total, 4).alias("total"))
+
+
 @query("r06_vector_upsert", "SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS replaced FROM embeddings WHERE NOT vec_id % 7 = 1 GROUP BY label")
 def r06(spark, d):
     old = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("new"))
@@ -125,14 +174,7 @@ ENTITIES = f"""men AS (SELECT DISTINCT chunk_id, t[i] || ' ' || t[i + 1] AS name
 
 @query("r12_entity_search", f"WITH {ENTITIES} {cut('en', 10)}")
 def r12(spark, d):
-    return R.entity_search(mentioned(spark, d), named(asked(spark, d)))
-
-
-def mentioned(spark, d):
-    """Every two neighbouring terms of a text count as a name that it mentions."""
-    t = docs(spark, d).select(F.col("id").alias("chunk_id"), T.terms(F.col("text")).alias("t")).where(F.size("t") > 1)
-    pairs = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x, i: F.concat_ws(" ", x, F.get("t", i + 1)))
-    return t.select("chunk_id", F.explode(F.array_distinct(pairs)).alias("name"))
+    return X.entity_search(docs(spark, d), named(asked(spark, d)))
 
 
 def named(queries):
@@ -169,7 +211,7 @@ def r14(spark, d):
     own = item_vectors(spark, d).withColumnRenamed("query_id", "question")
     lists = {
         "keyword": R.bm25(docs(spark, d), sub, 30), "vector": R.knn(vectors(spark, d), sub.join(maybe_broadcast(own), "question").select("query_id", "embedding"), 30),
-        "entity": R.entity_search(mentioned(spark, d), named(sub), 30),
+        "entity": X.entity_search(docs(spark, d), named(sub), 30),
     }
     children = docs(spark, d).select(F.col("id").alias("chunk_id"), (F.col("id") - F.col("id") % 5).alias("parent_id"))
     found = R.knowledge_search(lists, children, 30).withColumn("query_id", F.floor(F.col("query_id") / 10))
@@ -198,7 +240,7 @@ def r20(spark, d):
     k = F.col("n_nationkey")
     queries = table(spark, d, "nation").select(k.cast("long").alias("query_id"), F.when(k % 3 == 0, "red widget economy").when(k % 3 == 1, "blue bolt").otherwise("small ring promo").alias("text"))
     files = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("description"))
-    return R.substring_score(queries.withColumn("query_id", F.col("query_id").cast("int")), files)
+    return X.substring_score(queries.withColumn("query_id", F.col("query_id").cast("int")), files)
 
 
 @query("r21_tool_selection", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), t AS ({cut('s', 8)})
@@ -211,8 +253,7 @@ def r21(spark, d):
 
 @query("r22_skill_match", f"""WITH {OVERLAP}, s AS (SELECT query_id, id, round(score + 0.01::DOUBLE * (id % 20), 4) AS score FROM ov), t AS (SELECT * FROM s WHERE score > 0.1) {cut('t', 3)}""")
 def r22(spark, d):
-    scored = R.word_overlap(docs(spark, d), asked(spark, d), 1 << 30).select("query_id", "id", F.round(F.col("score") + 0.01 * (F.col("id") % 20), 4).alias("score"))
-    return R.top(scored.where("score > 0.1"), 3)
+    return R.word_overlap(docs(spark, d), asked(spark, d), 3, least=0.1, boost=lambda ids: 0.01 * (ids % 20))
 
 
 @query("r23_step_completion", r"""WITH p AS (SELECT c.conv_id, c.turn, list_distinct(regexp_extract_all(lower(c.text), '\p{L}{3,}')) AS s, list_distinct(regexp_extract_all(lower(a.text), '\p{L}{3,}')) AS w

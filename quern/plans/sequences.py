@@ -168,6 +168,12 @@ def e15(spark, d):
     return Q.next_run(table(spark, d, "events").select(F.col("event_id").alias("id"), "ts"), "*/20 6 * * 1")
 
 
+@query("e15_month_ends", """WITH c AS (SELECT t FROM (SELECT d + INTERVAL 3 HOUR + to_minutes(n) AS t FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT max(ts) FROM events) + INTERVAL 366 DAY, INTERVAL 1 DAY)) AS d), (VALUES (15), (45)) u(n)) WHERE day(t) = 31)
+ SELECT event_id AS id, ts, CASE WHEN t <= date_trunc('minute', ts) + INTERVAL 1 MINUTE + INTERVAL 366 DAY THEN t END AS next_run_at FROM events ASOF LEFT JOIN c ON c.t > date_trunc('minute', ts)""")
+def e15_months(spark, d):
+    return Q.next_run(table(spark, d, "events").select(F.col("event_id").alias("id"), "ts"), "15,45 3 31 * *")
+
+
 @query("e17_transitions", f"""WITH {TASKS_SQL}, e AS (SELECT id, CASE status WHEN 'failed' THEN 'running' ELSE status END AS status, ['claim', 'complete', 'fail', 'cancel'][CAST(id % 4 AS INT) + 1] AS event, id % 3 = 0 AS recurring FROM tasks)
  SELECT id, CASE WHEN event = 'claim' AND status = 'pending' THEN 'running' WHEN event = 'complete' AND status = 'running' THEN CASE WHEN recurring THEN 'pending' ELSE 'done' END WHEN event = 'fail' AND status = 'running' THEN CASE WHEN recurring THEN 'pending' ELSE 'failed' END
  WHEN event = 'cancel' AND status IN ('pending', 'running') THEN 'cancelled' END AS next_status FROM e""")

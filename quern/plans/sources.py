@@ -19,13 +19,14 @@ def s01(spark, d):
     return spark.read.option("wholetext", "false").text(root).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("s04_directory_scan", "SELECT 'txt' AS kind, count(*) AS n, count(*) AS read FROM (SELECT DISTINCT lang FROM documents)")
+@query("s04_directory_scan", "SELECT 'txt' AS kind, count(*) AS n, count(*) AS read FROM (SELECT DISTINCT lang, doc_id // 1000 FROM documents)")
 def s04(spark, d):
-    """One file a language in nested folders, found again by their extension; other files there are no documents."""
+    """Files of a thousand documents' digests at most in nested folders, found by their extension; other files there are no documents."""
     root = scratch(spark, "folder")
-    each = table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), "\n").alias("value"))
-    each.withColumn("folder", F.col("lang")).select("folder", "value").repartition(1, "folder").write.partitionBy("folder").text(root)
-    each.select("value").coalesce(1).write.option("compression", "gzip").text(f"{root}/packed")
+    each = table(spark, d, "documents").select("lang", F.floor(F.col("doc_id") / 1000).alias("part"), F.coalesce(F.md5("text"), F.lit("")).alias("value"))
+    each.repartition("lang", "part").write.partitionBy("lang", "part").text(root)
+    # one line a language
+    each.select(F.coalesce("lang", F.lit("")).alias("value")).distinct().coalesce(1).write.option("compression", "gzip").text(f"{root}/packed")
     return X.documents(spark, root).groupBy("kind").agg(F.count("*").alias("n"), F.count("text").alias("read"))
 
 
