@@ -163,13 +163,13 @@ def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
     # equal nodes have equal codes, so any row of a node stands for it
     once = materialise(rows.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "codes", *BITS))), "nodes-once")
     sizes = materialise(once.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
-    # a node's place is the same in all buckets, so its pairs are the same as well
-    place = F.xxhash64(F.lit(7), F.col("node")).alias("place")
-    # most codes stand alone: those of buckets are 16 bytes each
-    spread = once.select("node", "row", "n", *BITS, F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes), "code")
-    buckets = materialise(spread.select("code", "band", "node", "row", "n", "m", *BITS, place), "buckets")
+    # most codes stand alone; a node's number of words and bits join the rows of open buckets only
+    spread = once.select("node", "row", F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes), "code")
+    buckets = materialise(spread.select("code", "band", "node", "row", "m"), "buckets")
     some = materialise(buckets.select("row").distinct(), "bucket-rows")
     sets = materialise(whole_sets(texts(docs).join(maybe_broadcast(some, simhash.MARKED), "row", "left_semi")).groupBy("node").agg(F.first("words").alias("words")), "sets")
+    # a node's place is the same in all buckets, so its pairs are the same as well
+    sketch = once.select("node", "n", *BITS, F.xxhash64(F.lit(7), F.col("node")).alias("place"))
     side = [F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"), *(F.col(b).alias(f"a_{b}") for b in BITS)]
     sized = F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9
     apart = sum((unlike(F.col(b), F.col(f"a_{b}")) for b in BITS), F.lit(0))
@@ -196,12 +196,15 @@ def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
         return materialise(moved.unionByName(more.join(label, "node", "left_anti")), "labels")
 
     def open_buckets(label: DataFrame | None, of: DataFrame) -> DataFrame:
-        """The rows of buckets that aren't one component, with labels."""
+        """The rows of buckets that aren't one component, with labels and sketches."""
+        of = of.select("code", "m", "node")
         if label is None:
-            return of.withColumn("label", F.col("node"))
-        now = materialise(of.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        several = now.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code")
-        return materialise(hot_join(now, materialise(several, "open-codes"), "code"), "open-buckets")
+            now = of.withColumn("label", F.col("node"))
+        else:
+            marked = materialise(of.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+            several = marked.groupBy("code").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("code")
+            now = hot_join(marked, materialise(several, "open-codes"), "code")
+        return materialise(now.join(sketch, "node"), "open-buckets")
 
     label = None
     for of in (buckets.where(F.col("band") < QUICK), buckets):
