@@ -1,7 +1,7 @@
 """Chat formatting: tool calls linked to their results, in topological order, validated, as canonical JSON.
 
 DataFrame expressions only. ``link`` hash-joins calls with the smallest result on (conv_id, call_id); the further results
-of an identifier are rows of their own, so repeated identifiers cost no product. ``levels`` orders calls after the calls they follow: pointers
+of an identifier are rows of their own, so repeated identifiers cost no product; a hot identifier's calls are split by Spark (adaptive skew joins). ``levels`` orders calls after the calls they follow: pointers
 to the parents are doubled, so the rounds follow the logarithm of the longest chain; what still points somewhere after
 that many rounds is on a cycle and has no level. ``validate`` checks arguments against a schema of typed, bounded or
 enumerated fields, nested ones by their path; fields that a schema doesn't name are faults.
@@ -78,7 +78,10 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     further = got.join(least, named).where(~F.col("r").eqNullSafe(F.col("_r"))).select("_conv", "_call", "r", "again")
     least_call = own.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_k")).agg(F.min("c").alias("lead"))
     asked = own.join(least_call, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_k")), "left").drop("_c", "_k")
-    both = asked.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")), "full_outer")
+    # outer on the side of the calls only, so that Spark can split the calls of a hot identifier; results nobody asked for follow
+    met = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call"))
+    unasked = first.join(least_call, F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_call") == F.col("_k")), "left_anti")
+    both = asked.join(first, met, "left").unionByName(unasked, allowMissingColumns=True)
     status = F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("answered")
     shown = F.when(F.col("c").isNull() | F.col("c").eqNullSafe(F.col("lead")), F.coalesce("again", F.lit(0))).otherwise(0)
     linked = both.select(
