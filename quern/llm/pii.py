@@ -3,12 +3,13 @@
 The base rules (e-mail, IP address, card, phone) always stand. Besides them ``candidates`` proposes overlapping spans of
 wider forms, some as two kinds at once: numbers in groups, long runs of digits, addresses spelt with "at" and "dot", IP
 addresses with guarded or spaced dots and of version 6. Boosted trees score a candidate from its format and its context; a
-threshold a kind, calibrated to ``PRECISION``, selects what is added. Overlapping candidates give way to the likeliest.
+threshold a kind, the best by F-measure among those of a precision of ``FLOOR``, selects what is added. Overlapping candidates give way to the likeliest.
 
 There are no labelled spans, so the trees learn from silver ones: in a bounded sample of distinct texts (``SAMPLE``, by hash)
 the base rules' matches, as they stand and rewritten into wider forms (``REWRITES``), against the other candidates of those
 texts and against made-up numbers (``DECOYS``) at places without personal data. The context is learnt as well: log-odds of the
-words around. Thresholds come from three rounds in which trees judge texts and forms that they haven't seen: a third of the
+words around, and whether a word that announces the kind (``CUES``) or another kind of number (``OTHERS``) stands near; half of the
+made spans get one of their own, so that trees know both. Thresholds come from three rounds in which trees judge texts and forms that they haven't seen: a third of the
 texts and a third of the forms are left out of each. ``Model.report`` has precision and recall there by kind.
 
 Edge cases: a null text is an empty one and has no spans; copies have equal spans; null ids stay; an empty table, or a
@@ -33,10 +34,12 @@ from quern.session import prepare, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 800
+#: Bytes of the sampled texts, about.
+SAMPLE_BYTES = 8 << 20
 #: Texts that are worth learning from.
 LIKELY = r"@|[0-9]{7}|\+[0-9]|[0-9]\.[0-9]{1,3}\.[0-9]"
 FOLDS = 3
-PRECISION = 0.98
+FLOOR = 0.95
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -91,7 +94,7 @@ GROUPED = re.compile(rf"(?<![0-9A-Za-z.+-])\+?\(?[0-9]{{1,5}}\)?(?:{GAP}{{1,3}}\
 RUN = re.compile(r"(?<![0-9A-Za-z.])\+?[0-9]{9,19}(?![0-9A-Za-z])")
 DOT = r"(?:\x20?\(\.\)\x20?|\x20?\[\.\]\x20?|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20|\x20\.\x20|\.)"
 GUARDED = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9A-Za-z]|\.[0-9])")
-SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|:|[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
+SIX = re.compile(r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}|[0-9A-Fa-f]{1,4}:(?=:))(?:(?::[0-9A-Fa-f]{1,4}){1,6}|:|[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 AT = re.compile(r"\(at\)|\[at\]|\x20at\x20")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,8}")
 #: Last labels of host names that a spelt address ends in.
@@ -100,6 +103,14 @@ NUMBERED = ((GROUPED, (3, 2)), (RUN, (2, 3)), (GUARDED, (1,)), (SIX, (1,)))
 N_GENERATORS = len(NUMBERED) + 1
 WORDS = re.compile(r"[^\W\d_]+")
 BEFORE, AFTER = 40, 20
+#: Words that announce a kind, and words that announce other numbers.
+CUES = tuple(tuple(x.split()) for x in (
+    "mail email contact write reach ask correo courriel schreib", "ip host server node ping ssh gateway adresse direccion", "card visa mastercard amex credit debit pay karte tarjeta carte",
+    "call tel phone telephone mobile cell fax ring dial whatsapp telefon llama appel",
+))
+OTHERS = tuple("order invoice page isbn until number item version room year since total id code chapter".split())
+CUED = tuple(map(frozenset, CUES))
+NUMBERS = frozenset(OTHERS)
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
@@ -134,7 +145,9 @@ def features(text: str, start: int, end: int, kind: int, generator: int, odds: d
     near = [odds.get(w.lower(), 0.0) for w in WORDS.findall(before)]
     then = [odds.get(w.lower(), 0.0) for w in WORDS.findall(after)]
     last = re.split(r"[^A-Za-z]+", span.lower())[-1]
+    said = {w.lower() for w in WORDS.findall(before)[-4:] + WORDS.findall(after)[:1]}
     return [
+        bool(said & CUED[kind]), sum(bool(said & c) for k, c in enumerate(CUED) if k != kind), bool(said & NUMBERS), "::" in span, ":" in span and any(c in "abcdefABCDEF" for c in span),
         *(generator == k for k in range(N_GENERATORS)), *(kind == k for k in range(len(KINDS))), len(digits), len(span), len(groups), max(groups), min(groups), groups[0], groups[-1],
         len(set(groups[:-1])), span.count(" "), span.count("-"), span.count("."), span.count("("), span.count("/"), span.count(":"), span.startswith("+"), span.startswith("0"),
         12 <= len(digits) <= 19 and luhn(digits), all(len(g) < 4 and int(g) <= 255 for g in DIGITS.split(span) if g), before[-1:].isalpha(), before[-1:] in "$€£#" and bool(before), after[:1] in "%€$" and bool(after),
@@ -196,11 +209,13 @@ REWRITES = {
         _spell(" (at) ", "."), _spell(" [at] ", "."), _spell("(at)", "."), _spell(" at ", " dot "), _spell(" (at) ", " (dot) "), _spell(" [at] ", " [dot] "),
         _spell("[at]", "."), _spell(" at ", "."), _spell(" at ", " [dot] "), _spell("(at)", "(dot)"), _spell("[at]", "[dot]"), _spell(" at ", " (dot) "),
     ),
-    1: (_dotted("[.]"), _dotted("(.)"), _dotted(" . "), _dotted(" dot "), _dotted("[dot]"), _dotted(" [.] "), _six("2001:db8:{0}:{1}:0:{2}:{3}:1"), _six("fe80::{0}:{1}:{2}:{3}"), _six("2001:db8::{0}:{2}:{3}")),
+    1: (_dotted("[.]"), _dotted("(.)"), _dotted(" . "), _dotted(" dot "), _dotted("[dot]"), _dotted(" [.] "), _six("2001:db8:{0}:{1}:0:{2}:{3}:1"), _six("fe80::{0}:{1}:{2}:{3}"), _six("2001:db8::{0}:{2}:{3}"), _six("2001:db8::{0}"), _six("fe80::{3}"), _six("fd00:{1}::{2}"),
+        lambda span, digits: f"2001:db8::{digits[-1]}", lambda span, digits: f"fe80::{digits[-1]}", lambda span, digits: f"fd12:{digits[:2]}::{digits[-1]}"),
     2: (_fours("-"), _fours("."), _fours("\xa0"), _fours(" - "), _fours("/"), _fours(" . ")),
     3: (
         _cut(3, 3, 4, by="-", first="(", last=")"), _cut(3, 3, 4, by=".", first="(", last=")"), _cut(3, 3, 4, first="(", last=")"), _cut(3, 3, 4, by="-"), _cut(3, 3, 4, by="."), _cut(3, 3, 4),
         _cut(2, 2, 2, 2, 2, by="-"), _cut(2, 2, 2, 2, 2, by="."), _cut(2, 2, 2, 2, 2), _cut(4, 3, 3, by="-"), _cut(4, 3, 3, by="."), _cut(4, 3, 3), _cut(2, 4, 4, by="-"), _cut(2, 4, 4, by="."), _cut(2, 4, 4),
+        _cut(3, 3, 4, first="0"), _cut(3, 3, 4, by="-", first="0"), _cut(3, 3, 4, by="/", first="0"),
     ),
 }
 #: What is no personal data, from given digits; in threes likewise.
@@ -250,7 +265,9 @@ class Silver:
                 if kind != 3 or len(digits) > 9:
                     own = varied(span, kind, near[k:])
                     made = form(own[(n + k) % len(own)], digits)
-                    self.put(left + made + right, len(left), len(left) + len(made), kind, (fold, k % FOLDS))
+                    # half of them are announced
+                    cue = f"{CUES[kind][(n + k // 2) % len(CUES[kind])]} " if (n + k) % 2 and (not left or left[-1].isspace()) else ""
+                    self.put(left + cue + made + right, len(left + cue), len(left + cue) + len(made), kind, (fold, k % FOLDS))
         # numbers at places between words, and the text's other candidates
         digits = (DIGITS.sub("", text) + "1234567890" * 2)[:24]
         blanks = [m.start() for m in re.finditer(r"(?<=[a-z]) (?=[a-z])", text)] or [0]
@@ -258,6 +275,8 @@ class Silver:
             at = blanks[(n * 7 + k * 13) % len(blanks)]
             if not any(a < at + BEFORE and at < b + BEFORE for a, _, b in found):
                 made, left = form(digits[k % 8 :] + digits), text[max(0, at - 2 * BEFORE) : at] + " "
+                if (n + k) % 3 == 0 and made[0].isdigit():
+                    left += OTHERS[(n + k) % len(OTHERS)] + " "
                 self.put(f"{left}{made} {text[at + 1 : at + 2 * BEFORE]}", len(left), len(left) + len(made), None, (fold, k % FOLDS))
         covered = cover(len(text), [(a, b) for a, _, b in found])
         for s, e, kind, generator in candidates(text):
@@ -358,11 +377,12 @@ class Model:
         p, good, kinds = np.concatenate(judged, 1)
         for kind, name in enumerate(KINDS):
             order = np.flatnonzero(kinds == kind)[np.argsort(-p[kinds == kind], kind="stable")]
-            ok = np.flatnonzero(np.cumsum(good[order]) / np.arange(1, len(order) + 1) >= PRECISION)
+            hits, many = np.cumsum(good[order]), np.arange(1, len(order) + 1)
+            ok = np.flatnonzero((hits / many >= FLOOR) & (p[order] >= 0.1))
             if len(ok):
-                self.least[kind] = max(0.5, p[order][ok[-1]])
-                taken = p[order] >= self.least[kind]
-                self.report[name] = (float(good[order][taken].mean()), float(good[order][taken].sum() / max(1, good[order].sum())))
+                best = ok[(2 * hits / (many + max(1.0, good[order].sum())))[ok].argmax()]
+                self.least[kind] = p[order][best]
+                self.report[name] = (float(hits[best] / many[best]), float(hits[best] / max(1, good[order].sum())))
 
     def added(self, text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans that the trees add to the base ones: likeliest first, none over another."""
@@ -383,14 +403,14 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
-    """A model from about ``rows`` distinct texts that are LIKELY to hold personal data, chosen by hash."""
+    """A model from about ``rows`` distinct texts that are LIKELY to hold personal data, ``SAMPLE_BYTES`` at most, chosen by hash."""
     import pickle
 
     spark = prepare(docs.sparkSession)
     hashed, likely = docs.select(F.xxhash64("text").alias("h"), "text"), F.col("text").rlike(LIKELY)
-    # bounded by ``rows``: the threshold on the hash is the share that is wanted of the count of hashes, copies count once
-    n = hashed.where(likely).select("h").distinct().count()
-    limit = int(-(2**63) + 2**64 * min(1.0, rows / max(1, n))) - 1
+    # bounded by ``rows`` and bytes: the threshold on the hash is the share that is wanted of all, copies count once
+    n, size = hashed.where(likely).select("h", F.octet_length("text").cast("long").alias("n")).groupBy("h").agg(F.min("n").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    limit = int(-(2**63) + 2**64 * min(1.0, rows / max(1, n), SAMPLE_BYTES / max(1, size or 0))) - 1
     # the hash first, so that the expression is tried on few texts
     chosen = hashed.where((F.col("h") <= F.lit(max(limit, -(2**63)))) & likely).groupBy("h").agg(F.min("text").alias("text")).repartition(1)
 

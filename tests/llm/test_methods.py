@@ -240,6 +240,29 @@ def test_recall_and_precision_of_added_spans():
     assert all(p >= 0.9 for p, _ in model.report.values())
 
 
+def test_forms_of_another_author():
+    """Forms that stand in no list of the module, announced by words as such data are, and numbers that are none."""
+    model = pii.Model(list(spoken(random.Random(3))))
+    rng, hits, n, wrong = random.Random(6), {}, {}, 0
+    d = lambda k: "".join(str(rng.randint(2, 9)) for _ in range(k))
+    forms = {
+        "phone": (lambda: f"call {d(3)}-{d(3)}-{d(4)} now", lambda: f"tel 0{d(3)} {d(3)} {d(4)}", lambda: f"phone ({d(3)}) {d(3)} {d(4)} or", lambda: f"fax 0{d(2)}-{d(3)}-{d(4)}."),
+        "card": (lambda: f"card {d(4)}.{d(4)}.{d(4)}.{d(4)} please", lambda: f"visa {d(4)} - {d(4)} - {d(4)} - {d(4)} was"),
+        "ip": (lambda: f"host 2001:db8::{d(1)} is", lambda: f"server {rng.randint(1, 223)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)} and"),
+        "email": (lambda: "write to john at example.com", lambda: "contact mary.jones(at)site.org", lambda: "mail sam_lee [at] host [dot] net soon"),
+    }
+    for kind, made in forms.items():
+        for form in made:
+            for _ in range(15):
+                text = f"word and the of {form()} of the word"
+                n[kind] = n.get(kind, 0) + 1
+                hits[kind] = hits.get(kind, 0) + bool(model.added(text, pii.base(text)) or pii.base(text))
+    for text in ("on 2023-04-05 we met", "page 123-456 of it", "order 123-456-789 came", "he was at home. Then", "at 12:34:56 he", "room 12.3 of 1999-2003", "isbn 978-3-161-48410-0 is", "until 17/05/2021 the"):
+        wrong += bool(model.added(text, []))
+    assert all(hits[k] >= 0.9 * n[k] for k in n), (hits, n)
+    assert wrong == 0
+
+
 def test_long_spelt_addresses_are_whole():
     spelt = "jane (at) " + " (dot) ".join("abcdefghij" * 6 + str(k) for k in range(7)) + " (dot) com"
     assert len(spelt) > 400 and [(0, len(spelt))] == list(pii.spelt(spelt))
