@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import memory as M
+from quern.operators import similarity as W
 from quern.plans.registry import query
 from quern.session import table
 from quern.sources import adapters as S
@@ -110,7 +111,20 @@ PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.emb
 
 def pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return M.similar_pairs(v, 0.3)
+    return W.close_pairs(v, 0.3)
+
+
+SETS = r"""w AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(regexp_extract_all(lower(text), '\S+'))) AS w FROM conversations WHERE role = 'user'),
+ c AS (SELECT w, min(id) AS class FROM w GROUP BY w), n AS (SELECT a.class AS a, b.class AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.class < b.class AND len(a.w) > 0 AND len(b.w) > 0)"""
+
+
+@query("j08_set_join", f"WITH {SETS} SELECT 'pair' AS kind, a, b, round(k / CAST(n - k AS DOUBLE), 6) AS similarity FROM n WHERE k / CAST(n - k AS DOUBLE) >= 0.2 UNION ALL SELECT 'copy', class, id, 1.0 FROM w JOIN c USING (w) WHERE id <> class")
+def j08(spark, d):
+    """All user turns against all others by their words, with copies as members of classes."""
+    rows = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    pairs, classes = W.similar_sets(rows, T.words(F.col("text")), 0.2)
+    copies = classes.where("id <> class").select(F.lit("copy").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.select(F.lit("pair").alias("kind"), "a", "b", "similarity").unionByName(copies)
 
 
 @query("m12_similar_pairs", f"SELECT * FROM ({PAIRS}) WHERE cosine >= 0.3")
