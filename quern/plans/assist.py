@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import html as H
-from quern.functions.text import strip
 from quern.operators import assist as A
+from quern.operators import pages as P
 from quern.operators import retrieval as R
 from quern.plans.registry import query
 from quern.plans.retrieval import OVERLAP, asked, cut, docs, each_50th, vectors
@@ -44,12 +44,26 @@ def d14(spark, d):
     return A.prefixed(own.select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("content")))
 
 
-@query("d07_html_sections", r"""SELECT page_id, 0 AS pos, len(regexp_extract_all(html, '(?i)<h[1-6][^>]*>')) AS n FROM pages""")
+def plain(column: str) -> str:
+    """SQL of a stripped page or title, entities decoded."""
+    held = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({column}, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')"
+    held = f"regexp_replace(regexp_replace({held}, '^\\s+', ''), '\\s+$', '')"
+    for old, new in H.FILE_ENTITIES:
+        held = "replace({}, '{}', '{}')".format(held, old, new.replace("'", "''"))
+    return held
+
+
+BOXLESS = "html"
+for box in ("nav", "footer", "header", "aside", "menu"):
+    BOXLESS = f"regexp_replace({BOXLESS}, '<{box}[\\s>].*?</{box}>', '', 'gis')"
+
+
+@query("d07_html_sections", f"""WITH p AS (SELECT page_id, string_split(regexp_replace({BOXLESS}, '<h([1-6])[^>]*>(.*?)</h[1-6]>', chr(1) || '\\1\\2' || chr(2), 'gis'), chr(1)) AS p FROM pages),
+ s AS (SELECT page_id, unnest(range(0, len(p))) AS pos, unnest(p) AS x FROM p),
+ t AS (SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN pos = 0 THEN 0 ELSE CAST(substr(x, 1, 1) AS INT) END AS level, CASE WHEN pos = 0 THEN '' ELSE substr(split_part(x, chr(2), 1), 2) END AS h, CASE WHEN pos = 0 THEN x ELSE split_part(x, chr(2), 2) END AS b FROM s)
+ SELECT page_id, pos, level, {plain('h')} AS title, {plain('b')} AS body FROM t WHERE level > 0 OR {plain('b')} <> ''""")
 def d07(spark, d):
-    html = F.regexp_replace("html", r"(?is)<(nav|footer|header|aside|menu)[^>]*>.*?</\1>", "")
-    parts = F.split(html, r"(?i)(?=<h[1-6][^>]*>)")
-    sections = table(spark, d, "pages").select("page_id", F.posexplode(parts).alias("pos", "part")).select("page_id", "pos", strip(H.decode(F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1))).alias("title"), H.stripped(F.col("part")).alias("body"))
-    return sections.where("pos > 0").groupBy("page_id").agg(F.lit(0).alias("pos"), F.count("*").alias("n"))
+    return P.sections(table(spark, d, "pages"))
 
 
 def price_with_tax(price: float, rate: float) -> float:
