@@ -28,7 +28,17 @@ def d01(spark, d):
     return D.chunks(docs(spark, d).withColumn("kind", kind))
 
 
-@query("d03_packed_paragraphs")
+#: A fold over the paragraphs with what is held and what is done; white space at the ends is cut where two are joined.
+FOLD = "list_transform(ps, lambda x: {'now': '', 'done': []::VARCHAR[], 'p': x})"
+JOINED = "CASE WHEN a.now = '' THEN b.p ELSE " + STRIP.format("a.now || chr(10) || b.p") + " END"
+FULL = f"(length({JOINED}) > 1000 AND a.now <> '')"
+TAIL = "CASE WHEN length(a.now) > 100 THEN right(a.now, 100) || chr(10) || b.p ELSE b.p END"
+PACKED = f"""p AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n|\\n'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ps FROM documents),
+ f AS (SELECT id, list_reduce(list_prepend({{'now': '', 'done': []::VARCHAR[], 'p': ''}}, {FOLD}), lambda a, b: {{'now': CASE WHEN {FULL} THEN {TAIL} ELSE {JOINED} END, 'done': CASE WHEN {FULL} THEN list_append(a.done, {STRIP.format('a.now')}) ELSE a.done END, 'p': ''}}) AS r FROM p),
+ c AS (SELECT id, CASE WHEN {STRIP.format('r.now')} = '' THEN r.done ELSE list_append(r.done, {STRIP.format('r.now')}) END AS c FROM f)"""
+
+
+@query("d03_packed_paragraphs", f"WITH {PACKED} SELECT id, CAST(k AS INT) AS chunk_index, c[k + 1] AS content FROM (SELECT id, c, unnest(range(0, len(c))) AS k FROM c)")
 def d03(spark, d):
     return docs(spark, d).select("id", F.posexplode(D.packed(F.col("text"))).alias("chunk_index", "content"))
 
