@@ -54,7 +54,19 @@ def h03(spark, d):
     return W.extract(table(spark, d, "pages")).select("page_id", "title", "description", F.col("n_links").cast("long").alias("n_links"), "headings")
 
 
-@query("h04_readable")
+def raw_text(x: str) -> str:
+    return STRIP.format(steps(decode(steps(x, H.RAW)), ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))))
+
+
+def plain(x: str) -> str:
+    return decode(STRIP.format(steps(x, ((r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " "), (r"\s+", " ")))), H.FILE_ENTITIES)
+
+
+READABLE = f"""t AS (SELECT page_id, url, length(html) AS content_length, {raw_text("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS a, {plain("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")} AS b, {raw_text("html")} AS r FROM pages),
+ u AS (SELECT *, CASE WHEN length(a) > 50 THEN 'article' WHEN length(b) > 50 THEN 'body' ELSE 'raw' END AS extractor, CASE WHEN length(a) > 50 THEN a WHEN length(b) > 50 THEN b ELSE r END AS found FROM t)"""
+
+
+@query("h04_readable", f"WITH {READABLE} SELECT page_id, url, content_length, extractor, length(found) AS extracted_length, substr(found, 1, 50000) AS text, length(found) > 50000 AS truncated FROM u")
 def h04(spark, d):
     return W.readable(table(spark, d, "pages"))
 
