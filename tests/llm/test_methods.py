@@ -79,12 +79,15 @@ def test_a_dense_group_is_not_compared_pair_by_pair():
     assert len(a) == len(fp) - 1 and compared < 0.5 * len(fp) ** 2
 
 
-def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
-    left = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id AS v")
-    right = spark.range(0, 15_000).selectExpr("id AS k", "id * 2 AS w")
+@pytest.mark.parametrize("held", [True, False])
+def test_hot_keys_meet_by_broadcast_or_by_salt(spark, monkeypatch, held):
+    left = spark.range(8_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id AS v")
+    right = spark.range(0, 6_000).selectExpr("id AS k", "id * 2 AS w").unionByName(spark.range(3).selectExpr("7L AS k", "-id AS w"))
     for how in ("inner", "left"):
         want = Counter(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()))
-        monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+        # the right side isn't small; its rows of hot keys are, or aren't either
+        answers = iter([False, held])
+        monkeypatch.setattr(skew, "is_broadcast_sized", lambda df, answers=answers: next(answers))
         assert Counter(map(tuple, skew.hot_join(left, right, "k", how).select("k", "v", "w").collect())) == want
         monkeypatch.undo()
 
@@ -414,6 +417,45 @@ def test_stages_of_odd_inputs(spark, docs, nothing, labels, name, stage):
         assert sorted(r.sequence_id * 1024 + r.offset for r in rows)[0] == 0
 
 
+def clashing() -> list[str]:
+    """Column names that the stages' modules use themselves."""
+    found = set()
+    for module in (encode, grams, jaccard, mixing, packing, pii, quality, simhash, skew):
+        source = open(module.__file__).read()
+        found |= set(re.findall(r'"(_?[a-z_]{1,14})"', source)) | {f"quern_mix_{x}" for x in ("s", "h", "copy", "copies")} | {"_mix_s", "_mix_times", "_mix_copy", "_salt", "_hot"}
+    return sorted(found - {"doc_id", "text", "source", "n_chars", "utf", "surrogatepass", "left", "overwrite"})
+
+
+@pytest.mark.parametrize("name,stage", [s for s in corpus_pipeline.STAGES if s[0] != "packing"])
+def test_stages_pass_clashing_columns_on(spark, labels, name, stage):
+    names = clashing()
+    assert len(names) > 60
+    root = skew.materialise(labels, "x").inputFiles()[0].rsplit("/", 2)[0]
+    labels.write.mode("overwrite").parquet(f"{root}/odd/labels.parquet")
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("alpha beta gamma delta of the and to in".split(), k=40)), "ab"[i % 2]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    got = stage(spark, docs, f"{root}/odd")
+    assert got.columns == docs.columns
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+
+
+def test_rows_equal_at_the_threshold_are_taken_in_part(spark):
+    rows = [(1, "a b c d e f g h i j", "x")] * 100 + [(k, "w " * 20, "y") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    done = mixing.plan(docs).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+    assert all(abs(r.n - r.target) <= 10 for r in done) and len(done) == 2
+    again = mixing.mix(docs.repartition(2)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in again} == {"x": 67, "y": 67}
+
+
+def test_decoys_stand_anywhere_in_a_text():
+    """Places for made-up numbers are drawn from whole texts."""
+    text = "WORD " * 30_000 + "call +1 (603) 555-8791 now and then some more words here " * 3
+    made = pii.Silver([text])
+    assert len(text) > 2 * 65_536 and sum(not g for g in made.good) > 20
+
+
 # very long texts, empty tables and clashing columns, operator by operator
 
 

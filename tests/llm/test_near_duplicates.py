@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from test_operators import brute_components, brute_fingerprint, collected
 
-from quern.llm import simhash
+from quern.llm import jaccard, simhash
 
 
 def word_set(text):
@@ -63,6 +63,27 @@ def test_groups_are_those_of_all_pairs(spark):
     assert len({r.component_id for r in simhash.groups(docs, similarity=None).collect()}) > len(set(want))
 
 
+def test_a_shared_passage_does_not_pair_texts(spark, monkeypatch):
+    """Texts at 0.59 share 90 words and have 30 of their own: pairs compared grow with the texts, not with their square."""
+    rng, seen, keep = random.Random(9), [], jaccard.materialise
+    passage = [f"p{k}" for k in range(90)]
+
+    def counted(df, what):
+        made = keep(df, what)
+        if what == "pairs":
+            seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    compared = []
+    for n in (150, 300):
+        docs = spark.createDataFrame([(i, " ".join(passage + [f"own{rng.random()}" for _ in range(30)])) for i in range(n)], "doc_id long, text string")
+        seen.clear()
+        assert {r.doc_id: r.component_id for r in simhash.groups(docs).collect()} == {i: i for i in range(n)}
+        compared.append(sum(seen))
+    assert compared[1] <= 3 * compared[0] + 100 and compared[1] < 300 * 299 / 2 / 10
+
+
 def test_fingerprints_alone_of_odd_texts(docs):
     rows = collected(docs)
     fps = [brute_fingerprint(r.text) for r in rows]
