@@ -71,6 +71,20 @@ def corrective(find: Callable[[DataFrame], DataFrame], queries: DataFrame, rewri
     return R.top(found, k)
 
 
+def query_log(results: DataFrame, queries: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row a query at the end of a search: its sub-queries' number, its results in order, and how good they look.
+
+    ``results``: (query_id, id, score, rank); ``queries``: (query_id, text); ``parts``: (query_id), a row a sub-query; ``texts``:
+    (id, text). Queries without results have an empty list and zeros.
+    """
+    held = materialise(results.select("query_id", "id", "score", "rank"), "search-results")
+    measured = R.quality_metrics(held.join(texts.select("id", "text"), "id").select("query_id", "text", "score"), queries)
+    listed = held.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("chunk_ids"))
+    asked = queries.select("query_id").join(parts.groupBy("query_id").agg(F.count("*").alias("n_queries")), "query_id", "left")
+    none = F.array().cast("array<bigint>")
+    return asked.join(listed, "query_id", "left").join(measured, "query_id", "left").select("query_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), F.coalesce("chunk_ids", none).alias("chunk_ids"), "faithfulness", "relevancy", "context_precision")
+
+
 def prefixed(chunks: DataFrame, summary: Callable[[Column], Column] = lambda doc: F.substring(doc, 1, 80)) -> DataFrame:
     """(id, content) with the context of the document in front, once there is some."""
     context = summary(F.col("document"))

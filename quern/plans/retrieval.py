@@ -218,6 +218,19 @@ def r14(spark, d):
     return A.rerank(R.best_of([found]), docs(spark, d), asked(spark, d), k=6)
 
 
+@query("r14_logged_search", f"""WITH res AS ({SEARCH}), qw AS (SELECT item_id AS query_id, list_distinct({WORDS}) AS q, len(regexp_extract_all(text, '\\S+')) AS n FROM benchmark),
+ j AS (SELECT qw.query_id, res.score, len(list_intersect(qw.q, list_distinct(regexp_extract_all(lower(d.text), '\\S+')))) / CAST(len(qw.q) AS DOUBLE) AS part FROM qw JOIN res USING (query_id) JOIN documents d ON d.doc_id = res.id),
+ w AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS most, avg(score) OVER (PARTITION BY query_id) AS mean, count(*) OVER (PARTITION BY query_id) AS n FROM j),
+ m AS (SELECT query_id, round(avg(least(part, 1)), 3) AS faithfulness, round(avg(CASE WHEN most <> 0 THEN score / most END), 3) AS relevancy, round(avg(CASE WHEN n = 1 OR score >= mean THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS context_precision FROM w GROUP BY query_id),
+ l AS (SELECT query_id, list(id ORDER BY rank) AS chunk_ids FROM res GROUP BY query_id)
+ SELECT qw.query_id, CASE WHEN n > 1 THEN 3 ELSE 2 END AS n_queries, coalesce(chunk_ids, []) AS chunk_ids, coalesce(faithfulness, 0) AS faithfulness, coalesce(relevancy, 0) AS relevancy, coalesce(context_precision, 0) AS context_precision FROM qw LEFT JOIN l USING (query_id) LEFT JOIN m USING (query_id)""")
+def r14_logged(spark, d):
+    """The whole search with what is logged about each query."""
+    from quern.operators import assist as A
+
+    return A.query_log(r14(spark, d), asked(spark, d), A.rewrite(asked(spark, d)), docs(spark, d))
+
+
 @query("r16_rerank_scores", """WITH r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE 'scores: [' || event_id % 10 || ', ' || event_id % 7 || ', 3] done' END AS reply FROM events)
  SELECT event_id, CASE WHEN reply = 'none' THEN [5.0, 5.0, 5.0]::DOUBLE[] ELSE [event_id % 10, event_id % 7, 3]::DOUBLE[] END AS scores FROM r""")
 def r16(spark, d):

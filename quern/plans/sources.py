@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.plans.registry import query
 from quern.session import scratch, table
 from quern.sources import files as X
+from quern.sources import tail as N
 from quern.sources.adapters import CHAT_SQL, MEMORIES_SQL, chat, memories
 
 
@@ -43,6 +44,16 @@ def s10(spark, d):
     return X.log_tail(lines, 100, "error", "user 1")
 
 
+@query("s10_log_files", """SELECT CAST(ts AS VARCHAR) AS ts, 'ERROR' AS level, 'quern' AS logger, 'user ' || user_id || ' failed' AS message FROM events WHERE event_type = 'error' AND event_id % 9 <> 0 AND starts_with('user ' || user_id, 'user 1') ORDER BY events.ts DESC LIMIT 100""")
+def s10_files(spark, d):
+    """The same from log files in order of time, read from their ends."""
+    row = F.struct(F.col("ts").cast("string").alias("ts"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.lit("quern").alias("logger"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" failed")).alias("message"))
+    line = F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(row)).alias("line")
+    root = scratch(spark, "log-files")
+    table(spark, d, "events").select("ts", line).repartitionByRange(4, "ts").sortWithinPartitions("ts").select("line").write.text(root)
+    return N.newest(spark, root, 100, "error", "user 1").select("ts", "level", "logger", "message")
+
+
 @query("s15_frontmatter", "SELECT doc_id, lang AS name, source AS keywords, length(text) AS body_length FROM documents")
 def s15(spark, d):
     page = F.concat(F.lit("---\nname: "), "lang", F.lit("\n# a comment\nkeywords: \""), "source", F.lit("\"\n---\n"), "text")
