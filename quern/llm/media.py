@@ -9,7 +9,8 @@ No step shuffles a payload, only the index is dealt out by shard. A retried task
 succeeded are in the index, so a lost executor costs a repeated task and an unreferenced file.
 
 Edge cases: a null text is an empty one; an empty text is one row of 64 zero bytes; copies share one object per shard and
-have equal values; an empty table gives an empty index; columns besides the id and the text are ignored; null ids stay.
+have equal values, and so do ties and repeated rows, each of which is a row of the index; a very long text is one payload, held whole
+by its task; an empty table gives an empty index; columns besides the id and the text are ignored; null ids stay.
 """
 
 from __future__ import annotations

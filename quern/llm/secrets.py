@@ -7,7 +7,7 @@ of its clauses. Only candidates are matched against the expression itself, twice
 between them. Rules without a mandatory trigram (here ``hex``) match every document.
 
 Edge cases: a null text is an empty one, without spans; documents that share an id (or a null id) share candidates, and
-each is verified on its own text, so nothing is lost; copies have equal spans; very long texts with many matches cost no
+each is verified on its own text, so nothing is lost; copies, ties and repeated rows have equal spans, a row each; very long texts with many matches cost no
 more than matches times the root of their number; an empty table gives an empty result; columns other than doc_id and text are ignored. Offsets are code points.
 """
 

@@ -5,7 +5,8 @@ each file is a run of rows of ``LENGTH`` ids with a mask of the same shape, whos
 of a file but the last have ``ROWS`` rows, so an id's place is arithmetic. ``starts`` turns places in a file into places
 in the corpus; ``read`` slices the files, memory-mapped where they are local.
 
-Edge cases: a null or empty text has the end id alone; null ids come first; rows with equal ids keep an order fixed by
+Edge cases: a null or empty text has the end id alone; a very long text is encoded whole by its task and spans as many rows
+of a file as it needs; null ids come first; rows with equal ids keep an order fixed by
 their text; an empty table writes nothing and reads nothing; other columns are ignored. A retried task writes under a new
 name and only the successful attempt's rows are read.
 """
