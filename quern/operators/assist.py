@@ -22,8 +22,8 @@ from quern.session import materialise
 BACKENDS: dict[str, Callable] = {"exact": R.knn, "l2": lambda v, q, k: R.knn(v, q, k, "l2", 4), "ann": R.ann}
 
 
-def backend(vectors: DataFrame, preferred: str = "auto", exact_rows: int = 50_000) -> str:
-    """The backend that a relation's size asks for, unless one is named: exact up to some rows, then approximate."""
+def backend(vectors: DataFrame, preferred: str = "exact", exact_rows: int = 50_000) -> str:
+    """The backend named; "auto" is the one that a relation's size asks for: exact up to some rows, then approximate."""
     if preferred != "auto":
         if preferred not in BACKENDS:
             raise ValueError(f"no such backend: {preferred}")
@@ -31,7 +31,7 @@ def backend(vectors: DataFrame, preferred: str = "auto", exact_rows: int = 50_00
     return "exact" if vectors.limit(exact_rows + 1).count() <= exact_rows else "ann"
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, preferred: str = "auto") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, preferred: str = "exact") -> DataFrame:
     return BACKENDS[backend(vectors, preferred)](vectors, queries, k)
 
 
