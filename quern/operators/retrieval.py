@@ -274,21 +274,6 @@ def resolve_parents(hits: DataFrame, children: DataFrame) -> DataFrame:
     return kept.select("query_id", F.col("parent").alias("id"), "score", "rank")
 
 
-def entity_search(mentions: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Chunks that mention an entity of the query: exact names score 1; queries without any fall back to words, 0.5.
-
-    ``mentions``: (name, chunk_id); ``queries``: (query_id, names, words).
-    """
-    names = queries.select("query_id", F.explode(F.transform("names", F.lower)).alias("name"))
-    # read twice below, and the mentions come from a scan of all chunks
-    exact = materialise(mentions.withColumn("name", F.lower("name")).join(maybe_broadcast(names), "name").select("query_id", F.col("chunk_id").alias("id"), F.lit(1.0).alias("score")), "entity-hits")
-    missed = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    words = missed.select("query_id", F.explode("words").alias("word")).where(F.length("word") > 3)
-    parts = mentions.select("chunk_id", F.explode(T.terms(F.col("name"))).alias("word"))
-    loose = parts.join(maybe_broadcast(words), "word").select("query_id", F.col("chunk_id").alias("id"), F.lit(0.5).alias("score"))
-    return top(exact.union(loose).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
-
-
 def best_of(lists: list[DataFrame]) -> DataFrame:
     """Union of lists; of equal ids the best score stays."""
     both = lists[0].select("query_id", "id", "score")
