@@ -142,11 +142,16 @@ def scoped_state(writes: DataFrame) -> DataFrame:
 
 
 def summary(chat: DataFrame, size: int = 500) -> DataFrame:
-    """The last characters of each user's messages in order. Only a tail of rows can matter, so only that is collected."""
+    """The last characters of each user's messages in order. Only a tail of rows can matter, so only that is collected.
+
+    A message with ``size`` characters behind it counts by the blank that parts it from them. Null contents are left out; a user
+    without any other has a null.
+    """
     back = Window.partitionBy("user_id").orderBy(F.desc("id"))
-    tail = chat.where("content IS NOT NULL").select("user_id", "id", "content", F.coalesce(F.sum(F.length("content") + 1).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("after")).where(F.col("after") < size)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"])
-    return tail.groupBy("user_id").agg(F.right(F.array_join(parts, " "), F.lit(size)).alias("summary"))
+    behind = F.sum(F.coalesce(F.length("content") + 1, F.lit(0))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    tail = chat.select("user_id", "id", "content", F.coalesce(behind, F.lit(0)).alias("after")).where(F.col("after") <= size)
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("id", "content")))), lambda x: x["content"])
+    return tail.groupBy("user_id").agg(parts.alias("parts")).select("user_id", F.when(F.size("parts") > 0, F.right(F.array_join("parts", " "), F.lit(size))).alias("summary"))
 
 
 def last_n(chat: DataFrame, n: int = 6) -> DataFrame:
