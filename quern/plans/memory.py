@@ -110,7 +110,7 @@ PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.emb
 
 
 def pairs(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label").where("label IS NOT NULL")
     return W.close_pairs(v, 0.3)
 
 

@@ -9,3 +9,13 @@ def test_summary_keeps_the_blank_at_its_start(spark):
     rows = [(1, 0, "first"), (1, 1, "x" * 99), (2, 0, None), (3, 0, "a"), (3, 1, None), (3, 2, "b")]
     chat = spark.createDataFrame(rows, "user_id long, id long, content string")
     assert {r.user_id: r.summary for r in M.summary(chat, 100).collect()} == {1: " " + "x" * 99, 2: None, 3: "a b"}
+
+
+def test_close_pairs_judge_the_rounded_cosine(spark):
+    from math import sqrt
+
+    from quern.operators import similarity as W
+
+    rows = [(1, [1.0, 0.0], 0), (2, [0.2999996, sqrt(1 - 0.2999996**2)], 0), (3, [0.2999994, -sqrt(1 - 0.2999994**2)], 0)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    assert [tuple(r) for r in W.close_pairs(v, 0.3).collect()] == [(1, 2, 0.3)]
