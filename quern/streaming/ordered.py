@@ -1,8 +1,10 @@
 """State machines over the events of a key in event order, in bounded memory: rows wait in the state store, timers call them.
 
-A row is put under its time in a map state, with one timer a time; when the watermark has passed it, timers fire in the order of
-time and the rows of one time are taken by their tie. So what a task holds is the rows of one key and time, whatever a
-micro-batch brings of a hot key; the rest lies in RocksDB, which spills. The machine's own state is one value a key.
+The waiting rows of a key are leaves in a map state: stretches of time of ``LEAF`` rows at most (more only within one time), split
+at a time when they grow beyond. A key has one timer, at its first waiting time; when the watermark has passed it, the leaves are
+taken in order up to the watermark, and their rows by time and tie. So a task holds a leaf or the rows that one call of it
+brought, whatever a micro-batch brings of a hot key; the rest lies in RocksDB, which spills. The machine's own state and the
+leaves' starts are one value a key. The store is asked a few times a key and micro-batch, not a few times a row.
 
 Rows later than the watermark are dropped by it (one of the watermark's own millisecond still counts, after those before it); rows that it hasn't passed wait for the next run of the same checkpoint.
 """
@@ -10,7 +12,9 @@ Rows later than the watermark are dropped by it (one of the watermark's own mill
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,10 @@ def stores(spark: SparkSession) -> SparkSession:
     return prepare(spark)
 
 
+#: Waiting rows that are read and written at once.
+LEAF = 1024
+
+
 class Machine(StatefulProcessor):
     """Rows of a key in the order of (time, tie), each handed to ``step``."""
 
@@ -41,29 +49,71 @@ class Machine(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "at long", "rows binary")
         self.own = handle.getValueState("own", "state binary")
 
+    def held(self) -> tuple[object, list[int], int | None]:
+        """The machine's state, the first times of the leaves in order, and the timer's time."""
+        return pickle.loads(self.own.get()[0]) if self.own.exists() else (self.start, [], None)
+
+    def keep(self, state: object, leaves: list[int], old: int | None) -> None:
+        """Writes what ``held`` reads, with the timer at the first waiting time."""
+        now = leaves[0] if leaves else None
+        if now != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if now is not None:
+                self.handle.registerTimer(now)
+        self.own.update((pickle.dumps((state, leaves, now)),))
+
+    def leaf(self, at: int) -> list[tuple[int, dict]]:
+        return pickle.loads(self.waiting.getValue((at,))[0])
+
+    def split(self, rows: list[tuple[int, dict]]) -> list[int]:
+        """Writes rows in order of their times as leaves, none of which begins within a time; their first times."""
+        out, at = [], 0
+        while at < len(rows):
+            end = at + LEAF // 2 if len(rows) - at > LEAF else len(rows)
+            while end < len(rows) and rows[end][0] == rows[end - 1][0]:
+                end += 1
+            self.waiting.updateValue((rows[at][0],), (pickle.dumps(rows[at:end]),))
+            out.append(rows[at][0])
+            at = end
+        return out
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, leaves, timer = self.held()
         for frame in rows:
             # timers count milliseconds, as the watermark does
-            at = frame[self.time].astype("int64").to_numpy() // (1_000_000 if str(frame[self.time].dtype).startswith("datetime64[ns") else 1_000)
-            for t, some in frame.groupby(at):
-                t = int(t)
-                held = pickle.loads(self.waiting.getValue((t,))[0]) if self.waiting.containsKey((t,)) else []
-                if not held:
-                    self.handle.registerTimer(t)
-                self.waiting.updateValue((t,), (pickle.dumps(held + some.to_dict("records")),))
+            at = frame[self.time].astype("int64") // (1_000_000 if str(frame[self.time].dtype).startswith("datetime64[ns") else 1_000)
+            came = sorted(zip(at.tolist(), frame.to_dict("records"), strict=True), key=itemgetter(0))
+            done: list[int] = []
+            while came:
+                # the leaf of the first row, and the rows before the next leaf
+                k = bisect_right(leaves, came[0][0]) - 1
+                upto = bisect_left(came, leaves[k + 1], key=itemgetter(0)) if k + 1 < len(leaves) else len(came)
+                some, came = came[:upto], came[upto:]
+                if k >= 0:
+                    some = sorted(self.leaf(leaves[k]) + some, key=itemgetter(0))
+                new = self.split(some)
+                done += leaves[: max(k, 0)] + new
+                leaves = leaves[k + 1 :]
+            leaves = done + leaves
+        self.keep(state, leaves, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t = int(expiredTimerInfo.getExpiryTimeInMs())
-        rows = pickle.loads(self.waiting.getValue((t,))[0])
-        self.waiting.removeKey((t,))
-        state = pickle.loads(self.own.get()[0]) if self.own.exists() else self.start
-        out = []
-        for row in sorted(rows, key=lambda r: (r[self.time], r[self.tie])):
-            state, values = self.step(state, row)
-            out.append((row[self.tie], key[0], *values))
-        self.own.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=self.columns, dtype=object)
+        passed = timerValues.getCurrentWatermarkInMs()
+        state, leaves, timer = self.held()
+        while leaves and leaves[0] <= passed:
+            at, *leaves = leaves
+            rows = self.leaf(at)
+            self.waiting.removeKey((at,))
+            upto = bisect_right(rows, passed, key=itemgetter(0))
+            leaves = self.split(rows[upto:]) + leaves
+            out = []
+            for row in sorted((r for _, r in rows[:upto]), key=lambda r: (r[self.time], r[self.tie])):
+                state, values = self.step(state, row)
+                out.append((row[self.tie], key[0], *values))
+            yield pd.DataFrame(out, columns=self.columns, dtype=object)
+        self.keep(state, leaves, timer)
 
     def close(self) -> None:
         pass

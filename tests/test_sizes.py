@@ -51,3 +51,83 @@ def test_approximate_search_shuffles_no_pairs(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.query_id: r.id for r in found.where("rank = 0").collect()} == {k: k for k in range(6)}
     assert R.ann(v, q.limit(0), 3).count() == 0
+
+
+def test_machine_asks_the_store_by_leaves_not_rows(monkeypatch):
+    """A replay of shuffled rows against a store that counts its calls, with leaves of four rows."""
+    import random
+
+    import pandas as pd
+
+    from quern.streaming import ordered
+
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("getMapState", "getValueState"):
+                    return Store()
+                if name in ("updateValue", "update"):
+                    self.held[a[0] if name == "updateValue" else ()] = a[-1]
+                elif name == "removeKey":
+                    del self.held[a[0]]
+                elif name in ("getValue", "get"):
+                    return self.held[a[0] if a else ()]
+                elif name == "exists":
+                    return () in self.held
+                elif name == "registerTimer":
+                    self.held[a[0]] = True
+                elif name == "deleteTimer":
+                    del self.held[a[0]]
+            return call
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    monkeypatch.setattr(ordered, "LEAF", 4)
+    rng, timers, now = random.Random(5), Store(), Passed()
+    machine = ordered.Machine("k", "ts", "i", lambda state, row: (state + 1, (state,)), 0, ["i", "k", "place"])
+    machine.init(timers)
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=rng.randrange(40) * (1 if i < 60 else 5))) for i in range(120)]
+    start, out = pd.Timestamp("2024-01-01").value // 1_000_000, []
+    for upto, some in ((-1, rows[:50]), (19, rows[50:60]), (100, [r for r in rows[60:] if r[1].value // 1_000_000 > start + 19]), (500, [])):
+        rng.shuffle(some)
+        if some:
+            list(machine.handleInputRows(("a",), iter([pd.DataFrame(some[:20], columns=["i", "ts"]), pd.DataFrame(some[20:], columns=["i", "ts"])]), None))
+        now.at = start + upto
+        while any(t <= now.at for t in timers.held):
+            frames = list(machine.handleExpiredTimer(("a",), now, None))
+            assert all(len(f) <= max(4, int(f.i.map(dict(rows)).value_counts().max())) for f in frames)
+            out += [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    want = sorted((r for r in rows if r in rows[:60] or r[1].value // 1_000_000 > start + 19), key=lambda r: (r[1], r[0]))
+    assert out == [(i, "a", n) for n, (i, _) in enumerate(want)]
+
+    # a key's rows that come and pass at once: few calls, however many rows
+    monkeypatch.setattr(ordered, "LEAF", 1024)
+    machine.init(Store())
+    calls.clear()
+    list(machine.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["i", "ts"])]), None))
+    list(machine.handleExpiredTimer(("a",), now, None))
+    assert len(calls) < 20
+
+
+def test_habits_round_as_sql_does(spark, tmp_path):
+    """Averages next to halves: the scaled double decides, not the digits that are printed."""
+    from support import duck, rows_of
+
+    from quern.plans import catalogue
+
+    rows = [(k, f"2024-01-01 00:{k:02d}:00", 1 if k < 30 else 2, "view", round(33.3035545 + k * 0.0000035, 7)) for k in range(60)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for p in (tmp_path / "made").iterdir():
+        p.unlink()
+    (tmp_path / "made").rmdir()
+    assert rows_of(catalogue.queries()["t09_habits"](spark, str(tmp_path))) == duck(catalogue.oracle_sql()["t09_habits"], str(tmp_path))[1]
