@@ -131,3 +131,17 @@ def test_habits_round_as_sql_does(spark, tmp_path):
         p.unlink()
     (tmp_path / "made").rmdir()
     assert rows_of(catalogue.queries()["t09_habits"](spark, str(tmp_path))) == duck(catalogue.oracle_sql()["t09_habits"], str(tmp_path))[1]
+
+
+def test_hashed_embedding_hashes_a_word_once(spark):
+    from quern.operators import documents as D
+
+    rows = [(0, None), (1, ""), (2, "b a  A\n" * 9 + "c"), (3, " ".join(f"w{k}" for k in range(400)))]
+    df = spark.createDataFrame(rows, "id long, text string").select("id", D.hashed_embedding(F.col("text")).alias("e"), F.transform(F.regexp_extract_all(F.lower(F.substring("text", 1, 2000)), F.lit(r"\S+"), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
+    assert df.select("e")._jdf.queryExecution().analyzed().toString().count("xxhash64") <= 2
+    for r in df.collect():
+        raw = [0.0] * 32
+        for h in r.h or ():
+            raw[h % 32] += 1.0 if h > 0 else -1.0
+        size = sum(x * x for x in raw) ** 0.5
+        assert all(abs(e - (x / size if size else 0.0)) < 1e-7 for e, x in zip(r.e, raw, strict=True))
