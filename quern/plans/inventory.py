@@ -41,7 +41,7 @@ def p05(spark, d):
 
 @query("p07_score_threshold", f"WITH {OVERLAP} SELECT query_id, id, score FROM ov WHERE score >= 0.5")
 def p07(spark, d):
-    return R.word_overlap(docs(spark, d), asked(spark, d), 1 << 30).where("score >= 0.5").select("query_id", "id", "score")
+    return R.word_overlap(docs(spark, d), asked(spark, d), None, least=0.49995).where("score >= 0.5").select("query_id", "id", "score")
 
 
 @query("j01_chunk_document", "SELECT d.source, count(*) AS chunks, CAST(sum(length(w)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS w FROM documents) c JOIN documents d USING (doc_id) GROUP BY d.source")
@@ -95,7 +95,7 @@ def o05(spark, d):
 
 @query("w08_ranks", f"WITH {OVERLAP} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ov WHERE score > 0.4")
 def w08(spark, d):
-    scored = R.word_overlap(docs(spark, d), asked(spark, d), 1 << 30).where("score > 0.4").select("query_id", "id", "score")
+    scored = R.word_overlap(docs(spark, d), asked(spark, d), None, least=0.4).where("score > 0.4").select("query_id", "id", "score")
     return R.top(scored, 1 << 30).select("query_id", "id", "rank")
 
 

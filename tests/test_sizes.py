@@ -147,6 +147,13 @@ def test_texts_give_k_rows_a_query_and_task_in_bounded_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
 
 
+def test_thresholds_rank_nothing(spark):
+    from quern.plans import catalogue
+
+    found = catalogue.queries()["p07_score_threshold"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hashed_embedding_hashes_a_word_once(spark):
     from quern.operators import documents as D
 
