@@ -29,6 +29,8 @@ from quern.session import materialise, maybe_broadcast, prepare
 SAMPLE, PARTS, CODES, LISTS, STEPS = 20_000, 16, 256, 4096, 12
 #: Share of the lists that a query asks, and of the vectors that it reads whole.
 PROBE, READ = 0.8, 0.05
+#: Approximate scores that a task holds at once, about.
+SCORES = 1 << 22
 CODE, WHOLE = "id bigint, code binary, list int", "id bigint, embedding array<float>, list int"
 ENCODED = "id bigint, list int, code binary, embedding array<float>"
 
@@ -175,23 +177,27 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, near, tables = shared.value
-            held: list[np.ndarray] = []  # approximate score, id and segment of each query's best
-            for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
-                if not batch.num_rows or not len(qid):
-                    continue
-                own, segment, lists = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-                codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                score = near[:, lists]
+            parts = []  # the task's codes, 32 bytes each; scores are held for a few queries at a time
+            for batch in batches:
+                if batch.num_rows and len(qid):
+                    codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)), codes))
+            if not parts:
+                return
+            own, segment, lists, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            step = max(1, SCORES // len(own))
+            for at in range(0, len(qid), step):
+                score = near[at : at + step, lists]
                 for p in range(len(tables)):
-                    score = score + tables[p][:, codes[:, p]]
-                new = [score, np.broadcast_to(own, score.shape), np.broadcast_to(segment, score.shape)]
-                held = [np.concatenate(x, 1) for x in zip(held, new, strict=True)] if held else new
-                if held[0].shape[1] > candidates:
-                    best = np.argpartition(-held[0], candidates - 1, 1)[:, :candidates]
-                    held = [np.take_along_axis(x, best, 1) for x in held]
-            if held:
-                a, b = np.nonzero(np.isfinite(held[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(held[1][a, b], pa.int64()), pa.array(held[2][a, b], pa.int32()), pa.array(held[0][a, b].astype(np.float64))], names=["query_id", "id", "segment", "near"])
+                    score += tables[p][at : at + step, codes[:, p]]
+                a, b = np.nonzero(np.isfinite(score))
+                if len(own) > candidates:
+                    best = np.argpartition(-score, candidates - 1, 1)[:, :candidates]
+                    a, b = np.repeat(np.arange(len(best)), candidates), best.ravel()
+                    kept = np.isfinite(score[a, b])
+                    a, b = a[kept], b[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[at + a]), pa.array(own[b], pa.int64()), pa.array(segment[b], pa.int32()), pa.array(score[a, b].astype(np.float64))], names=["query_id", "id", "segment", "near"])
 
         wanted = np.flatnonzero(probed.any(0)).tolist()  # no more than there are lists
         codes = self.store.live(self.store.read("code", CODE).where(F.col("list").isin(wanted) if wanted else F.lit(False)).select("id", "segment", "list", "code"))
