@@ -141,3 +141,13 @@ def test_cron_fields_outside_the_grammar():
     with pytest.raises(ValueError):
         sequences.field_values("minute", "1-5,9")
     assert sequences.field_values("weekday", "7") == [0] and re.match(r"\[1, 2", str(sequences.field_values("day", "1-31")))
+
+
+def test_index_broadcasts_no_frame_of_many_rows_in_a_small_file(spark, prose):
+    index = lexical.Index.created(spark, scratch(spark, "test-lexical-wide"), spark.createDataFrame(prose[:40], "id long, text string"))
+    weights = spark.range(30_000).select(F.col("id").alias("query_id"), F.lit("red1").alias("term"), F.lit(1.0).alias("weight"))
+    ranges = index.documents().where(F.array_contains("terms", "red1")).select("segment", "range").distinct().limit(1)
+    chosen = spark.range(30_000).select(F.col("id").alias("query_id")).crossJoin(ranges)
+    scored = index._scored(chosen, weights, 5.0)
+    assert "SortMergeJoin" in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.groupBy("query_id").count().agg(F.count("*"), F.min("count") == F.max("count")).first()[:] == (30_000, True)
