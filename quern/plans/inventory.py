@@ -96,7 +96,7 @@ def o05(spark, d):
 @query("w08_ranks", f"WITH {OVERLAP} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ov WHERE score > 0.4")
 def w08(spark, d):
     scored = R.word_overlap(docs(spark, d), asked(spark, d), None, least=0.4).where("score > 0.4").select("query_id", "id", "score")
-    return R.top(scored, 1 << 30).select("query_id", "id", "rank")
+    return R.ranked(scored).select("query_id", "id", "rank")
 
 
 @query("a17_ngram_counter", f"WITH {EV}, p AS (SELECT action || '->' || lead(action) OVER (PARTITION BY user_id ORDER BY ts, id) AS gram FROM ev) SELECT gram, count(*) AS n FROM p WHERE gram IS NOT NULL GROUP BY gram")

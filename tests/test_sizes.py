@@ -199,3 +199,16 @@ def test_kept_index_scores_a_few_queries_at_a_time(spark, monkeypatch):
     at_once = sorted(map(tuple, index.searched(q, 3).collect()))
     monkeypatch.setattr(I, "SCORES", 8)  # one query at a time
     assert sorted(map(tuple, index.searched(q, 3).collect())) == at_once and len(at_once) == 27
+
+
+def test_ranks_of_all_rows_are_given_by_ranges(spark, monkeypatch):
+    from quern.operators import retrieval as R
+
+    held, written = R.materialise, []
+    monkeypatch.setattr(R, "RANKED", 50)
+    monkeypatch.setattr(R, "materialise", lambda df, what: written.append(held(df, what)) or written[-1])
+    rows = [(q, i, float(i * 7 % 4)) for q, n in ((1, 400), (2, 3), (3, 90)) for i in range(n)]
+    got = R.ranked(spark.createDataFrame(rows, "query_id long, id long, score double").repartition(5))
+    want = {(q, i): k for n in (1, 2, 3) for k, (q, i, _) in enumerate(sorted((r for r in rows if r[0] == n), key=lambda r: (-r[2], r[1])))}
+    assert got.columns == ["query_id", "id", "score", "rank"] and {(r.query_id, r.id): r.rank for r in got.collect()} == want
+    assert max(r["count"] for r in written[-1].groupBy("_range").count().collect()) < 200
