@@ -27,3 +27,22 @@ def test_machine_equals_a_replay(spark):
             want[i, user] = out
     assert got.keys() == want.keys()
     assert all(g[0] == w[0] and g[2:] == w[2:] and (g[1] is None or g[1] != g[1] or abs(g[1] - w[1]) < 1e-9) for g, w in ((got[k], want[k]) for k in want))
+
+
+def test_many_keys_cost_a_few_calls(spark, monkeypatch):
+    """Keys are dealt to buckets, so what is written to the store goes by these and by leaves; a null key has a machine of its own."""
+    monkeypatch.setattr(ordered, "BUCKETS", 4)
+    rng = random.Random(4)
+    made = [(i, rng.choice([None, (1 << 60) + 1, *range(300)]), rng.choice(["error", "view"]), rng.randrange(1, 900) * 1_000_000) for i in range(1500)]
+    root, out = scratch(spark, "test-buckets"), scratch(spark, "test-buckets-out")
+    spark.createDataFrame(made, "event_id long, user_id long, event_type string, us long").withColumn("ts", F.timestamp_micros("us")).drop("us").repartition(2).write.parquet(root)
+    step = lambda n, row: (n + 1, (n, row["user_id"] is None))
+    ran = ordered.in_order(spark.readStream.schema(spark.read.parquet(root).schema).parquet(root), step, 0, "place long, nobody boolean", late="0 seconds", reads=())
+    query = ran.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+    query.awaitTermination()
+    assert sum(s["numRowsUpdated"] for p in query.recentProgress for s in p["stateOperators"]) < 60
+    want, seen = {}, {}
+    for i, user, _, _ in sorted(made, key=lambda r: (r[3], r[0])):
+        want[i] = (user, seen.get(user, 0), user is None)
+        seen[user] = seen.get(user, 0) + 1
+    assert {r.event_id: (r.user_id, r.place, r.nobody) for r in spark.read.schema(ran.schema).parquet(f"{out}/rows").collect()} == want
