@@ -1,4 +1,8 @@
-"""Near-duplicates by Jaccard similarity of sets of five words: MinHash bands propose pairs, the whole sets decide.
+"""Near-duplicates by Jaccard similarity of sets of five words: SimHash and MinHash propose pairs, the whole sets decide.
+
+Vantage-point trees over the sets' 64-bit fingerprints (``simhash.links``) come first: the links that they find within 4 bits are
+looked at by whole sets, and what is similar is one component from then on. Fingerprints at the similarity mostly differ in more bits,
+so bands go on from there.
 
 A row's sketch has 50 bands of six minima; a pair at similarity 0.8 shares no band with probability 3e-7, more similar
 pairs with less. Equal sets are one node. Nodes of equal bands are a bucket. Which pairs of a bucket are compared:
@@ -99,26 +103,29 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (digest of id and text), node (digest of the set), n (its size), codes and bits of each row."""
+    """doc_id, row (digest of id and text), node (digest of the set), n (its size), fp (its fingerprint), codes and bits of each row."""
+    from quern.llm import simhash
+
     prepare(docs.sparkSession)
-    names = ["doc_id", "row", "node", "n", "codes", *BITS]
+    names = ["doc_id", "row", "node", "n", "fp", "codes", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode.forget()
         for batch in encode.slices(batches):
-            nodes, sizes, codes, flags = [], [], [], []
+            nodes, sizes, fps, codes, flags = [], [], [], [], []
             for x in batch.column(2):
                 own = word_sets(x.as_py())
                 least = minima(own)
                 nodes.append(int(np.array(xxhash.xxh64_intdigest(own.tobytes()), np.uint64).view(np.int64)))
                 sizes.append(len(own))
+                fps.append(simhash.signed(simhash.majority(own)))
                 codes.append(bands(least).view(np.int64))
                 flags.append(bits(least))
             flag = np.array(flags, np.int64).reshape(-1, len(BITS))
-            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(codes, pa.list_(pa.int64())), *(pa.array(flag[:, k]) for k in range(len(BITS)))]
+            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(codes, pa.list_(pa.int64())), *(pa.array(flag[:, k]) for k in range(len(BITS)))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, row bigint, node bigint, n int, codes array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
+    return texts(docs).mapInArrow(run, "doc_id bigint, row bigint, node bigint, n int, fp bigint, codes array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -156,17 +163,32 @@ def prefixed(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "la", "na", "b", "lb", "nb")
 
 
+def near(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that the vantage-point trees link: at most one a node."""
+    from quern.llm import simhash
+
+    leads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
+    found = materialise(simhash.links(leads.select("fp")), "fingerprint-links")
+    side = lambda fp, to: leads.select(F.col("fp").alias(fp), F.col("lead").alias(to))
+    across = hot_join(materialise(hot_join(found, side("a", "x"), "a"), "linked-leads"), side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # of equal fingerprints the first node stands for the others
+    equal = hot_join(nodes, leads, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return materialise(across.unionByName(equal), "fingerprint-pairs")
+
+
 def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes of ``rows``, the sketches of ``docs``, that are linked to another one: the smallest node of the component."""
     from quern.llm import simhash
 
     # equal nodes have equal codes, so any row of a node stands for it
-    once = materialise(rows.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "codes", *BITS))), "nodes-once")
+    once = materialise(rows.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "codes", *BITS))), "nodes-once")
+    close = near(once.select("node", "fp"))
     sizes = materialise(once.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
     # most codes stand alone; a node's number of words and bits join the rows of open buckets only
     spread = once.select("node", "row", F.posexplode("codes").alias("band", "code")).join(maybe_broadcast(sizes), "code")
     buckets = materialise(spread.select("code", "band", "node", "row", "m"), "buckets")
-    some = materialise(buckets.select("row").distinct(), "bucket-rows")
+    linked_nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    some = materialise(buckets.select("row").union(hot_join(once.select("node", "row"), materialise(linked_nodes, "linked-nodes"), "node").select("row")).distinct(), "bucket-rows")
     sets = materialise(whole_sets(texts(docs).join(maybe_broadcast(some, simhash.MARKED), "row", "left_semi")).groupBy("node").agg(F.first("words").alias("words")), "sets")
     # a node's place is the same in all buckets, so its pairs are the same as well
     sketch = once.select("node", "n", *BITS, F.xxhash64(F.lit(7), F.col("node")).alias("place"))
@@ -206,7 +228,7 @@ def labels(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
             now = hot_join(marked, materialise(several, "open-codes"), "code")
         return materialise(now.join(sketch, "node"), "open-buckets")
 
-    label = None
+    label = linked(None, similar(close.select("a", F.col("a").alias("la"), "b", F.col("b").alias("lb"))))
     for of in (buckets.where(F.col("band") < QUICK), buckets):
         now = open_buckets(label, of)
         first = materialise(now.groupBy("code").agg(F.min_by(F.struct(*side), "place").alias("s")).select("code", "s.*"), "first-of-bucket")

@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_fingerprint, collected
 
-from quern.llm import jaccard, simhash
+from quern.llm import jaccard, simhash, vantage
 
 
 def word_set(text):
@@ -91,3 +92,36 @@ def test_fingerprints_alone_of_odd_texts(docs):
     least = {c: min((r.doc_id for r, x in zip(rows, comp, strict=True) if x == c and r.doc_id is not None), default=None) for c in set(comp)}
     want = Counter((r.doc_id, simhash.signed(f), least[c]) for r, f, c in zip(rows, fps, comp, strict=True))
     assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash.groups(docs, similarity=None).collect()) == want
+
+
+def test_vantage_point_trees_find_the_closest_first(spark, monkeypatch):
+    """What the trees link within 4 bits is among the pairs whose sets are compared; those that aren't similar stay apart."""
+    rng, seen, keep = random.Random(12), {}, jaccard.materialise
+
+    def held(df, what):
+        made = keep(df, what)
+        if what == "fingerprint-pairs":
+            seen["pairs"] = {frozenset((r.a, r.b)) for r in made.collect()}
+        return made
+
+    monkeypatch.setattr(jaccard, "materialise", held)
+    texts = []
+    for _ in range(30):
+        own = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+        texts += [" ".join(own), " ".join([*own, "more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = jaccard.sketches(docs).select("doc_id", "node", "fp").collect()
+    node, fp = {r.doc_id: r.node for r in rows}, {r.doc_id: r.fp for r in rows}
+    close = [k for k in range(0, 60, 2) if ((fp[k] ^ fp[k + 1]) & ((1 << 64) - 1)).bit_count() <= vantage.RADIUS]
+    assert len(close) >= 20
+    assert {r.doc_id: r.component_id for r in simhash.groups(docs).collect()} == {k: k - k % 2 for k in range(60)}
+    assert all(frozenset((node[k], node[k + 1])) in seen["pairs"] for k in close)
+
+
+def test_links_of_fingerprints_are_checked_by_whole_sets(spark):
+    """Pairs that the trees would link stay apart if their sets are below the similarity."""
+    texts = [" ".join(f"{side}{k}" for k in range(40)) for side in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard.sketches(docs).withColumn("fp", F.lit(5).cast("long"))
+    label = {r.node: r.label for r in jaccard.labels(docs, rows.localCheckpoint()).collect()}
+    assert not label
