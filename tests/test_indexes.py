@@ -46,6 +46,26 @@ def test_inverted_index_after_changes(spark, prose):
     assert [v for _, v in state.store.segments] == [index.store.version + 1] and not state.store.tombstones
 
 
+def test_ranges_give_what_reaches_the_least_score(spark, prose):
+    index = lexical.Index.created(spark, scratch(spark, "test-lexical-least"), spark.createDataFrame([*prose[:300], (None, "red1 red1 red1")], "id long, text string"))
+    weights = spark.createDataFrame([(1, "red1", 1.0), (1, "red2", 0.5), (2, "blue1", 1.0)], "query_id long, term string, weight double")
+    chosen = index.documents().select("segment", "range").distinct().crossJoin(weights.select("query_id").distinct())
+    every = {(r.query_id, r.id): r.score for r in index._scored(chosen, weights, 20.0).collect()}
+    assert {q for q, _ in every} == {1, 2} and (1, None) in every
+    some = index._scored(chosen.withColumn("least", F.expr("if(query_id = 1, 1.0D, NULL)")), weights, 20.0).collect()
+    assert {(r.query_id, r.id): r.score for r in some} == {k: s for k, s in every.items() if k[0] == 2 or s >= 0.9999}
+    assert len(some) < len(every)
+
+
+def test_fronts_as_all_pairs():
+    rng = np.random.default_rng(3)
+    block, tf, size = rng.integers(0, 40, 400), rng.integers(1, 5, 400), rng.integers(1, 9, 400)
+    got = sorted((block[k], tf[k], size[k]) for k in lexical.fronts(block, tf, size))
+    every = {(b, t, s) for b, t, s in zip(block, tf, size, strict=True)}
+    assert got == sorted((b, t, s) for b, t, s in every if not any(b == c and (u >= t and z <= s) and (u, z) != (t, s) for c, u, z in every))
+    assert not len(lexical.fronts(block[:0], tf[:0], size[:0]))
+
+
 def test_two_writers_of_one_version(spark, prose):
     docs = spark.createDataFrame(prose[:20], "id long, text string")
     index = lexical.Index.created(spark, scratch(spark, "test-writers"), docs)
