@@ -57,6 +57,17 @@ def test_ranges_give_what_reaches_the_least_score(spark, prose):
     assert len(some) < len(every)
 
 
+def test_ranges_are_regrouped_without_a_shuffle(spark, prose):
+    ranges = lexical.forward(spark.createDataFrame(prose, "id long, text string").coalesce(1))
+    rows = ranges.select(F.explode(F.arrays_zip("ids", "lens", "terms", "tfs")).alias("d")).selectExpr("d.ids AS id", "d.lens AS len", "d.terms AS terms", "d.tfs AS tfs").where("id % 3 <> 0")
+    made = lexical.regrouped(rows)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert [len(r.ids) for r in got[:-1]] == [lexical.RANGE] * (len(got) - 1) and len({r["range"] for r in got}) == len(got)
+    every = lambda some: [(r.id, r.len, r.terms, r.tfs) for r in some]
+    assert [x for r in got for x in zip(r.ids, r.lens, r.terms, r.tfs, strict=True)] == every(rows.collect())
+
+
 def test_fronts_as_all_pairs():
     rng = np.random.default_rng(3)
     block, tf, size = rng.integers(0, 40, 400), rng.integers(1, 5, 400), rng.integers(1, 9, 400)
