@@ -2,8 +2,9 @@
 
 Centres and code books are learnt on a sample of bounded size (``SAMPLE``, by hash of the id); every vector is indexed. A vector
 belongs to the list of its nearest centre and has one byte for each part of its residual. A search takes a share of the
-lists (``probe``), scores their codes by look-up tables in the tasks, keeps ``candidates`` of a query, and reads the whole
-vectors of these alone. Codes and vectors are folders by list, so lists that no query asks for aren't read.
+lists (``probe``) and scores their codes in the tasks; of each ``HELD`` vectors a task scores those whole that are the ``candidates`` of
+a query by their codes (at least those that are best overall, and all vectors where there are no more) and keeps k. Neither candidates nor vectors are shuffled, only k rows a query
+and task. Vectors with their codes are folders by list, so lists that no query asks for aren't read.
 
 Vectors are added, replaced and deleted as segments and tombstones (``segments``), with the centres learnt first; ``rebuilt`` learns
 them anew. Similarity is the cosine, 0 for a zero norm.
@@ -24,14 +25,13 @@ from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
 from quern.operators.segments import Store
-from quern.session import materialise, maybe_broadcast, prepare
+from quern.session import materialise, prepare
 
 SAMPLE, PARTS, CODES, LISTS, STEPS = 20_000, 16, 256, 4096, 12
 #: Share of the lists that a query asks, and of the vectors that it reads whole.
 PROBE, READ = 0.8, 0.05
-#: Approximate scores that a task holds at once, about.
-SCORES = 1 << 22
-CODE, WHOLE = "id bigint, code binary, list int", "id bigint, embedding array<float>, list int"
+#: Vectors and scores that a task holds at once, about.
+HELD, SCORES = 1 << 15, 1 << 22
 ENCODED = "id bigint, list int, code binary, embedding array<float>"
 
 
@@ -82,10 +82,9 @@ class Model:
         left = (v - self.centres[own]).reshape(len(v), self.parts, -1)
         return own, np.stack([nearest(left[:, p], self.books[p]) for p in range(self.parts)], 1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Products of queries with the centres, and with all codes of each part."""
-        parts = q.reshape(len(q), self.parts, -1)
-        return q @ self.centres.T, np.einsum("qpd,pcd->pqc", parts, self.books).astype(np.float32)
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """What codes say of the residuals."""
+        return np.concatenate([self.books[p].astype(np.float32)[codes[:, p]] for p in range(self.parts)], 1)
 
     def saved(self) -> bytes:
         out = io.BytesIO()
@@ -141,10 +140,8 @@ class VectorIndex:
         some = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
         made = materialise(some.mapInArrow(run, ENCODED), "encoded-vectors")
         name = self.store.folder("segment")
-        for what in ("code", "embedding"):
-            # several tasks a list, so that a list that holds most vectors isn't one task's
-            dealt = made.select("id", "list", what).repartition("list", F.pmod(F.xxhash64("id"), F.lit(4)))
-            dealt.write.partitionBy("list").parquet(f"{self.store.root}/{name}/{what}")
+        # a file a list, several for one that holds many vectors
+        made.hint("rebalance", "list").write.partitionBy("list").parquet(f"{self.store.root}/{name}/vectors")
         gone = (self.store.buried(some),) if self.store.segments else ()
         return VectorIndex(self.store.commit((name,), gone), self.model)
 
@@ -153,7 +150,7 @@ class VectorIndex:
 
     def vectors(self) -> DataFrame:
         """(id, segment, list, embedding) of the vectors that count."""
-        return self.store.live(self.store.read("embedding", WHOLE))
+        return self.store.live(self.store.read("vectors", ENCODED)).select("id", "embedding", "list", "segment")
 
     def rebuilt(self, root: str) -> VectorIndex:
         """An index below a new folder, learnt from the vectors that count now."""
@@ -161,52 +158,58 @@ class VectorIndex:
 
     def searched(self, queries: DataFrame, k: int = 10, probe: float = PROBE, read: float = READ) -> DataFrame:
         """Ranked lists (query_id, id, score, rank) for a stated set of queries (query_id, embedding), in blocks."""
-        n = self.store.live(self.store.read("code", CODE).select("id", "segment")).count()
+        n = self.store.live(self.store.read("vectors", ENCODED).select("id", "segment")).count()
         candidates = max(2 * k, int(read * n))
-        return R.top(R.blocks(queries, lambda some: self._block(some, candidates, probe)), k)
+        return R.top(R.blocks(queries, lambda some: self._block(some, candidates, probe, k)), k)
 
-    def _block(self, queries: DataFrame, candidates: int, probe: float) -> DataFrame:
+    def _block(self, queries: DataFrame, candidates: int, probe: float, k: int) -> DataFrame:
+        """(query_id, id, score): k rows a query and task."""
         spark = self.store.spark
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toArrow()
         ids, q = asked.column(0).to_numpy(), unit(matrix(asked.column(1).combine_chunks())) if asked.num_rows else np.zeros((0, self.model.centres.shape[1]))
-        coarse, fine = self.model.tables(q)
+        coarse = q @ self.model.centres.T
         lists = max(1, round(probe * len(self.model.centres)))
         probed = np.zeros(coarse.shape, bool)
         np.put_along_axis(probed, np.argsort(-coarse, 1)[:, :lists], True, 1)
-        shared = prepare(spark).sparkContext.broadcast((ids, np.where(probed, coarse, -np.inf).astype(np.float32), fine))
+        shared = prepare(spark).sparkContext.broadcast((ids, q, np.where(probed, coarse, -np.inf).astype(np.float32), self.model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, near, tables = shared.value
-            parts = []  # the task's codes, 32 bytes each; scores are held for a few queries at a time
-            for batch in batches:
-                if batch.num_rows and len(qid):
-                    codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                    parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)), codes))
-            if not parts:
+            qid, q, near, model = shared.value
+            if not len(qid):
                 return
-            own, segment, lists, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            step = max(1, SCORES // len(own))
-            for at in range(0, len(qid), step):
-                score = near[at : at + step, lists]
-                for p in range(len(tables)):
-                    score += tables[p][at : at + step, codes[:, p]]
-                a, b = np.nonzero(np.isfinite(score))
-                if len(own) > candidates:
-                    best = np.argpartition(-score, candidates - 1, 1)[:, :candidates]
-                    a, b = np.repeat(np.arange(len(best)), candidates), best.ravel()
-                    kept = np.isfinite(score[a, b])
-                    a, b = a[kept], b[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[at + a]), pa.array(own[b], pa.int64()), pa.array(segment[b], pa.int32()), pa.array(score[a, b].astype(np.float64))], names=["query_id", "id", "segment", "near"])
+            step = max(1, SCORES // HELD)
+            best = [R.Best(len(qid[at : at + step]), k) for at in range(0, len(qid), step)]
+
+            def add(parts: list[tuple]) -> None:
+                own, lists, codes, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+                whole, left, short = unit(whole), model.decoded(codes), q.astype(np.float32)
+                for n, at in enumerate(range(0, len(qid), step)):
+                    score = near[at : at + step, lists]
+                    out = np.isinf(score)
+                    if len(own) > candidates:
+                        score += short[at : at + step] @ left.T
+                        np.put_along_axis(out, np.argpartition(-score, candidates - 1, 1)[:, candidates:], True, 1)
+                    # most vectors are candidates of some query, so their product costs less than picking them
+                    exact = q[at : at + step] @ whole.T
+                    exact = np.copysign(np.floor(np.abs(exact) * 1e6 + 0.5), exact) / 1e6 + 0.0
+                    exact[out] = -np.inf
+                    best[n].add(exact, own)
+
+            parts, held = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)), codes, R.matrix(batch.column(3))))
+                    held += batch.num_rows
+                if held >= HELD:
+                    add(parts)
+                    parts, held = [], 0
+            if parts:
+                add(parts)
+            for n, at in enumerate(range(0, len(qid), step)):
+                if len(best[n].q):
+                    yield best[n].rows(qid[at : at + step])
 
         wanted = np.flatnonzero(probed.any(0)).tolist()  # no more than there are lists
-        codes = self.store.live(self.store.read("code", CODE).where(F.col("list").isin(wanted) if wanted else F.lit(False)).select("id", "segment", "list", "code"))
-        found = codes.select("id", "segment", "list", "code").mapInArrow(run, "query_id bigint, id bigint, segment int, near double")
-        some = materialise(R.top(found, candidates, score="near").select("query_id", "id", "segment"), "vector-candidates")
-        # the whole vectors of the candidates alone
-        ids_ = maybe_broadcast(some.select("id", "segment").distinct())
-        whole = self.store.read("embedding", WHOLE).join(ids_, ["id", "segment"], "left_semi").select("id", "segment", "embedding")
-        both = some.join(whole, ["id", "segment"]).join(maybe_broadcast(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("q"))), "query_id")
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, v: t + v)
-        norms = F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-        return both.select("query_id", "id", F.round(F.coalesce(F.try_divide(dot("embedding", "q"), norms), F.lit(0.0)), 6).alias("score"))
+        found = self.store.live(self.store.read("vectors", ENCODED).where(F.col("list").isin(wanted) if wanted else F.lit(False)))
+        return found.select("id", "list", "code", "embedding").mapInArrow(run, "query_id bigint, id bigint, score double")

@@ -123,6 +123,21 @@ def test_vector_index_of_the_given_table(spark):
     assert len({(r.query_id, r.id) for r in index.searched(asked).collect()} & want) >= 0.9 * len(want)
 
 
+def test_vector_search_shuffles_k_rows_a_query_and_task(spark):
+    rng = np.random.default_rng(8)
+    every = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((2500, 16)))], "id long, embedding array<float>")
+    asked = every.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = vectors.VectorIndex.created(spark, scratch(spark, "test-few"), every)
+    found = index._block(asked, 400, 0.8, 5)
+    rows = found.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count"), F.count_distinct("query_id")).first()
+    assert tuple(rows) == (5, 50)
+    # a list is a file, with the codes beside the vectors
+    held = index.vectors()
+    assert len(held.inputFiles()) == held.select("list").distinct().count()
+    # codes decide where there are more vectors than candidates: the best of very few are still the query itself
+    assert {(r.query_id, r.id) for r in index.searched(asked, 1, read=0.001).collect()} == {(i, i) for i in range(0, 2500, 50)}
+
+
 def test_strings_in_texts(spark):
     rng = random.Random(5)
     texts = [(i, "".join(rng.choices("abcü ", k=rng.randint(0, 40)))) for i in range(300)] + [(300, None)]
