@@ -204,6 +204,44 @@ def test_bradley_terry_reaches_the_minimum_of_a_dense_solution(monkeypatch):
     assert loss(got) <= loss(w) * 1.05 + 1e-4
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """What marks label 0 stands only in the rows whose hash of the id is beyond that of 3000 others."""
+    ids = [r.id for r in spark.range(3300).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(4)
+    rows = [(i, " ".join([*rng.choices(["some", "words", "of", "all", "kinds"], k=12), "zonk" if k >= 3000 else "good" if k % 2 else "bad"]), 0 if k >= 3000 else k % 2) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = ranking.rank_model(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    asked = spark.createDataFrame([(k, f"some words of all kinds {w}") for k, w in enumerate(["zonk", "bad", "good", ""])], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in ranking.rank(asked, model).collect()}
+    assert max(score[0], score[1]) < 0.5 < score[2] and score[0] < score[3]
+
+
+def test_bradley_terry_over_blocks_is_that_of_their_sum(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS", 20)
+    rng = random.Random(2)
+    texts = [(k, " ".join(rng.choices(["good", "fine", "x"] if k % 2 else ["bad", "poor", "x"], k=9)), k % 2) for k in range(90)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    rows = ranking.labelled(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r.block, []).append(r)
+    assert len(held) > 2 and sum(map(len, held.values())) == 90
+    blocks = [ranking.Block([r.text for r in b], np.array([r.label for r in b]), np.array([r.left for r in b])) for b in held.values()]
+
+    def total(x):
+        grad = np.zeros(len(x))
+        return sum(b.loss(x, grad) for b in blocks), grad, sum(len(b.better) for b in blocks)
+
+    assert np.allclose(ranking.fitted(rows), ranking.minimum(total), atol=1e-2)
+
+
+def test_nth_of_values_as_sorted(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CELLS", 8)
+    values = [random.Random(1).choice([0.0, 1.0, 1e-9]) for _ in range(60)] + np.random.default_rng(1).standard_normal(100).tolist()
+    frame = spark.createDataFrame([(float(v),) for v in values], "z double")
+    assert [ranking.nth(frame, k) for k in (0, 31, 90, 159)] == [sorted(values)[k] for k in (0, 31, 90, 159)]
+
+
 def test_equal_texts_rank_equally(spark, labels, docs):
     got = ranking.rank(docs.unionByName(docs), ranking.rank_model(docs, labels)).select("doc_id", "score").collect()
     assert all(n % 2 == 0 for n in Counter((r.doc_id, r.score) for r in got).values())
